@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality, simhash, suffix
+from . import ann, lm, packing, pieces, pii, quality, simhash, suffix, urls, warc
 from .common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +25,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), owner="op3")
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"), owner="op4")
+
+
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"), PIECES).drop("ids")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), owner="op6").drop("url", "payload")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), owner="op7")
 
@@ -33,5 +46,23 @@ def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("rest", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_simhash, op7_quality, op8_suffix)}
-SQL: dict[str, str] = {}
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), owner="op10")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_pii, op3_simhash, op4_lm, op5_pieces, op6_warc, op7_quality, op8_suffix, op9_urls, op10_ann)}
+SQL = {
+    "op6_warc": """
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, strlen(h) payload_bytes, sha1(h) x, max(page_id) over (partition by sha1(h)) last from p)
+select page_id, payload_bytes::bigint payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(x, ((i // 4) * 5 + 1)::int, 5))::int >> (15 - 5 * (i % 4))::int) & 31) + 1, 1)), '') payload_digest,
+  case when last is null or page_id = last then 'response' else 'revisit' end record_type,
+  case when page_id is distinct from last then last end refers_to
+from d""",
+}
