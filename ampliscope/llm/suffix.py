@@ -8,8 +8,10 @@ A window of LENGTH bytes is repeated if the same bytes start anywhere else. Suff
 2. Sort sampled tuples: anchors are grouped by the hash of their gram; grams that occur once end there.
 3. Recurse on names: the whole context of an anchor (all windows that it represents) gets a 128-bit name. A name that
    occurs twice settles all its windows at once; contexts of a gram with one single name need no finer look.
-4. Merge the rest: for grams with several names, each name's windows are named one by one, from one copy per name.
-5. Adjacent equal prefixes: windows whose name occurs twice are repeated. Their union is removed.
+4. Merge the rest: for grams with several names, one copy per name goes on, in cells of CELL neighbouring shifts. A cell whose
+   core (what its windows share) occurs once has no repeated window; one whose whole occurs twice has only such.
+5. Adjacent equal prefixes: what is left of the cells is named window by window; names that occur twice are repeated.
+   The union of repeated windows is removed.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from .common import prepare, saved, text_bytes
 LENGTH = 200
 GRAM = 32
 BLOCK = 1 << 18
+CELL = 24
 _TABLE = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -102,27 +105,60 @@ def _sampled(batches):
         seeds = (at - first) << 16 | (last - first)
         c1, c2 = _two([name(text[f : l + LENGTH], s) for f, l, s in zip(first.tolist(), last.tolist(), seeds.tolist())])
         keys = [batch.column(i).to_numpy()[doc] for i in (0, 1)]
-        arrays = [*map(pa.array, keys), pa.array(gram.view(np.int64)), c1, c2, pa.array(first - offsets[doc]), pa.array((last - first).astype(np.int32))]
-        rows = pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "gram", "c1", "c2", "start", "more"])
+        arrays = [*map(pa.array, keys), pa.array(gram.view(np.int64)), c1, c2, pa.array(first - offsets[doc]), pa.array((last - first).astype(np.int32)), pa.array((at - first).astype(np.int32))]
+        rows = pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "gram", "c1", "c2", "start", "more", "lead"])
         for i in range(0, rows.num_rows, 50_000):
             yield rows.slice(i, 50_000)
 
 
+def _contexts(batches):
+    """The bytes of each wanted context, cut out of its document."""
+    for batch in batches:
+        for k1, k2, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for i in range(0, len(spans), 10_000):
+                part = spans[i : i + 10_000]
+                arrays = [pa.array([k1] * len(part), pa.int64()), pa.array([k2] * len(part), pa.int64())]
+                arrays += [pa.array([x[f] for x in part], t) for f, t in (("start", pa.int64()), ("more", pa.int32()), ("lead", pa.int32()), ("gram", pa.int64()), ("once", pa.bool_()))]
+                arrays.append(pa.array([text[x["start"] : x["start"] + x["more"] + LENGTH] for x in part], pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "start", "more", "lead", "gram", "once", "bytes"])
+
+
+def _cells(batches):
+    """The windows of a context in cells of CELL shifts against the anchor: a name for what all windows of the cell share
+    (core) and one for all that the context's windows in the cell cover (union)."""
+    name = xxhash.xxh3_128_digest
+    for batch in batches:
+        place, cores, unions, starts, more = [], [], [], [], []
+        for i, (start, most, lead, gram, text) in enumerate(zip(*(batch.column(f).to_pylist() for f in ("start", "more", "lead", "gram", "bytes")))):
+            seed = gram & 0xFFFFFFFFFFFFFFFF
+            for cell in range((lead - most) // CELL, lead // CELL + 1):
+                near, far = cell * CELL, cell * CELL + CELL - 1  # shifts of the cell; a window begins `shift` bytes before the anchor
+                first, last = max(0, lead - far), min(most, lead - near)
+                cores.append(name(text[lead - near : lead - far + LENGTH] + bytes([cell]), seed))
+                unions.append(name(text[first : last + LENGTH] + bytes([cell, last - first, far - lead + first]), seed))
+                place.append(i)
+                starts.append(start + first)
+                more.append(last - first)
+        p1, p2 = _two(cores)
+        u1, u2 = _two(unions)
+        pick = pa.array(place, pa.int64())
+        arrays = [*(batch.column(f).take(pick) for f in ("k1", "k2", "start", "once")), p1, p2, u1, u2, pa.array(starts, pa.int64()), pa.array(more, pa.int32())]
+        yield pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "context", "once", "p1", "p2", "u1", "u2", "start", "more"])
+
+
 def _windows(batches):
+    """A name for each window of the wanted cells."""
     name = xxhash.xxh3_128_digest
     for batch in batches:
-        for k1, k2, text, spans in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            starts, once, names = [], [], []
-            for span in spans:
-                own = range(span["start"], span["start"] + span["more"] + 1)
-                starts.extend(own)
-                once.extend([span["once"]] * len(own))
-                names.extend([name(text[s : s + LENGTH]) for s in own])
-                if len(starts) > 50_000 or span is spans[-1]:
-                    w1, w2 = _two(names)
-                    n = len(starts)
-                    yield pa.RecordBatch.from_arrays([pa.array([k1] * n, pa.int64()), pa.array([k2] * n, pa.int64()), w1, w2, pa.array(starts, pa.int64()), pa.array(once)], ["k1", "k2", "w1", "w2", "start", "once"])
-                    starts, once, names = [], [], []
+        place, names, starts = [], [], []
+        for i, (context, start, more, text) in enumerate(zip(*(batch.column(f).to_pylist() for f in ("context", "start", "more", "bytes")))):
+            for s in range(start, start + more + 1):
+                names.append(name(text[s - context : s - context + LENGTH]))
+                starts.append(s)
+                place.append(i)
+        w1, w2 = _two(names)
+        pick = pa.array(place, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(f).take(pick) for f in ("k1", "k2", "once")), w1, w2, pa.array(starts, pa.int64())], ["k1", "k2", "once", "w1", "w2", "start"])
 
 
 def cover(spans: list[tuple[int, int]], length: int = LENGTH) -> list[list[int]]:
@@ -151,24 +187,37 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(rest, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "rest"])
 
 
+def _mixed(rows: DataFrame, by: list[str], names: list[str], n: str = "n > 1") -> DataFrame:
+    """The groups of `by` with several rows, and whether these have several names."""
+    ends = [f(c).alias(f"{k}_{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))]
+    same = F.expr(" and ".join(f"lo_{c} = hi_{c}" for c in names))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *ends).where(n).select(*by, (~same).alias("mixed"))
+
+
 def _spans(raw: DataFrame, owner: str) -> DataFrame:
     """(k1, k2, spans): the repeated windows of each document that has any, as starts and numbers of further starts."""
-    rows = saved(raw.mapInArrow(_sampled, "k1 long, k2 long, gram long, c1 long, c2 long, start long, more int"), owner, "anchors")
-    grams = rows.groupBy("gram").agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in ("c1", "c2") for f in (F.min, F.max))).where("n > 1")
-    grams = grams.select("gram", (~((F.col("min_c1") == F.col("max_c1")) & (F.col("min_c2") == F.col("max_c2")))).alias("mixed"))
-    again = saved(rows.join(grams, "gram"), owner, "repeated")
-    whole = again.where("not mixed").select("k1", "k2", "start", "more")
-    mixed = again.where("mixed")
-    place = F.struct("k1", "k2", "start", "more")
-    names = saved(mixed.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("at")), owner, "names")
-    twice = mixed.join(names.where("n > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"], "left_semi").select("k1", "k2", "start", "more")
-    wanted = names.select("at.*", (F.col("n") == 1).alias("once")).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "more", "once")).alias("spans"))
-    # A repeated row may name its windows twice, but all its contexts occur twice and are settled; only "once" contexts are looked up.
-    texts = raw.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "spans")
-    windows = saved(texts.mapInArrow(_windows, "k1 long, k2 long, w1 long, w2 long, start long, once boolean"), owner, "windows")
+    span = ["k1", "k2", "start", "more"]
+    rows = saved(raw.mapInArrow(_sampled, "k1 long, k2 long, gram long, c1 long, c2 long, start long, more int, lead int"), owner, "anchors")
+    again = saved(rows.join(_mixed(rows, ["gram"], ["c1", "c2"]), "gram"), owner, "repeated")
+    whole, mixed = again.where("not mixed").select(*span), again.where("mixed")
+    names = saved(mixed.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*span, "lead")).alias("at")), owner, "names")
+    twice = mixed.join(names.where("n > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"], "left_semi").select(*span)
+    wanted = names.select("at.*", "gram", (F.col("n") == 1).alias("once")).groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "more", "lead", "gram", "once")).alias("spans"))
+    # A repeated row brings its contexts again, but these all occur twice and are settled: they only serve as partners.
+    texts = raw.join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(_contexts, "k1 long, k2 long, start long, more int, lead int, gram long, once boolean, bytes binary")
+    contexts = saved(texts, owner, "contexts")
+    cells = saved(contexts.mapInArrow(_cells, "k1 long, k2 long, context long, once boolean, p1 long, p2 long, u1 long, u2 long, start long, more int"), owner, "cells")
+    open_ = saved(cells.join(_mixed(cells, ["p1", "p2"], ["u1", "u2"]), ["p1", "p2"]), owner, "open")
+    place = F.struct("k1", "k2", "context", "start", "more", "once")
+    unions = saved(open_.groupBy("p1", "p2", "u1", "u2").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(place).alias("at")), owner, "unions")
+    shared = unions.where("n > 1").select("p1", "p2", "u1", "u2")
+    cellwise = open_.where("once").join(shared, ["p1", "p2", "u1", "u2"], "left_semi").select(*span)
+    left = unions.where("mixed").select("at.k1", "at.k2", "at.context", "at.start", "at.more", (F.col("at.once") & (F.col("n") == 1)).alias("once"))
+    source = contexts.dropDuplicates(["k1", "k2", "start"]).select("k1", "k2", F.col("start").alias("context"), "bytes")
+    windows = saved(left.join(source, ["k1", "k2", "context"]).mapInArrow(_windows, "k1 long, k2 long, once boolean, w1 long, w2 long, start long"), owner, "windows")
     equal = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     single = windows.where("once").join(equal, ["w1", "w2"], "left_semi").select("k1", "k2", "start", F.lit(0).alias("more"))
-    found = whole.unionByName(twice).unionByName(single)
+    found = whole.unionByName(twice).unionByName(cellwise).unionByName(single)
     return found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "more")).alias("spans"))
 
 
