@@ -423,10 +423,10 @@ def cache_merge(spark, d):
     return pools.merged(_known(spark, d), fresh)
 
 
-@query("select (user_id % 10)::int topic_id, list_sort(list(distinct event_type)) attrs from events where event_type <> 'view' or value > 100 group by 1")
+@query("select (user_id % 10)::int topic_id, array_to_string(list_sort(list(distinct event_type)), ',') attrs from events where event_type <> 'view' or value > 100 group by 1")
 def rejected_union(spark, d):
     e = table(spark, d, "events").select((F.col("user_id") % 10).cast("int").alias("topic_id"), F.col("event_type").alias("attr"), "value")
-    return pools.sorted_union(e.where("attr <> 'view'"), e.where("value > 100"))
+    return pools.sorted_union(e.where("attr <> 'view'"), e.where("value > 100")).withColumn("attrs", F.array_join("attrs", ","))
 
 
 @query(f"with {KNOWN_SQL}, p as (select image_id, count(distinct attr) k from known group by 1) select (select count(distinct image_id) from bank) total, count(*) filter (k = 5) fully_covered, 'unseen' missing from p")
@@ -568,9 +568,9 @@ def survey_global(spark, d):
     return reports.survey_total(reports.survey(_edits(spark, d)))
 
 
-@query(f"with {EDITS_SQL}, r as (select *, row_number() over (partition by attr order by image_id) r from edits where success) select attr, list_sort(list(image_id)) images from r where r <= 4 group by 1")
+@query(f"with {EDITS_SQL}, r as (select *, row_number() over (partition by attr order by image_id) r from edits where success) select attr, array_to_string(list_sort(list(image_id)), ',') images from r where r <= 4 group by 1")
 def survey_samples(spark, d):
-    return reports.samples(_edits(spark, d))
+    return reports.samples(_edits(spark, d)).withColumn("images", F.array_join("images", ","))
 
 
 AGREE_SQL = f"""{E_LONG}, s as (select b.attr, t.g app, b.g control from bank b join (select image_id, attr, case when event_type = 'error' then -1 when image_id % 7 = 0 then 1 - g else g end g from bank join events on event_id = image_id) t using (image_id, attr)),
