@@ -76,7 +76,7 @@ def verdict(reply: str | Column) -> Column:
 def fenced_json(reply: str | Column) -> Column:
     """The text of the reply's fenced block, or the reply itself, trimmed."""
     block = F.regexp_extract(_c(reply), r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.trim(F.when(block != "", block).otherwise(_c(reply)))
+    return F.regexp_replace(F.when(block != "", block).otherwise(_c(reply)), r"^\s+|\s+$", "")
 
 
 def quoted_proposals(reply: str | Column, most: int) -> Column:

@@ -64,8 +64,8 @@ def matched_by_reward(left: DataFrame, right: DataFrame, tolerance: float | None
     kind, ident = left.schema["prompt"].dataType.simpleString(), left.schema["image_id"].dataType.simpleString()
 
     def run(key, a, b):
-        a, b = a.sort_values(["reward", "image_id"]), b.sort_values(["reward", "image_id"])
-        free, rewards, out = np.ones(len(b), bool), b["reward"].to_numpy(float), []
+        a, b = a.sort_values(["reward", "image_id"]), b.sort_values(["r", "i"])
+        free, rewards, out = np.ones(len(b), bool), b["r"].to_numpy(float), []
         for image, reward in zip(a["image_id"], a["reward"]):
             if not free.any():
                 break
@@ -73,10 +73,13 @@ def matched_by_reward(left: DataFrame, right: DataFrame, tolerance: float | None
             k = int(gap.argmin())
             if tolerance is None or gap[k] <= tolerance:
                 free[k] = False
-                out.append((key[0], image, b["image_id"].iloc[k]))
+                out.append((key[0], image, b["i"].iloc[k]))
         return pd.DataFrame(out, columns=["prompt", "pos_id", "neg_id"])
 
-    return left.groupBy("prompt").cogroup(right.groupBy("prompt")).applyInPandas(run, f"prompt {kind}, pos_id {ident}, neg_id {ident}")
+    # Columns of their own on both sides: sides cut from one table share attributes, which column pruning then takes from either.
+    left = left.select(F.col("prompt").alias("prompt"), F.col("image_id").alias("image_id"), F.col("reward").alias("reward"))
+    right = right.select(F.col("prompt").alias("p"), F.col("image_id").alias("i"), F.col("reward").alias("r"))
+    return left.groupBy("prompt").cogroup(right.groupBy("p")).applyInPandas(run, f"prompt {kind}, pos_id {ident}, neg_id {ident}")
 
 
 def counterfactuals(pairs: DataFrame, caps: DataFrame, max_h: int, per_prompt: int = 5) -> DataFrame:
