@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -44,13 +45,33 @@ def saved(df: DataFrame, owner: str, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/ampliscope/{owner}-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _scratch.setdefault(owner, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    free_shuffles(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished steps now; it waits for the driver's garbage collector otherwise."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(spark: SparkSession, owner: str, name: str) -> None:
+    """Delete one scratch table that no later step reads."""
+    gone = [p for p in _scratch.get(owner, []) if p.rpartition("/")[2].startswith(f"{owner}-{name}-")]
+    _scratch[owner] = [p for p in _scratch.get(owner, []) if p not in gone]
+    _delete(spark, gone)
 
 
 def release(spark: SparkSession, owner: str) -> None:
     """Delete the scratch tables of an owner whose results have been written."""
+    _delete(spark, _scratch.pop(owner, []))
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _scratch.pop(owner, []):
+    for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, saved, text_bytes
+from .common import discard, prepare, saved, text_bytes
 
 LENGTH = 200
 GRAM = 32
@@ -198,7 +198,10 @@ def _spans(raw: DataFrame, owner: str) -> DataFrame:
     """(k1, k2, spans): the repeated windows of each document that has any, as starts and numbers of further starts."""
     span = ["k1", "k2", "start", "more"]
     rows = saved(raw.mapInArrow(_sampled, "k1 long, k2 long, gram long, c1 long, c2 long, start long, more int, lead int"), owner, "anchors")
-    again = saved(rows.join(_mixed(rows, ["gram"], ["c1", "c2"]), "gram"), owner, "repeated")
+    grams = saved(_mixed(rows, ["gram"], ["c1", "c2"]), owner, "grams")  # saved, so that the join may split a hot gram
+    again = saved(rows.join(grams, "gram"), owner, "repeated")
+    discard(raw.sparkSession, owner, "anchors")
+    discard(raw.sparkSession, owner, "grams")
     whole, mixed = again.where("not mixed").select(*span), again.where("mixed")
     names = saved(mixed.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct(*span, "lead")).alias("at")), owner, "names")
     twice = mixed.join(names.where("n > 1").select("gram", "c1", "c2"), ["gram", "c1", "c2"], "left_semi").select(*span)
@@ -208,6 +211,7 @@ def _spans(raw: DataFrame, owner: str) -> DataFrame:
     contexts = saved(texts, owner, "contexts")
     cells = saved(contexts.mapInArrow(_cells, "k1 long, k2 long, context long, once boolean, p1 long, p2 long, u1 long, u2 long, start long, more int"), owner, "cells")
     open_ = saved(cells.join(_mixed(cells, ["p1", "p2"], ["u1", "u2"]), ["p1", "p2"]), owner, "open")
+    discard(raw.sparkSession, owner, "cells")
     place = F.struct("k1", "k2", "context", "start", "more", "once")
     unions = saved(open_.groupBy("p1", "p2", "u1", "u2").agg(F.count("*").alias("n"), F.first("mixed").alias("mixed"), F.min(place).alias("at")), owner, "unions")
     shared = unions.where("n > 1").select("p1", "p2", "u1", "u2")
