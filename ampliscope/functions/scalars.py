@@ -188,3 +188,16 @@ def byte_chunk(size: str | Column, order: Column, by: list[Column], cap: int) ->
 
     before = F.sum(_c(size)).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     return F.floor(F.coalesce(before, F.lit(0)) / cap).cast("long")
+
+
+def wrapped(text: str | Column, width: int) -> Column:
+    """Lines of whole words of at most `width` characters, as an array; a longer word is cut."""
+    words = F.flatten(F.transform(F.split(F.trim(_c(text)), r"\s+"), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(w) - 1) / width).cast("int"))), lambda i: F.substring(w, i * width + 1, F.lit(width)))))
+    none = F.array().cast("array<string>")
+
+    def put(lines: Column, w: Column) -> Column:
+        last = F.try_element_at(lines, F.lit(-1))
+        fits = last.isNotNull() & (F.length(last) + 1 + F.length(w) <= width)
+        return F.when(fits, F.concat(F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, w)))).otherwise(F.concat(lines, F.array(w)))
+
+    return F.aggregate(F.filter(words, lambda w: w != ""), none, put)

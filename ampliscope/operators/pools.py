@@ -114,3 +114,25 @@ def sorted_union(*lists: DataFrame) -> DataFrame:
 def all_scored(entries: DataFrame, score: str = "reward"):
     """Whether there is an entry and all have the score."""
     return entries.agg(F.coalesce(F.every(F.col(score).isNotNull()), F.lit(False)).alias("ok"))
+
+
+def memoized(rows: DataFrame, cache: DataFrame, key: str, decide, value: str = "decision") -> tuple[DataFrame, DataFrame]:
+    """rows with a decision: known ones from cache (key, value), others from decide(rows); and the new cache rows.
+
+    decide sees each unknown key once."""
+    known = rows.join(cache.select(key, value).dropDuplicates([key]), key, "left")
+    fresh = decide(rows.join(cache.select(key), key, "left_anti").dropDuplicates([key])).select(key, F.col(value).alias("_new"))
+    return known.join(fresh, key, "left").withColumn(value, F.coalesce(value, "_new")).drop("_new"), fresh.withColumnRenamed("_new", value)
+
+
+def covered_or_error(rows: DataFrame, scores: DataFrame, key: str, score: str) -> DataFrame:
+    """rows with scores joined on; an error if no row has one."""
+    joined = rows.join(scores.select(key, score), key, "left")
+    if joined.where(F.col(score).isNotNull()).isEmpty():
+        raise ValueError(f"no row has {score}")
+    return joined
+
+
+def undesirable(found: DataFrame) -> DataFrame:
+    """Attributes whose reward goes up while the judge's does not; unknown deltas do not count."""
+    return found.where((F.col("delta_rm") > 0) & (F.col("delta_j") <= 0))

@@ -207,3 +207,9 @@ def bootstrap(images: DataFrame, attrs: tuple[str, ...], n_boot: int = 500, leas
 
     rows = images.select("prompt", "image_id", "g", "u", F.xxhash64("prompt").alias("h"))
     return rows.groupBy("prompt").applyInPandas(run, f"prompt {kind}, attr string, w_mean double, ci_low double, ci_high double")
+
+
+def max_difference(saved: DataFrame, again: DataFrame) -> float | None:
+    """The largest absolute difference of two tables of weights (prompt, attr, w) on the prompts and labels they share."""
+    both = saved.select("prompt", "attr", F.col("w").alias("a")).join(again.select("prompt", "attr", F.col("w").alias("b")), ["prompt", "attr"])
+    return both.agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0]
