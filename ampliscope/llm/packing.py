@@ -9,9 +9,8 @@ windows and other partitions left, and no task waits for another. An emptied que
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
-from itertools import accumulate
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ WINDOW = 4096
 UNIT = 128
 END = 2
 MAX_QUEUES = 256
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 90 << 20  # of words, in each of two generations
 
 _PLAIN = re.compile("[!-~¡-¬®-˿]+")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -53,41 +52,51 @@ class Words:
         self.model = self.whole.model
         self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.seen: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.room = CACHE_BYTES
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes()
 
     def part(self, s: str) -> bytes:
-        got = self.parts.get(s)
-        if got is None:
-            got = self.packed([t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.letters))])
-            self.parts[s] = got
-            self.room -= len(s) + len(got) + 180
-        return got
+        """Ids of one lower-case run of letters, one digit or one run of symbols."""
+        letters = s if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
+        return self.packed([t.id for t in self.model.tokenize(letters)])
 
     def word(self, w: bytes) -> bytes:
         s = w.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(s) and not _SPECIAL.search(s) and len(s) < 1000 and "İ" not in s:
-            got = b"".join(map(self.part, _WORDS.findall(s.lower())))
-        else:
-            got = self.packed(self.whole.encode(s, add_special_tokens=False).ids)
-        self.room -= len(w) + len(got) + 180
+        if not (len(s) < 1000 and _PLAIN.fullmatch(s)) or "<|" in s and _SPECIAL.search(s) or "İ" in s:
+            return self.packed(self.whole.encode(s, add_special_tokens=False).ids)
+        s = s.lower()
+        if s.isalpha():
+            return self.part(s)
+        if s[:-1].isalpha():
+            return self.known(s[:-1]) + self.known(s[-1])
+        return b"".join(map(self.known, _WORDS.findall(s)))
+
+    def known(self, s: str) -> bytes:
+        """The ids of a part, which may have been met as a word."""
+        w = s.encode()
+        got = self.seen.get(w)
+        if got is None:
+            got = self.seen[w] = self.old.get(w) or self.part(s)
+            self.room -= len(w) + len(got) + 200
         return got
 
     def ids(self, text: bytes) -> bytes:
-        out, seen = [], self.seen
+        out = []
         for piece in pieces_of(text):
             words = piece.split()
+            seen, old = self.seen, self.old
             for w in set(words).difference(seen):
-                seen[w] = self.word(w)
+                got = old.get(w) or self.word(w)
+                seen[w] = got
+                self.room -= len(w) + len(got) + 200
             out.append(b"".join(map(seen.__getitem__, words)))
             if self.room < 0:
-                self.seen.clear()
-                self.parts.clear()
-                self.room = CACHE_BYTES
+                self.seen, self.old, self.room = {}, self.seen, CACHE_BYTES
         return b"".join(out)
 
 
