@@ -64,6 +64,11 @@ def discard(spark: SparkSession, owner: str, name: str) -> None:
     _delete(spark, gone)
 
 
+def adopt(owner: str, path: str) -> None:
+    """Count a folder that an operator wrote by itself among the owner's scratch."""
+    _scratch.setdefault(owner, []).append(path)
+
+
 def release(spark: SparkSession, owner: str) -> None:
     """Delete the scratch tables of an owner whose results have been written."""
     _delete(spark, _scratch.pop(owner, []))

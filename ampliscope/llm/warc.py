@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_dir
+from .common import adopt, prepare, shared_dir
 
 FRAME, DICTIONARY, SKIPPABLE = 0xFD2FB528, 0x184D2A5D, range(0x184D2A50, 0x184D2A60)
 SEPARATOR = struct.pack("<II", SKIPPABLE[0], 0)
@@ -221,9 +221,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def round_trip(pages: DataFrame, owner: str = "warc") -> DataFrame:
     """Archives written to the shared folder and read back."""
-    from .common import _scratch
-
     path = f"{shared_dir(pages.sparkSession)}/ampliscope/{owner}-{uuid.uuid4().hex}"
     write_archives(pages, path)
-    _scratch.setdefault(owner, []).append(path)
+    adopt(owner, path)
     return read_archives(pages.sparkSession, path)
