@@ -1,4 +1,4 @@
-"""SentencePiece encoding and decoding by batched Viterbi over the model's piece scores."""
+"""SentencePiece encoding and decoding by a batched Viterbi pass over words of equal length."""
 
 from __future__ import annotations
 
@@ -13,47 +13,72 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 SPACE = "▁"
-LONGEST = 16
-BYTE_SCORE = -1e6
-CACHE = 300_000
+CACHE = 400_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]*")
 _loaded: dict[str, Pieces] = {}
 
 
 class Pieces:
-    """Pieces of a model as sorted hash keys.
+    """Pieces of a BPE model as sorted hash keys, with the merge that makes each.
 
-    A text gets a dummy space in front, spaces become U+2581, and words begin at runs of these; the best segmentation of a word has
-    the greatest total of piece scores (ties: the shortest last piece). A character that no piece covers becomes its UTF-8
-    bytes' pieces."""
+    A text gets a dummy space in front, spaces become U+2581, and words begin at runs of these. The library merges the best
+    ranked neighbours first. The same ids come from a Viterbi pass: a path may go on from one piece to the next only if merging
+    would leave these two neighbours apart, and then exactly one piece can end at each place. Ranks: single characters first, then
+    pieces by score. A character without a piece becomes its UTF-8 bytes' pieces; nothing merges with it."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.text, self.bytes = {}, np.zeros(256, np.int32)
-        words, ids, scores = [], [], []
+        self.text, self.bytes, own = {}, np.zeros(256, np.int32), []
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i)):
                 self.text[i] = piece
-                if len(piece) <= LONGEST:
-                    words.append(piece)
-                    ids.append(i)
-                    scores.append(sp.get_score(i))
-        self.of_byte = {int(i): b for b, i in enumerate(self.bytes)}
-        keys = np.array([int(self.hashes(np.array([[ord(c) for c in w]], np.uint64))[0, -1]) for w in words], np.uint64)
+                own.append((len(piece) > 1, -sp.get_score(i), i, piece))
+        self.raw = {i: piece.encode() for i, piece in self.text.items()} | {int(i): bytes([b]) for b, i in enumerate(self.bytes)}
+        own.sort()
+        rank = {piece: r for r, (_, _, _, piece) in enumerate(own)}
+        self.size = len(own)
+        self.left, self.right = np.arange(self.size), np.arange(self.size)  # the two that a piece is merged from; itself for a character
+        usable, pairs = [], {}
+        for r, (long, _, i, piece) in enumerate(own):
+            if long:
+                made = self.merged(piece, rank)
+                if len(made) != 2:
+                    continue  # merging never makes this piece
+                self.left[r], self.right[r] = rank[made[0]], rank[made[1]]
+                pairs[self.left[r] * self.size + self.right[r]] = r
+            usable.append((r, i, piece))
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_made = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        self.longest = max(len(piece) for _, _, piece in usable)
+        keys = np.array([int(self.hashes(np.array([[ord(c) for c in piece]], np.uint64))[0, -1]) for _, _, piece in usable], np.uint64)
         order = np.argsort(keys)
-        self.keys, self.ids, self.scores = keys[order], np.array(ids, np.int32)[order], np.array(scores)[order]
+        self.keys, self.ranks = keys[order], np.array([r for r, _, _ in usable])[order]
+        self.id_of = np.array([i for _, _, i, _ in own], np.int32)
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
-        self.letters = np.full((len(words), LONGEST), 0, np.uint32)
-        for row, i in enumerate(order):
-            self.letters[row, : len(words[i])] = [ord(c) for c in words[i]]
-        self.seen: dict[str, np.ndarray] = {}
+        self.letters = np.zeros((len(usable), self.longest), np.uint32)
+        for row, k in enumerate(order.tolist()):
+            piece = usable[k][2]
+            self.letters[row, : len(piece)] = [ord(c) for c in piece]
+        self.seen: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @staticmethod
+    def merged(piece: str, rank: dict[str, int]) -> list[str]:
+        """The neighbours that merging leaves when all but the piece itself may be made."""
+        parts = list(piece)
+        while len(parts) > 2:
+            best = min(range(len(parts) - 1), key=lambda k: rank.get(parts[k] + parts[k + 1], 1 << 30))
+            if parts[best] + parts[best + 1] not in rank:
+                break
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        return parts if all(x in rank for x in parts) else []
 
     @staticmethod
     def hashes(x: np.ndarray) -> np.ndarray:
@@ -65,50 +90,80 @@ class Pieces:
             out[:, k] = h
         return out
 
-    def viterbi(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of one length: all words advance together, one place at a time."""
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether merging leaves pieces a and b (ranks) as neighbours.
+
+        Their merges are undone from the last one on. Where the two parts that touch could have been merged with each other at
+        that time, ahead of what was done, the boundary would not have lasted."""
+        out, at = np.ones(len(a), bool), np.arange(len(a))
+        a, b, limit = a.copy(), b.copy(), np.full(len(a), 1 << 40)
+        while len(at):
+            k = np.minimum(np.searchsorted(self.pair_keys, a * self.size + b), len(self.pair_keys) - 1)
+            made = np.where(self.pair_keys[k] == a * self.size + b, self.pair_made[k], 1 << 41)
+            clash = made < limit
+            out[at[clash]] = False
+            a_part, b_part = self.right[a], self.left[b]
+            a_whole, b_whole = a_part == a, b_part == b
+            undo_a = ((a > b) | b_whole) & ~a_whole
+            undo_b = ~undo_a & ~b_whole
+            limit = np.where(undo_a, a, b + 1)
+            a, b = np.where(undo_a, a_part, a), np.where(undo_b, b_part, b)
+            go = ~clash & (undo_a | undo_b)
+            a, b, limit, at = a[go], b[go], limit[go], at[go]
+        return out
+
+    def viterbi(self, words: list[str]) -> list[bytes]:
+        """Ids (32-bit, packed) of words of one length: all words advance together, one place at a time."""
         n, m = len(words), len(words[0])
         x = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, m)
-        best = np.full((n, m + 1), -np.inf)
-        best[:, 0] = 0
-        back, piece = np.zeros((n, m + 1), np.int32), np.full((n, m + 1), -1, np.int32)
-        rows = np.arange(n)
+        last = np.full((n, m + 1), -2, np.int64)  # the piece that ends at each place: a rank, -1 for a character without a piece, -2 for none
+        back = np.zeros((n, m + 1), np.int32)
         for s in range(m):
-            size = min(LONGEST, m - s)
+            size = min(self.longest, m - s)
             h = self.hashes(x[:, s : s + size].astype(np.uint64))
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            hit = self.keys[at] == h
+            row, col = np.nonzero((self.keys[at] == h) & ((last[:, s] > -2) | (s == 0))[:, None])
+            probe = at[row, col]
             for k in range(size):
-                ok = hit[:, k]
-                if ok.any():
-                    same = (self.letters[at[ok, k], : k + 1] == x[ok, s : s + k + 1]).all(1)
-                    ok = rows[ok][same]
-                score = np.full(n, -np.inf)
-                score[ok] = self.scores[at[ok, k]]
-                if k == 0:
-                    score[score == -np.inf] = BYTE_SCORE
-                total = best[:, s] + score
-                better = total > best[:, s + k + 1]
-                better |= (total == best[:, s + k + 1]) & (total > -np.inf) & (s > back[:, s + k + 1])
-                best[better, s + k + 1] = total[better]
-                back[better, s + k + 1] = s
-                own = np.full(n, -1, np.int32)
-                own[ok] = self.ids[at[ok, k]]
-                piece[better, s + k + 1] = own[better]
-        out = []
-        for i, w in enumerate(words):
-            ids, e = [], m
+                long = col >= k
+                same = np.ones(len(row), bool)
+                same[long] = self.letters[probe[long], k] == x[row[long], s + k]
+                row, col, probe = row[same], col[same], probe[same]
+                if not (col > k).any():
+                    break
+            piece, before = self.ranks[probe], last[row, s] if s else np.full(len(row), -1, np.int64)
+            free = before < 0
+            both = before[~free] * self.size + piece[~free]
+            pairs, where = np.unique(both, return_inverse=True)
+            ok = free.copy()
+            ok[~free] = self.apart(pairs // self.size, pairs % self.size)[where]
+            last[row[ok], s + col[ok] + 1] = piece[ok]
+            back[row[ok], s + col[ok] + 1] = s
+            alone = np.ones(n, bool)
+            alone[row[col == 0]] = False
+            alone &= (last[:, s] > -2) | (s == 0)
+            last[alone, s + 1], back[alone, s + 1] = -1, s
+        ids, end, rows = np.full((n, m), -1, np.int32), np.full(n, m), np.arange(n)
+        odd = np.zeros(n, bool)
+        while len(rows):  # all words walk back together; an id stands where its piece begins
+            start, r = back[rows, end], last[rows, end]
+            ids[rows, start] = np.where(r >= 0, self.id_of[r], -1)
+            odd[rows[r < 0]] = True
+            rows, end = rows[start > 0], start[start > 0]
+        bounds = np.concatenate([[0], np.cumsum((ids >= 0).sum(1))]) * 4
+        flat = ids[ids >= 0].tobytes()
+        out = [flat[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        for i in np.flatnonzero(odd).tolist():
+            own, e, w = [], m, words[i]
             while e:
-                s = back[i, e]
-                ids[:0] = [piece[i, e]] if piece[i, e] >= 0 else self.bytes[list(w[s:e].encode())].tolist()
-                e = s
-            out.append(np.array(ids, np.int32))
+                b, r = back[i, e], last[i, e]
+                own[:0] = [self.id_of[r]] if r >= 0 else self.bytes[list(w[b:e].encode())].tolist()
+                e = b
+            out[i] = np.array(own, np.int32).tobytes()
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Encode words not seen before, by length; words beyond 256 characters go in blocks of few rows."""
-        if len(self.seen) > CACHE:
-            self.seen.clear()
+        """Encode words not seen before, by length, in blocks of bounded size."""
         by: dict[int, list[str]] = {}
         for w in words:
             by.setdefault(len(w), []).append(w)
@@ -118,16 +173,18 @@ class Pieces:
                 self.seen.update(zip(same[i : i + step], self.viterbi(same[i : i + step])))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [[w for w in _WORD.findall(SPACE + t.replace(" ", SPACE)) if w] if t else [] for t in texts]
-        fresh = {w for ws in split for w in ws}.difference(self.seen)
-        if fresh:
-            if len(self.seen) > CACHE:
-                fresh = {w for ws in split for w in ws}
-            self.learn(fresh)
-        return [np.concatenate([self.seen[w] for w in ws]) if ws else np.zeros(0, np.int32) for ws in split]
+        split = [_WORD.findall(SPACE + t.replace(" ", SPACE))[:-1] if t else [] for t in texts]  # the last match is empty
+        words = {w for ws in split for w in ws}.difference(self.seen)
+        if len(self.seen) > CACHE:  # two generations, so that common words stay
+            self.seen, self.old = {}, self.seen
+            words = {w for ws in split for w in ws}
+        for w in words.intersection(self.old):
+            self.seen[w] = self.old[w]
+        self.learn(words.difference(self.seen))
+        return [np.frombuffer(b"".join(map(self.seen.__getitem__, ws)), np.int32) for ws in split]
 
     def decode(self, ids: np.ndarray) -> str:
-        out = b"".join(bytes([self.of_byte[i]]) if i in self.of_byte else self.text[i].encode() for i in ids.tolist())
+        out = b"".join(map(self.raw.__getitem__, ids.tolist()))
         return out.decode("utf-8", "replace").replace(SPACE, " ")[1:]
 
 
