@@ -9,6 +9,11 @@ from ampliscope.plans import catalog
 from ampliscope.sources.banks import documents_bank, events_bank, lineitem_bank
 
 
+@pytest.fixture(autouse=True)
+def uncached(spark):
+    spark.catalog.clearCache()  # another test's persisted table would stand in the plan
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
