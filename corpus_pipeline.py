@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ampliscope.llm import packing, pii, quality, simhash, suffix
+from ampliscope.llm import packing, pii, quality, similar, suffix
 from ampliscope.llm.common import release, shared_dir
 from ampliscope.llm.queries import TOKENIZER
 
@@ -23,7 +23,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs, owner=_fresh(spark, "simhash"))
+    return similar.deduplicated(docs, owner=_fresh(spark, "simhash"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

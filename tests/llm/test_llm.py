@@ -482,3 +482,38 @@ def test_pipeline_odd_rows(spark, odd, none, sf_dir):
         for name, stage in corpus_pipeline.STAGES:
             df = stage(spark, df, sf_dir).persist()
             df.count()
+
+
+def slow_similar(texts):
+    """Least index of each text's component over pairs whose 5-word shingle sets have a Jaccard similarity of 0.8 at least."""
+    words = [re.findall(SPACE, re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    root = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("open_pairs", [200_000, 0])
+def test_near_duplicate_stage_links_at_five_words_and_four_fifths(spark, sf_dir, odd, monkeypatch, open_pairs):
+    from ampliscope.llm import similar
+
+    monkeypatch.setattr(similar, "OPEN", open_pairs)
+    monkeypatch.setattr(similar, "OPEN_EACH", 0)
+    rng = np.random.default_rng(12)
+    texts = []
+    for group in range(4):
+        base = [f"g{group}w{i}" for i in range(200)]
+        for edits in (0, 0, 1, 2, 3, 4, 5, 8, 12, 3, 4, 5):
+            own = list(base)
+            for j in rng.choice(200, edits, replace=False):
+                own[j] = f"new{rng.integers(1 << 30)}"
+            texts.append(" ".join(own))
+    data = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash"](spark, data, sf_dir).collect()} == set(slow_similar(texts))
+    own = sorted((r for r in rows(odd) if r["doc_id"] is not None and r["doc_id"] != 9), key=lambda r: r["doc_id"])
+    got = {r["doc_id"] for r in similar.deduplicated(odd.where("doc_id is not null and doc_id <> 9"), owner="t").collect()}
+    assert got == {own[i]["doc_id"] for i in set(slow_similar([r["text"] for r in own]))}
