@@ -54,8 +54,8 @@ def similar_pairs(rows: DataFrame, at_least: float, blocks: int = 16, key: str =
     return both.where(F.col("cosine") >= at_least).select(F.col("x").alias("a"), F.col("y").alias("b"), "cosine")
 
 
-def components(nodes: DataFrame, edges: DataFrame, key: str = "vec_id", rounds: int = 50) -> DataFrame:
-    """key, component: the least key reachable over edges (a, b). Labels halve their way by neighbours and by their own label; lineage is cut by checkpoints."""
+def components(nodes: DataFrame, edges: DataFrame, key: str = "vec_id") -> DataFrame:
+    """key, component: the least key reachable over edges (a, b). Large-star and small-star steps in turn until nothing changes; lineage is cut by checkpoints."""
     spark = nodes.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
@@ -64,17 +64,21 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "vec_id", rounds:
         if not folder and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp())
-    both = edges.select("a", "b").union(edges.select("b", "a")).checkpoint()
-    labels = nodes.select(F.col(key).alias("id"), F.col(key).alias("label")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("n"))
-        step = labels.join(near, labels.id == near.a, "left").select("id", "label", F.least("label", F.coalesce("n", "label")).alias("m"))
-        jump = step.select(F.col("id").alias("m"), F.col("m").alias("j"))
-        new = step.join(jump, "m", "left").select("id", "label", F.least("m", F.coalesce("j", "m")).alias("new")).checkpoint()
-        if new.where("new <> label").isEmpty():
+    for end in ("a", "b"):
+        edges = edges.join(nodes.select(F.col(key).alias(end)).distinct(), end, "left_semi")
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    before = None
+    while True:
+        both = now.union(now.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        now = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct().checkpoint()
+        sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if sign == before:
             break
-        labels = new.select("id", F.col("new").alias("label"))
-    return labels.select(F.col("id").alias(key), F.col("label").alias("component"))
+        before = sign
+    return nodes.join(now, nodes[key] == now["u"], "left").select(nodes[key], F.coalesce(now["v"], nodes[key]).alias("component"))
 
 
 def medoids(rows: DataFrame, group: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

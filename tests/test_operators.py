@@ -189,3 +189,13 @@ def test_models(spark):
     assert models.scored(rows.where("reward is not null"), "none").count() == 1
     models.register_scorer("two", lambda r: r.withColumn("reward", F.lit(2.0)))
     assert {r["reward"] for r in models.scored(rows, "two").collect()} == {1.0, 2.0}
+
+
+def test_components_of_a_long_path(spark):
+    import random
+
+    ids = list(range(300))
+    random.Random(4).shuffle(ids)
+    nodes = spark.createDataFrame([(i,) for i in range(302)], "vec_id long")
+    edges = spark.createDataFrame([*zip(ids, ids[1:]), (300, 999), (301, 999)], "a long, b long")
+    assert {r["vec_id"]: r["component"] for r in corpus.components(nodes, edges).collect()} == {**dict.fromkeys(ids, 0), 300: 300, 301: 301}
