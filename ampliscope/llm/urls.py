@@ -14,10 +14,12 @@ from .common import prepare
 
 #: (verdict, rule): host/path; fits the host and its subdomains, and paths that start with the rule's.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-BUCKETS = 1 << 14
 SAMPLE = 20_000
+#: Domains with at least this share of all rows are joined by broadcast.
+HOT = 0.001
 BINS = 32
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digits", "host_digits", "entropy", "parameters", "dashes", "suffix_rate", "suffix_count", "domain_rate", "domain_count", "last_length")
+STATS = ("suffix_rate", "suffix_n", "domain_rate", "domain_n")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -36,8 +38,8 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def features(urls: list[str], hosts: list[str], paths: list[str], suffix: np.ndarray, domain: np.ndarray, seen: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    """A row of FEATURES for each URL. suffix and domain: buckets; seen and rate: each bucket's rows and share of allowed ones."""
+def features(urls: list[str], hosts: list[str], paths: list[str], known: np.ndarray) -> np.ndarray:
+    """A row of FEATURES for each URL. known: a row of STATS for each URL."""
     out = np.zeros((len(urls), len(FEATURES)))
     for i, (u, h, p) in enumerate(zip(urls, hosts, paths)):
         n = max(1, len(u))
@@ -47,8 +49,8 @@ def features(urls: list[str], hosts: list[str], paths: list[str], suffix: np.nda
         parts = [x for x in p.split("/") if x]
         out[i, :10] = len(u), len(h), len(p), len(parts), h.count(".") + 1, digits / n, sum(map(h.count, "0123456789")) / max(1, len(h)), entropy, query.count("=") + query.count("&"), u.count("-") + u.count("_")
         out[i, 14] = len(parts[-1]) if parts else 0
-    out[:, 10], out[:, 11] = rate[suffix], np.log1p(seen[suffix])
-    out[:, 12], out[:, 13] = rate[domain], np.log1p(seen[domain])
+    out[:, 10], out[:, 11] = known[:, 0], np.log1p(known[:, 1])
+    out[:, 12], out[:, 13] = known[:, 2], np.log1p(known[:, 3])
     return out
 
 
@@ -108,34 +110,42 @@ def scored(model: dict, x: np.ndarray) -> np.ndarray:
 def judged(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block) and allowed (the model's probability; null where a rule fits).
 
-    The labels are the rules' verdicts. Suffix statistics count all rows, in a fixed number of hash buckets; the trees are fitted
-    on at most `sample` labelled URLs, those of least hash. Null URLs and those without "://" have empty host and path and
+    The labels are the rules' verdicts. Suffix and domain statistics count all rows, exactly; the trees are fitted on at most
+    `sample` distinct labelled URLs, those of least hash. Null URLs and those without "://" have empty host and path and
     go to the model, like any other. Without labelled URLs, or with labels of one kind only, that kind (or allow) is the verdict."""
     spark = pages.sparkSession
     prepare(spark)
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url")).select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    bucket = lambda n: F.pmod(F.xxhash64(F.lit(n), F.substring_index("host", ".", -n)), F.lit(BUCKETS)).cast("int")
-    rows = rows.withColumns({"rule": rule, "label": verdict, "suffix": bucket(1), "domain": bucket(2)})
-    counts = rows.select("label", F.explode(F.array("suffix", "domain")).alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.count("label").alias("m"), F.count_if(F.col("label") == "allow").alias("a")).collect()
-    seen, rate = np.zeros(BUCKETS), np.full(BUCKETS, 0.5)
-    for r in counts:
-        seen[r["b"]], rate[r["b"]] = r["n"], (r["a"] + 1) / (r["m"] + 2)
-    drawn = rows.where("label is not null").select("url", "host", "path", "suffix", "domain", "label").orderBy(F.xxhash64("url"), "url").limit(sample).collect()
+    rows = rows.withColumns({"rule": rule, "label": verdict, "domain": F.substring_index("host", ".", -2)})
+    by_domain = rows.groupBy("domain").agg(F.count("*").alias("n"), F.count("label").alias("m"), F.count_if(F.col("label") == "allow").alias("a"))
+    by_domain = by_domain.withColumn("suffix", F.substring_index("domain", ".", -1))
+    by_suffix = by_domain.groupBy("suffix").agg(*(F.sum(c).alias(f"suffix_{c}") for c in "nma"))
+    share = lambda a, m: (F.col(a) + 1) / (F.col(m) + 2)
+    stats = by_domain.join(by_suffix, "suffix").select("domain", share("suffix_a", "suffix_m").alias("suffix_rate"), "suffix_n", share("a", "m").alias("domain_rate"), F.col("n").alias("domain_n"))
+    hot = F.broadcast(stats.where(F.col("domain_n") >= HOT * rows.count()))
+
+    def known(some: DataFrame) -> DataFrame:
+        """With STATS; the few domains of many rows are joined apart, so that none lands in one task."""
+        rest = some.join(hot.select("domain"), "domain", "left_anti").join(stats, "domain")
+        return some.join(hot, "domain").unionByName(rest)
+
+    drawn = known(rows.where("label is not null").select("url", "host", "path", "domain", "label").distinct().orderBy(F.xxhash64("url"), "url").limit(sample)).collect()
+    drawn.sort(key=lambda r: r["url"])
     y = np.array([r["label"] == "allow" for r in drawn], float)
     model = {"start": 5.0 if not len(y) or y.mean() >= 0.5 else -5.0, "trees": [], "depth": 0}
     if len(y) and 0 < y.mean() < 1:
         columns = [[r[c] for r in drawn] for c in ("url", "host", "path")]
-        model = boost(features(*columns, *(np.array([r[c] for r in drawn]) for c in ("suffix", "domain")), seen, rate), y)
+        model = boost(features(*columns, np.array([[r[c] for c in STATS] for r in drawn], float)), y)
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             u, h, p = ([x or "" for x in batch.column(i).to_pylist()] for i in (1, 2, 3))
-            x = features(u, h, p, batch.column(6).to_numpy(), batch.column(7).to_numpy(), seen, rate)
+            x = features(u, h, p, np.stack([batch.column(i).to_numpy().astype(float) for i in range(6, 10)], 1))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in (0, 2, 3, 4, 5)), pa.array(scored(model, x))], ["page_id", "host", "path", "rule", "label", "allowed"])
 
-    out = rows.select("page_id", "url", "host", "path", "rule", "label", "suffix", "domain").mapInArrow(run, f"page_id {kind}, host string, path string, rule string, label string, allowed double")
+    out = known(rows).select("page_id", "url", "host", "path", "rule", "label", *STATS).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, label string, allowed double")
     ruled = F.col("rule").isNotNull()
     return out.select("page_id", "host", "path", "rule", F.when(ruled, F.col("label")).when(F.col("allowed") >= 0.5, "allow").otherwise("block").alias("verdict"), F.when(~ruled, F.col("allowed")).alias("allowed"))

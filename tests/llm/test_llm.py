@@ -399,6 +399,25 @@ def test_urls(spark, sf_dir):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_statistics_are_exact(spark, monkeypatch):
+    seen, plain = {}, urls.features
+
+    def noted(u, *rest):
+        x = plain(u, *rest)
+        seen.update(zip(u, x[:, 10:14].tolist()))
+        return x
+
+    monkeypatch.setattr(urls, "features", noted)
+    pages = [f"http://d{i}.{'org' if i % 3 else 'com'}/{'fr' if i % 2 else 'de'}/x" for i in range(18_000)] + ["http://d0.com/de/x"] * 2000
+    assert urls.judged(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")).count() == 20_000
+    assert {u.split("/")[2].rpartition(".")[2] for u in seen} == {"com", "org"} and len(seen) == 18_000
+    for u, got in seen.items():
+        org, fr = ".org/" in u, "/fr/" in u
+        n = 2001 if u == "http://d0.com/de/x" else 1
+        rate = 12_001 / 12_002 if org else 3_001 / 8_002
+        assert got == pytest.approx([rate, np.log1p(12_000 if org else 8_000), (2 if org or fr else 1) / (n + 2), np.log1p(n)])
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(6)
     x = rng.random((4000, 5))
