@@ -14,6 +14,7 @@ SEARCH_BEAM = 160
 SHARDS, SHARD_ROWS = 8, 50_000
 BLOCK = 2048
 BITMAP = 24_000_000
+PRUNED = 256
 
 
 def _nearest(x: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int, trace: bool = False):
@@ -22,12 +23,11 @@ def _nearest(x: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray,
     Returns ids and squared distances (m, beam), -1 and inf where fewer were met; with trace also the expanded ids (m, steps)."""
     m, n = len(queries), len(x)
     ids = np.full((m, beam), -1, np.int64)
-    dist = np.full((m, beam), np.inf, np.float32)
+    dist = np.full((m, beam), np.inf)
     done = np.ones((m, beam), bool)
-    norms, own = (x * x).sum(1), (queries * queries).sum(1)
     seen = np.zeros((m, n + 1), bool)
     ids[:, 0], done[:, 0] = entry, False
-    dist[:, 0] = norms[entry] + own - 2 * queries @ x[entry]
+    dist[:, 0] = ((queries - x[entry]) ** 2).sum(1)
     seen[:, entry] = seen[:, n] = True
     steps = []
     while True:
@@ -50,8 +50,9 @@ def _nearest(x: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray,
             continue
         to = near[row, col]
         seen[live[row], to] = True
-        d = np.full(near.shape, np.inf, np.float32)
-        d[row, col] = norms[to] + own[live[row]] - 2 * np.einsum("ij,ij->i", x[to], queries[live[row]])
+        d = np.full(near.shape, np.inf)
+        apart = x[to] - queries[live[row]]
+        d[row, col] = np.einsum("ij,ij->i", apart, apart)
         all_d = np.concatenate([dist[live], d], 1)
         pick = np.argpartition(all_d, beam - 1, 1)[:, :beam]
         rows = np.arange(len(live))[:, None]
@@ -64,17 +65,18 @@ def _nearest(x: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray,
 def _pruned(x: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """Out-edges (m, degree) of nodes `of` among candidates (m, c; -1: none): the nearest stays, those that it covers by the factor alpha go, and so on."""
     m, c = candidates.shape
+    if m > PRUNED:
+        return np.concatenate([_pruned(x, of[i : i + PRUNED], candidates[i : i + PRUNED], degree, alpha) for i in range(0, m, PRUNED)])
     order = np.sort(candidates, 1)
     order[:, 1:][order[:, 1:] == order[:, :-1]] = -1
     order[order == of[:, None]] = -1
     v = x[np.maximum(order, 0)]
-    sq = (v * v).sum(2)
-    dist = np.where(order < 0, np.inf, sq + (x[of] ** 2).sum(1)[:, None] - 2 * np.einsum("mcd,md->mc", v, x[of]))
+    apart = v - x[of][:, None]
+    dist = np.where(order < 0, np.inf, np.einsum("mcd,mcd->mc", apart, apart))
     if c > 2 * degree:
         keep = np.argpartition(dist, 2 * degree - 1, 1)[:, : 2 * degree]
         rows = np.arange(m)[:, None]
-        order, dist, v, sq = order[rows, keep], dist[rows, keep], v[rows, keep], sq[rows, keep]
-    between = sq[:, :, None] + sq[:, None, :] - 2 * v @ v.transpose(0, 2, 1)
+        order, dist, v = order[rows, keep], dist[rows, keep], v[rows, keep]
     out, rows = np.full((m, degree), -1, np.int64), np.arange(m)
     left = dist.copy()
     for k in range(degree):
@@ -84,7 +86,8 @@ def _pruned(x: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree: int,
             break
         out[ok, k] = order[rows, best][ok]
         left[rows, best] = np.inf
-        left[ok[:, None] & (alpha * alpha * between[rows, best] <= dist)] = np.inf
+        apart = v - v[rows, best][:, None]
+        left[ok[:, None] & (alpha * alpha * np.einsum("mcd,mcd->mc", apart, apart) <= dist)] = np.inf
     return out
 
 
@@ -146,7 +149,8 @@ def neighbours(vectors: DataFrame, owner: str = "ann", k: int = 20, every: int =
     part, nor do those whose length is not the commonest (of equally common ones the larger). A repeated row (same id and vector) counts once. Each distinct vector is
     one node of the index; it stands for its k + 1 smallest ids, more of which no result could hold, so a vector shared by
     many rows costs one node. Vectors are dealt to shards by hash, and each query block is searched in every shard.
-    Inner products are turned into distances by one more component, which completes all vectors to one norm."""
+    Inner products are turned into distances by one more component, which completes all vectors to one norm; distances are
+    squared differences in double precision, so that one large norm leaves the others' distances apart."""
     spark = vectors.sparkSession
     prepare(spark)
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable("v"))
@@ -165,7 +169,7 @@ def neighbours(vectors: DataFrame, owner: str = "ann", k: int = 20, every: int =
         import pandas as pd
 
         x = np.array(frame["v"].tolist(), np.float64).reshape(len(frame), dim)
-        wide = np.concatenate([x, np.sqrt(np.maximum(0, most - (x * x).sum(1)))[:, None]], 1).astype(np.float32)
+        wide = np.concatenate([x, np.sqrt(np.maximum(0, most - (x * x).sum(1)))[:, None]], 1)
         graph, entry = build(wide)
         ids = [np.asarray(i, np.int64) for i in frame["ids"]]
         counts = np.array([len(i) for i in ids], np.int64)
@@ -200,9 +204,9 @@ def neighbours(vectors: DataFrame, owner: str = "ann", k: int = 20, every: int =
                 raw = lambda f, t, *shape: np.frombuffer(batch.column(f)[i].as_buffer(), t).reshape(*shape)  # noqa: E731,B023
                 x, q, q_ids, counts, ids = raw("x", np.float64, n, dim), raw("q", np.float64, -1, dim), raw("q_ids", np.int64, -1), raw("counts", np.int64, -1), raw("ids", np.int64, -1)
                 graph = raw("graph", np.int32, n, -1).astype(np.int64)
-                wide = np.concatenate([x, np.sqrt(np.maximum(0, most - (x * x).sum(1)))[:, None]], 1).astype(np.float32)
+                wide = np.concatenate([x, np.sqrt(np.maximum(0, most - (x * x).sum(1)))[:, None]], 1)
                 scale = np.sqrt(most / np.maximum((q * q).sum(1), 1e-300))[:, None]
-                found = search(wide, graph, entry, np.concatenate([q * scale, np.zeros((len(q), 1))], 1).astype(np.float32), k + 1)
+                found = search(wide, graph, entry, np.concatenate([q * scale, np.zeros((len(q), 1))], 1), k + 1)
                 row, col = np.nonzero(found >= 0)
                 node = found[row, col]
                 scores = np.empty(len(row))

@@ -467,6 +467,15 @@ def test_neighbours_odd_rows(spark):
     assert ann.neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("ratio", [100.0, 10_000.0])
+def test_recall_with_one_large_norm(spark, monkeypatch, ratio):
+    monkeypatch.setattr(ann, "SHARDS", 1)
+    x = np.random.default_rng(9).normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= ratio
+    assert recall(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")) >= 0.95
+
+
 # Pipeline
 
 
