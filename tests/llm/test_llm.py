@@ -476,6 +476,30 @@ def test_recall_with_one_large_norm(spark, monkeypatch, ratio):
     assert recall(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")) >= 0.95
 
 
+def test_recall_in_a_shard_of_the_largest_size(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARDS", 1)
+    x = np.random.default_rng(10).normal(size=(ann.SHARD_ROWS, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), every=100) >= 0.9
+
+
+def test_each_vector_length_is_an_index_of_its_own(spark):
+    rng = np.random.default_rng(12)
+    data = [(i, rng.normal(size=3 + i % 2).tolist()) for i in range(200)]
+    found = ann.neighbours(spark.createDataFrame(data, "vec_id long, embedding array<double>"), "t10").collect()
+    own = dict(data)
+    for q in range(0, 200, 20):
+        best = sorted(((-float(np.dot(own[q], v)), i) for i, v in data if i != q and len(v) == len(own[q])))[:20]
+        assert [i for _, i in best] == [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q]
+
+
+def test_no_reverse_edge_is_lost_before_pruning():
+    x = np.random.default_rng(13).normal(size=(400, 8))
+    graph = np.full((400, 6), -1, np.int64)
+    ann._linked_back(x, graph, np.arange(1, 400), np.zeros(399, np.int64), 1.2)
+    assert (graph[0] == ann._pruned(x, np.array([0]), np.arange(1, 400)[None], 6, 1.2)[0]).all() and (graph[1:] == -1).all()
+
+
 # Pipeline
 
 
