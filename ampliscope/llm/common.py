@@ -7,8 +7,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 ARROW_BYTES = 8 << 20
@@ -85,6 +86,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (f"__{stem}{i}" for i in range(len(taken) + 1)) if n.lower() not in taken)
+
+
+def own_columns(df: DataFrame, *but: str) -> list[Column]:
+    """All columns of df but the named ones, with names quoted: a struct of them keeps clear of an operator's own names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in but]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns but maps, which have no order."""
+    return F.xxhash64(*[c for c, f in zip(own_columns(df), df.schema) if "map<" not in f.dataType.simpleString()])
+
+
+def keyed_schema(df: DataFrame, key: str, rest: str) -> StructType:
+    """The key column of df, whatever its type and field names, and the columns of a DDL string."""
+    return StructType([df.schema[key], *StructType.fromDDL(rest)])
+
+
 def text_bytes(column: str = "text"):
     """The text's UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

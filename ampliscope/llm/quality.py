@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces_of, prepare, saved, text_bytes
+from .common import free_name, own_columns, pieces_of, prepare, saved, text_bytes
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_marks")
 WINDOW = 5
@@ -163,8 +163,11 @@ def judged(docs: DataFrame, owner: str = "quality", text: str = "text", key: str
 
 
 def kept(docs: DataFrame, owner: str = "quality") -> DataFrame:
-    """The rows of docs that pass, with all their columns. Decisions go by (doc_id, text), so rows that share an id are told apart."""
-    spark = docs.sparkSession
-    both = docs.withColumn("_k", F.struct(F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id")))
-    bad = judged(both, owner, key="_k").where(~F.col("kept")).select(F.col("doc_id").alias("_k")).distinct()
-    return both.join(bad, "_k", "left_anti").select(*docs.columns)
+    """The rows of docs that pass, with all their columns. Decisions go by (doc_id, text), so rows that share an id are told apart.
+
+    Null and empty texts fail, having fewer than 10 words; null ids are judged like others; repeated rows all stay or all go.
+    An empty table gives an empty result."""
+    k = free_name(docs, "k")
+    both = docs.withColumn(k, F.struct(F.xxhash64("doc_id", "text"), F.xxhash64("text", "doc_id")))
+    bad = judged(both, owner, key=k).where(~F.col("kept")).select(F.col("doc_id").alias(k)).distinct()
+    return both.join(bad, k, "left_anti").select(*own_columns(docs))

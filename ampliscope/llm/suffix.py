@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, prepare, saved, text_bytes
+from .common import discard, keyed_schema, own_columns, prepare, saved, text_bytes
 
 LENGTH = 200
 GRAM = 32
@@ -234,19 +234,22 @@ def without_repeats(docs: DataFrame, owner: str = "suffix", key: str = "doc_id",
     ident = ident or key
     names = (F.xxhash64(ident, text).alias("k1"), F.xxhash64(text, ident).alias("k2"))
     raw = docs.select(*names, F.col(key).alias("doc_id"), text_bytes(text).alias("text"))
-    kind = raw.schema["doc_id"].dataType.simpleString()
     spans = _spans(raw.select("k1", "k2", "text"), owner)
     both = raw.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(_kept, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, rest binary")
+    return both.mapInArrow(_kept, keyed_schema(raw, "doc_id", "n_bytes long, n_removed long, n_spans long, rest binary"))
 
 
 def deduplicated(docs: DataFrame, owner: str = "suffix") -> DataFrame:
-    """The rows of docs with repeated strings removed from text and n_chars renewed. A cut inside a character leaves U+FFFD for its torn bytes."""
+    """The rows of docs with repeated strings removed from text and n_chars renewed. A cut inside a character leaves U+FFFD for its torn bytes.
+
+    Null texts stay null. A repeated row repeats all of its windows, so its text empties if it has LENGTH bytes or more. An
+    empty table gives an empty result."""
     prepare(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    whole = docs.select(F.struct(F.col("text").isNull().alias("_null"), *rest).alias("row"), F.col("doc_id").alias("ident"), "text")
-    text = F.when(~F.col("doc_id._null"), F.expr("make_valid_utf8(cast(rest as string))")).alias("text")
-    cut = without_repeats(whole, owner, key="row", ident="ident").select("doc_id.*", text)
+    rest = F.struct(*own_columns(docs, "text", "n_chars")).alias("rest")
+    whole = docs.select(F.struct(F.col("text").isNull().alias("none"), rest).alias("row"), F.col("doc_id").alias("ident"), "text")
+    cut = without_repeats(whole, owner, key="row", ident="ident")
+    text = F.when(~F.col("doc_id.none"), F.expr("make_valid_utf8(cast(rest as string))"))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(new[c].alias(c) if c in new else F.col("doc_id.rest")[c].alias(c) for c in docs.columns))
