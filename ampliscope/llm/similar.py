@@ -14,8 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, free_name, own_columns, prepare, row_hash, saved, text_bytes
-from .simhash import runs_in, shingle_hashes, trie_links, whole_runs
+from .common import components, discard, free_name, own_columns, prepare, row_hash, saved, text_bytes
+from .simhash import runs_in, shingle_hashes, stars, trie_links, whole_runs
 
 #: A pair is a near-duplicate if its sets of WORDS-word shingles have at least OVER / UNDER of their union in common.
 WORDS, OVER, UNDER = 5, 4, 5
@@ -27,6 +27,8 @@ FAR, SURE = 259, 129
 NEAR_64 = 23
 #: Each word is dealt out by one of three blocks of bits; with two bits apart at most, one block agrees. (shift, width)
 BLOCKS = ((21, 11), (10, 11), (0, 10))
+CHUNK = 2048  # members of a family that meet in one task
+DRAWN = 256  # members of a family that tell its middle
 PLANES = 2048  # dimensions that shingles are hashed to before they meet the planes
 
 
@@ -94,21 +96,39 @@ def _dealt(batches):
                 yield pa.RecordBatch.from_arrays(arrays, ["cut", "rest", "more", "node", "root"])
 
 
-def _earlier(block: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Whether the pair also agrees in an earlier block, whose trie finds it; apart: the differing bits of rest."""
-    first = apart >> np.where(block == 1, 10, 11) == 0
-    return np.where(block == 0, False, np.where(block == 1, first, first | (apart & 2047 == 0)))
+def _spanning(root: np.ndarray, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Places of the pairs i-j that join what they can join, at the least total of apart (Boruvka's rounds); root: the components before."""
+    order = np.argsort(apart, kind="stable")
+    root, picked = root.copy(), []
+    while len(order):
+        order = order[root[i[order]] != root[j[order]]]
+        best = np.full(len(root), len(order))
+        for end in (i, j):
+            np.minimum.at(best, root[end[order]], np.arange(len(order)))
+        edges = order[np.unique(best[best < len(order)])]
+        picked.append(edges)
+        stars(root, i[edges], j[edges])
+    return np.concatenate(picked) if picked else order
 
 
 def _candidates(batches):
-    """Pairs of classes with other roots whose words are within the budget, and whose further words do not speak against it."""
+    """Pairs of classes of other groups whose words are within the budget, and whose further words do not speak against it.
+
+    Of each table's pairs those stay that join all that the others would, the nearest first: a row for a group at most."""
     for rows in whole_runs(batches, 5, 1):
         keys, group = rows[:, 1].astype(np.uint64), rows[:, 4]
+        root = np.unique(np.stack([rows[:, 0], group]), axis=1, return_inverse=True)[1].ravel()
+        root = np.unique(root, return_index=True)[1][root]
+        held = [np.zeros(0, np.int64)] * 3
         for i, j in trie_links(keys, *runs_in(rows, 1), 22, BUDGET, group):
-            ok = np.bitwise_count((rows[i, 2] ^ rows[j, 2]).view(np.uint64)) <= NEAR_64
-            ok[ok] = ~_earlier((rows[i[ok], 0] >> 11) % 3, rows[i[ok], 1] ^ rows[j[ok], 1])
-            a, b = rows[i[ok], 3], rows[j[ok], 3]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            apart = np.bitwise_count((rows[i, 2] ^ rows[j, 2]).view(np.uint64)).astype(np.int64)
+            ok = apart <= NEAR_64
+            held = [np.concatenate([x, y[ok]]) for x, y in zip(held, (i, j, apart))]
+            if len(held[0]) > len(rows) + (1 << 18):
+                held = [x[_spanning(root, *held)] for x in held]
+        i, j = (x[_spanning(root, *held)] for x in held[:2])
+        a, b = rows[i, 3], rows[j, 3]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def _measured(batches):
@@ -136,34 +156,126 @@ def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(_measured, "a long, b long, apart int").where(F.col("apart") <= FAR)
 
 
+def _exact(pairs: DataFrame, raw: DataFrame, classes: DataFrame, owner: str, name: str) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", F.col("least").alias("doc_id"))
+    texts = asked.join(raw, asked["doc_id"].eqNullSafe(raw["doc_id"])).select("node", "text").dropDuplicates(["node"])
+    sets = saved(texts.mapInArrow(_sets, "node long, s binary"), owner, f"sets-{name}")
+    sides = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y")
+    found = saved(both.mapInArrow(_checked, "a long, b long"), owner, f"exact-{name}")
+    discard(raw.sparkSession, owner, f"sets-{name}")
+    return found
+
+
+def _judged(pairs: DataFrame, raw: DataFrame, classes: DataFrame, owner: str, name: str) -> DataFrame:
+    """The similar ones of pairs (a, b): by their bits where these are clear; the others, where no clear ones join their ends, by their sets."""
+    near = saved(_apart(pairs, classes), owner, f"near-{name}")
+    clear, open_ = near.where(F.col("apart") <= SURE).select("a", "b"), near.where(F.col("apart") > SURE).select("a", "b")
+    roots = components(clear, owner)
+    for n in "ab":
+        open_ = open_.join(roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root")), n, "left")
+    open_ = saved(open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), owner, f"open-{name}")
+    return clear.union(_exact(open_, raw, classes, owner, name))
+
+
+def _middle(frame):
+    """The majority of each bit over a family's drawn fingerprints."""
+    import pandas as pd
+
+    prints = np.frombuffer(b"".join(frame["print"]), np.uint8).reshape(len(frame), -1)
+    most = 2 * np.unpackbits(prints, axis=1).sum(0, dtype=np.int64) > len(frame)
+    return pd.DataFrame([{"family": frame["family"].iloc[0], "middle": np.packbits(most).tobytes()}])
+
+
+def _from_middle(batches):
+    """(family, node, apart): bits between a class and its family's middle."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, TABLES) for c in (2, 3))
+        apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart)], ["family", "node", "apart"])
+
+
+def _stars(few: DataFrame, owner: str) -> DataFrame:
+    """(a, b): each class of a family with the one in its middle, a pair a class.
+
+    A family joins classes with a word in common. Near copies of one text are less like each other than like that text, which is
+    the member nearest to the majority of their bits (of DRAWN members or so, by hash)."""
+    words = few.mapInArrow(_words, "word long, node long").withColumn("h", F.xxhash64("node"))
+    lead = words.groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("h", F.col("node").alias("a"))).alias("l")).where("n > 1").select("word", "l")
+    led = words.join(lead, "word").where("l.a <> node").groupBy("node").agg(F.min("l")["a"].alias("a"))
+    families = components(led.select("a", F.col("node").alias("b")), owner)
+    members = saved(few.join(families.withColumnRenamed("root", "family"), "node").select("family", "node", "print"), owner, "members")
+    sizes = members.groupBy("family").agg(F.count("*").alias("n")).where("n > 2")
+    drawn = members.join(sizes, "family").where(F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("n") / DRAWN))) == 0)
+    middles = drawn.select("family", "print").groupBy("family").applyInPandas(_middle, "family long, middle binary")
+    far = members.join(middles, "family").select("family", "node", "print", "middle").mapInArrow(_from_middle, "family long, node long, apart int")
+    centre = far.groupBy("family").agg(F.min(F.struct("apart", "node"))["node"].alias("centre"))
+    pairs = members.join(centre, "family").where("node <> centre")
+    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+
+
+def _within(frame):
+    """Links (a, b) that join the similar classes of a family: by their bits where these are clear, the nearest of the others first
+    by their sets. Pairs that are joined by then, or share a root, need no look."""
+    import pandas as pd
+
+    prints = np.frombuffer(b"".join(frame["print"]), np.uint64).reshape(len(frame), -1)
+    sets = [np.frombuffer(s, np.uint64) for s in frame["s"]]
+    size = np.array([len(s) for s in sets])
+    root = np.unique(frame["root"].to_numpy(), return_index=True, return_inverse=True)
+    root, found = root[1][root[2]], []
+    for i in range(0, len(prints), 64):
+        apart = np.bitwise_count(prints[i : i + 64, None] ^ prints[None]).sum(2, dtype=np.int64)
+        x, y = np.nonzero((apart <= FAR) & (root[i : i + 64, None] < root))
+        x, apart = x + i, apart[x, y]
+        ok = OVER * np.maximum(size[x], size[y]) <= UNDER * np.minimum(size[x], size[y])
+        found.append(np.stack([apart, x, y])[:, ok])
+    apart, x, y = np.concatenate(found, axis=1)
+    clear = np.flatnonzero(apart <= SURE)
+    clear = clear[_spanning(root, x[clear], y[clear], apart[clear])]
+    links = list(zip(x[clear].tolist(), y[clear].tolist()))
+    stars(root, x[clear], y[clear])
+    open_ = np.flatnonzero((apart > SURE) & (root[x] != root[y]))
+    open_ = open_[np.argsort(apart[open_], kind="stable")]
+    over = root.tolist()
+    for p, q in zip(x[open_].tolist(), y[open_].tolist()):
+        while over[p] != over[over[p]]:
+            over[p] = over[over[p]]
+        while over[q] != over[over[q]]:
+            over[q] = over[over[q]]
+        if over[p] != over[q] and similar(sets[p], sets[q]):
+            links.append((p, q))
+            over[over[p]] = over[q]
+    node = frame["node"].to_numpy()
+    return pd.DataFrame({"a": [node[p] for p, _ in links], "b": [node[q] for _, q in links]}, dtype="int64")
+
+
 def _links(raw: DataFrame, classes: DataFrame, owner: str) -> DataFrame:
     """(a, b): links that join all similar classes found, transitively.
 
-    First each word's holders are compared with one of them, which joins most of a large group at a pair a member; the tries
-    then leave out pairs that are joined already."""
+    First families of near copies are joined by their middles, at a pair a class; the tries then leave out pairs that are
+    joined already. What the tries join, if all of it were similar, are the families for the last step: there each class
+    meets all others of its family that it is not joined to, CHUNK by CHUNK, within one task and without a row a pair."""
     few = classes.select("node", "print")
-    words = few.mapInArrow(_words, "word long, node long")
-    lead = words.groupBy("word").agg(F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "word")).alias("a")).where("n > 1")
-    led = words.join(lead, "word").where("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    sure = saved(_apart(led, few).where(F.col("apart") <= SURE).select("a", "b"), owner, "sure")
-    roots = components(sure, owner)
-    rooted = few.join(roots, "node", "left").select("node", "print", F.coalesce("root", "node").alias("root"))
+    first = _judged(_stars(few, owner), raw, classes, owner, "stars")
+    roots = components(first, owner)
+    rooted = saved(few.join(roots, "node", "left").select("node", "print", F.coalesce("root", "node").alias("root")), owner, "rooted")
     dealt = rooted.mapInArrow(_dealt, "cut int, rest int, more long, node long, root long")
     found = dealt.repartition("cut").sortWithinPartitions("cut", "rest").mapInArrow(_candidates, "a long, b long").distinct()
-    near = saved(_apart(found, few), owner, "near")
-    open_ = near.where(F.col("apart") > SURE).select("a", "b")
-    # Pairs whose ends the clear ones join need no further look.
-    clear = saved(sure.union(near.where(F.col("apart") <= SURE).select("a", "b")), owner, "clear")
-    roots = components(clear, owner)
-    for n in "ab":
-        open_ = open_.join(roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root")), n, "left")
-    open_ = saved(open_.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"), owner, "open")
-    asked = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", F.col("least").alias("doc_id"))
-    texts = asked.join(raw, asked["doc_id"].eqNullSafe(raw["doc_id"])).select("node", "text").dropDuplicates(["node"])
-    sets = saved(texts.mapInArrow(_sets, "node long, s binary"), owner, "sets")
-    sides = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    both = open_.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y")
-    return clear.union(saved(both.mapInArrow(_checked, "a long, b long"), owner, "checked"))
+    near = saved(_apart(found, few).select("a", "b"), owner, "near-tries")
+    families = components(first.union(near), owner)
+    members = rooted.join(families.withColumnRenamed("root", "family"), "node")
+    open_ = members.groupBy("family").agg(F.count("*").alias("n"), (F.min("root") < F.max("root")).alias("open")).where("open").select("family", "n")
+    members = saved(members.join(open_, "family"), owner, "open")
+    texts = members.select("node").join(classes, "node").select("node", F.col("least").alias("doc_id"))
+    texts = texts.join(raw, texts["doc_id"].eqNullSafe(raw["doc_id"])).select("node", "text").dropDuplicates(["node"])
+    chunks = F.ceil(F.col("n") / CHUNK)
+    own = F.pmod(F.xxhash64("node"), chunks)
+    units = F.transform(F.sequence(F.lit(0), chunks - 1), lambda c: F.struct(F.least(own, c).alias("i"), F.greatest(own, c).alias("j")))
+    dealt = members.join(texts.mapInArrow(_sets, "node long, s binary"), "node").select("family", F.explode(units).alias("u"), "root", "node", "print", "s")
+    joined = dealt.groupBy("family", "u").applyInPandas(_within, "a long, b long")
+    return first.union(saved(joined, owner, "within"))
 
 
 def near_duplicates(docs: DataFrame, owner: str = "similar", key: str = "doc_id", text: str = "text") -> DataFrame:
