@@ -301,11 +301,37 @@ def test_lm(docs, odd, none):
 
 def test_lm_is_normalised_and_learns():
     rng = np.random.default_rng(1)
-    counts = np.zeros((lm.START + 1, lm.START + 1, lm.CLASSES))
-    counts[:, :, :8] = rng.integers(0, 50, (lm.START + 1, lm.START + 1, 8))
-    counts[:, 3, 5] += 500
-    p = np.exp(lm.train(counts))
-    assert np.allclose(p.sum(2), 1) and p[:, 3, 5].min() > 0.5 and p[:, 4, 5].max() < 0.4
+    names = [b"w%d" % i for i in range(90)]
+    vocabulary = lm.Vocabulary({w: 1000 for w in names})
+    at = vocabulary.numbers([*names, b"rare", b"other"])
+    assert sorted(at[:90]) == list(range(90)) and (at[90:] >= 90).all() and vocabulary.word_classes == 9
+    shares = np.concatenate([np.full(9, 10_000.0), np.full(lm.SHARED, 100.0)])
+    after = rng.permutation(90)  # each word is followed by one other, four times in five
+
+    def batches(n):
+        for _ in range(n):
+            one = rng.integers(0, 90, 4000)
+            yield rng.integers(0, vocabulary.start + 1, 4000), one, np.where(rng.random(4000) < 0.8, after[one], rng.integers(0, vocabulary.start, 4000))
+
+    model, seen = lm.train(lm.fresh(vocabulary, shares), vocabulary, shares, batches(150), 3)
+    assert seen == 600_000
+    every = np.arange(vocabulary.start)
+    for two, one in ((3, 5), (vocabulary.start, vocabulary.start), (95, 7)):
+        chances = np.exp(lm.log_chances(model, vocabulary, np.full(len(every), two), np.full(len(every), one), every))
+        assert chances.sum() == pytest.approx(1, abs=1e-4)
+    learned = np.exp(lm.log_chances(model, vocabulary, np.full(90, 1), np.arange(90), after))
+    assert learned.mean() > 0.4 and learned.min() > 0.1  # 1 / 90 without a context
+
+
+def test_lm_vocabulary_grows_with_the_input(spark):
+    counts = spark.createDataFrame([(bytearray(b"w%d" % i), 1000 // (i + 1)) for i in range(300)], "word binary, c long")
+    sizes = [len(lm._common(counts, most)) for most in (5, 50, 300)]
+    assert sizes[0] == 5 and 40 <= sizes[1] <= 50 and sizes[2] == 300 and lm._common(counts.limit(0), 9) == {}
+
+
+def test_contexts():
+    two, one = lm.contexts_of(np.array([4, 5, 6, 7, 8]), np.array([3, 1, 1]), 99)
+    assert one.tolist() == [99, 4, 5, 99, 99] and two.tolist() == [99, 99, 4, 99, 99]
 
 
 # SentencePiece
