@@ -1,7 +1,7 @@
 """Scores from a log-bilinear language model, fitted in numpy by noise-contrastive estimation.
 
 The model predicts a token from the vectors of the two before it. Its vocabulary, the commonest words, grows as the square root of
-the tokens; each has a context vector and an output vector. The chance of a word is that of its class times that of the word
+the tokens (VOCABULARY); each has a context vector and an output vector. The chance of a word is that of its class times that of the word
 within the class, both bilinear in the context, so that sums over one class normalise it. Rarer words share classes by their
 last two bytes and have their smoothed share of the class's tokens: chances add up to one, unseen words included. Every task
 draws its own noise while it goes through its chunks; the tasks' parameters are averaged by tokens, and a second round goes on
@@ -24,11 +24,13 @@ from .common import pieces_of, prepare, saved, text_bytes
 
 END = b"\n"  # the end token; no word holds white space
 SHARED = 16  # classes of words outside the vocabulary
-CHUNK = 8 << 20
-DIM, CLASS_NOISE, WORD_NOISE = 16, 24, 4
+CHUNK = 16 << 20
+DIM, CLASS_NOISE, WORD_NOISE = 16, 24, 2
 BATCH, RATE = 8192, 0.15
 #: Rounds over the chunks, each over every n-th batch of tokens.
-ROUNDS = (4, 1)
+ROUNDS = (8, 1)
+#: Words of the vocabulary for each root of a token.
+VOCABULARY = 0.5
 
 
 def _chunks(batches):
@@ -123,8 +125,12 @@ def fresh(vocabulary: Vocabulary, class_counts: np.ndarray, seed: int = 7) -> di
 
 def _added(p: np.ndarray, sums: np.ndarray, at: np.ndarray, gradient: np.ndarray) -> None:
     """One AdaGrad step on the rows `at` of p, in place; repeated rows are summed first."""
+    if len(p) <= 1 << 16:
+        at = at.astype(np.uint16)  # short numbers are sorted by their digits
     order = np.argsort(at, kind="stable")
-    rows, first = np.unique(at[order], return_index=True)
+    sorted_ = at[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    rows = sorted_[first]
     g = np.add.reduceat(gradient[order], first, axis=0)
     sums[rows] += g * g
     p[rows] -= RATE * g / np.sqrt(sums[rows])
@@ -140,6 +146,7 @@ def train(p: dict[str, np.ndarray], vocabulary: Vocabulary, class_counts: np.nda
     ends = np.cumsum(vocabulary.counts + 1)
     bounds = np.concatenate([[0.0], ends])[np.minimum(np.arange(vocabulary.word_classes + 1) * vocabulary.width, vocabulary.size)]
     mass = np.diff(bounds)
+    level = np.log(WORD_NOISE * (vocabulary.counts + 1) / np.repeat(mass, vocabulary.width)[: vocabulary.size]).astype(np.float32)
     sigma = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     seen = 0
     for two, one, word in batches:
@@ -162,8 +169,7 @@ def train(p: dict[str, np.ndarray], vocabulary: Vocabulary, class_counts: np.nda
             noise = np.minimum(noise, np.minimum((kw + 1) * vocabulary.width, vocabulary.size)[:, None] - 1)
             words = np.concatenate([w[:, None], noise], 1)
             own = p["word"][words]
-            level = np.log(WORD_NOISE * (vocabulary.counts[words] + 1) / mass[kw][:, None])
-            d = sigma(np.einsum("nd,njd->nj", hw, own) + p["word_bias"][words] - level).astype(np.float32)
+            d = sigma(np.einsum("nd,njd->nj", hw, own) + p["word_bias"][words] - level[words])
             d[:, 0] -= 1
             dh[mine] += np.einsum("nj,njd->nd", d, own)
             flat = words.ravel()
@@ -174,6 +180,17 @@ def train(p: dict[str, np.ndarray], vocabulary: Vocabulary, class_counts: np.nda
     return p, seen
 
 
+def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithms of the softmax of each row at one place. s is used up."""
+    own = s[np.arange(len(s)), at].copy()
+    top = s.max()
+    if top > 60 or s.min() < -60:  # else exponentials of all rows are safe as they are
+        high = s.max(1)
+        s -= high[:, None]
+        own -= high
+    return own - np.log(np.exp(s, out=s).sum(1))
+
+
 def log_chances(p: dict[str, np.ndarray], vocabulary: Vocabulary, two: np.ndarray, one: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Natural logarithms of each token's chance; of words outside the vocabulary, of their class's."""
     out = np.empty(len(word), np.float64)
@@ -181,18 +198,14 @@ def log_chances(p: dict[str, np.ndarray], vocabulary: Vocabulary, two: np.ndarra
         part = slice(i, i + (1 << 16))
         h, w = p["two"][two[part]] + p["one"][one[part]], word[part]
         k = vocabulary.class_of(w)
-        s = h @ p["class"].T + p["class_bias"]
-        rows = np.arange(len(w))
-        top = s.max(1)
-        found = s[rows, k] - top - np.log(np.exp(s - top[:, None]).sum(1))
-        order = np.argsort(k, kind="stable")
+        found = _log_softmax(h @ p["class"].T + p["class_bias"], k)
+        order = np.argsort(k.astype(np.uint16) if vocabulary.classes <= 1 << 16 else k, kind="stable")
         cuts = np.searchsorted(k[order], np.arange(vocabulary.word_classes + 1))
         for c in np.flatnonzero(np.diff(cuts)):
             mine = order[cuts[c] : cuts[c + 1]]
             lo = c * vocabulary.width
             s = h[mine] @ p["word"][lo : lo + vocabulary.width].T + p["word_bias"][lo : lo + vocabulary.width]
-            top = s.max(1)
-            found[mine] += s[np.arange(len(mine)), w[mine] - lo] - top - np.log(np.exp(s - top[:, None]).sum(1))
+            found[mine] += _log_softmax(s, w[mine] - lo)
         out[part] = found
     return out
 
@@ -277,7 +290,7 @@ def scored(docs: DataFrame, owner: str = "lm", key: str = "doc_id", text: str =
     listed = chunks.select("chunk", "train", "sizes", "words", "tokens").mapInArrow(_counts, "chunk long, place int, word binary, n long")
     counts = saved(listed.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("chunks")), owner, "counts")
     total, distinct = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    common = _common(counts, max(64, int(np.sqrt(total))))
+    common = _common(counts, max(64, int(VOCABULARY * np.sqrt(total))))
     vocabulary = Vocabulary(common)
     least = min(common.values(), default=0)
     rare = counts.where(F.col("c") < least) if common else counts
@@ -291,12 +304,19 @@ def scored(docs: DataFrame, owner: str = "lm", key: str = "doc_id", text: str =
     joined = listed.select("chunk", "place", "word").join(many, "word").select("chunk", "place", "c")
     floor = np.log10(total + distinct + 1)
 
+    def numbered(batches):
+        """Chunks with their words as numbers, which is all that scoring needs of them."""
+        for batch in batches:
+            for i, names in enumerate(batch.column("words").to_pylist()):
+                one = batch.slice(i, 1)
+                numbers = pa.array([vocabulary.numbers(_names(names)).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([numbers if f == "words" else one.column(f) for f in one.schema.names], one.schema.names)
+
     def score(key_, found: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
         row = chunk.iloc[0]
-        names, tokens, sizes = _names(row["words"]), np.frombuffer(row["tokens"], np.int32), np.asarray(row["sizes"], np.int64)
-        c = np.bincount(tokens[np.repeat(np.asarray(row["train"], bool), sizes)], minlength=len(names)).astype(float)
+        numbers, tokens, sizes = np.frombuffer(row["words"], np.int32), np.frombuffer(row["tokens"], np.int32), np.asarray(row["sizes"], np.int64)
+        c = np.bincount(tokens[np.repeat(np.asarray(row["train"], bool), sizes)], minlength=len(numbers)).astype(float)
         c[found["place"].to_numpy()] = found["c"].to_numpy()
-        numbers = vocabulary.numbers(names)
         usual = numbers < vocabulary.size
         c[usual] = vocabulary.counts[numbers[usual]]
         k = np.where(usual, 0, numbers - vocabulary.size)
@@ -309,5 +329,5 @@ def scored(docs: DataFrame, owner: str = "lm", key: str = "doc_id", text: str =
 
     # As many tasks as chunks, so that a task's chunks do not grow in number with the input.
     tasks = max(1, chunks.count())
-    pairs = joined.repartition(tasks, "chunk").groupBy("chunk").cogroup(chunks.repartition(tasks, "chunk").groupBy("chunk"))
+    pairs = joined.repartition(tasks, "chunk").groupBy("chunk").cogroup(chunks.mapInArrow(numbered, chunks.schema).repartition(tasks, "chunk").groupBy("chunk"))
     return pairs.applyInPandas(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
