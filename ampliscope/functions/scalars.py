@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -182,12 +182,22 @@ def data_url(content: str | Column, mime: str | Column) -> Column:
     return F.concat(F.lit("data:"), _c(mime), F.lit(";base64,"), F.regexp_replace(F.base64(_c(content)), "[\r\n]", ""))
 
 
-def byte_chunk(size: str | Column, order: Column, by: list[Column], cap: int) -> Column:
-    """The chunk of a row when sizes are summed up in order; a chunk holds about cap bytes."""
-    from pyspark.sql import Window
+def byte_chunks(rows: DataFrame, by: str, order: str, size: str, cap: int) -> DataFrame:
+    """by, order, chunk: rows are filled into chunks in order, and the next begins where one more row would pass cap bytes.
+
+    A row of more than cap bytes is a chunk alone. A group, the lines of one request file, is one task; only its sizes go there."""
+
+    def fill(frame):
+        frame = frame.sort_values(order)
+        chunk, full, out = -1, cap, []
+        for n in frame[size].tolist():
+            chunk, full = (chunk, full + n) if chunk >= 0 and full + n <= cap else (chunk + 1, n)
+            out.append(chunk)
+        return frame[[by, order]].assign(chunk=out)
+
+    kinds = dict(rows.dtypes)
+    return rows.select(by, order, size).groupBy(by).applyInPandas(fill, f"{by} {kinds[by]}, {order} {kinds[order]}, chunk long")
 
-    before = F.sum(_c(size)).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return F.floor(F.coalesce(before, F.lit(0)) / cap).cast("long")
 
 
 def wrapped(text: str | Column, width: int) -> Column:

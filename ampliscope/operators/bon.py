@@ -36,7 +36,7 @@ def curve(images: DataFrame, attrs: tuple[str, ...], n_values: list[int]) -> Dat
     return wide.select("n", named).select("z.attr", "n", "z.prev")
 
 
-def curve_mc(images: DataFrame, attrs: tuple[str, ...], n_values: list[int], trials: int = 20, seed: int = 0) -> DataFrame:
+def curve_mc(images: DataFrame, attrs: tuple[str, ...], n_values: list[int], trials: int = 100, seed: int = 0) -> DataFrame:
     """The same by draws: images ordered by a hash of (prompt, image, trial, seed); the best of the first min(n, m) wins."""
     rows = images.where("reward is not null").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
     w = Window.partitionBy("prompt", "trial")

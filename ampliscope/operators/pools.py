@@ -35,9 +35,17 @@ def unblocked(proposals: DataFrame, *blocks: DataFrame) -> DataFrame:
     return proposals.withColumn("_n", normalized()).join(blocked.distinct(), "_n", "left_anti").drop("_n")
 
 
+#: Attributes that a detector is asked for at once.
+MOST_ATTRS = 10_000
+
+
 def misses(images: DataFrame, attrs: DataFrame, detections: DataFrame) -> DataFrame:
-    """(image_id, attr) still to detect: every image with every attribute of the (broadcast, driver-sized) list, less what is known."""
-    return images.select("image_id").join(F.broadcast(attrs.select("attr"))).join(detections.select("image_id", "attr"), ["image_id", "attr"], "left_anti")
+    """(image_id, attr) still to detect: every image with every attribute of the list (MOST_ATTRS at most, else an error), less what is known."""
+    listed = [r["attr"] for r in attrs.select("attr").limit(MOST_ATTRS + 1).collect()]
+    if len(listed) > MOST_ATTRS:
+        raise ValueError(f"a detection list has at most {MOST_ATTRS} attributes")
+    named = F.explode(F.array(*map(F.lit, listed)) if listed else F.array().cast("array<string>")).alias("attr")
+    return images.select("image_id", named).join(detections.select("image_id", "attr"), ["image_id", "attr"], "left_anti")
 
 
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -78,12 +86,39 @@ def partly_covered(images: DataFrame, attrs: DataFrame, detections: DataFrame) -
 def evicted(cache: DataFrame, most: int) -> DataFrame:
     """The cache without its least recently used rows, down to 90 % of `most`, if it holds more. cache: cache_key, last_used.
 
-    The rows to go are a top-k by (last_used, cache_key), taken without a window over the whole cache."""
+    The time up to which rows go comes from counts by hash of the key within times, so no task sorts the cache: rows used before
+    the boundary time go, and of those used at it the first by key."""
     n = cache.count()
     if n <= most:
         return cache
-    go = cache.select("cache_key", "last_used").orderBy("last_used", "cache_key").limit(n - int(most * 0.9))
-    return cache.join(go.select("cache_key"), "cache_key", "left_anti")
+    go = n - int(most * 0.9)
+    times = cache.groupBy("last_used").agg(F.count("*").alias("n"))
+    low, high = (F.col("last_used") < F.col("edge")), (F.col("last_used") == F.col("edge"))
+    edge = _edge(times, go)
+    rows = cache.withColumn("edge", F.lit(edge))
+    left = go - rows.where(low).count()
+    tied = rows.where(high).select("cache_key").orderBy("cache_key").limit(left)
+    return rows.where(~low).drop("edge").join(tied, "cache_key", "left_anti")
+
+
+def _edge(times: DataFrame, go: int):
+    """The value of last_used up to which `go` rows come: the range is narrowed by counts of parts of it. times: last_used, n."""
+    at = F.col("last_used").cast("double")
+    rows, before = times, 0
+    while True:
+        lo, hi, kinds = rows.agg(F.min(at), F.max(at), F.count("*")).first()
+        if kinds <= 4096 or lo == hi:
+            break
+        part = F.least(F.floor((at - lo) / (hi - lo) * 1024), F.lit(1023))
+        for r in sorted(rows.groupBy(part.alias("p")).agg(F.sum("n").alias("n")).collect(), key=lambda r: r["p"]):
+            if before + r["n"] >= go:
+                rows = rows.where(part == r["p"])
+                break
+            before += r["n"]
+    for r in sorted(rows.collect(), key=lambda r: r["last_used"]):
+        before += r["n"]
+        if before >= go:
+            return r["last_used"]
 
 
 def history(pool: DataFrame) -> DataFrame:

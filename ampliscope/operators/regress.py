@@ -182,10 +182,15 @@ def pruned(images: DataFrame, attrs: tuple[str, ...], tau: float = 0.0, n: int =
         sums.unpersist()
 
 
+DRAWN_CELLS = 1 << 22
+
+
 def bootstrap(images: DataFrame, attrs: tuple[str, ...], n_boot: int = 500, least_success: float = 0.8, seed: int = 0) -> DataFrame:
     """prompt, attr, w_mean, ci_low, ci_high: 90 % intervals of per-prompt weights over resamples of its images.
 
-    A prompt is resampled in its own task with a seed of its own. Too few fits that succeed give infinite bounds."""
+    Rows are centred once and resampled as they are; a prompt without spread or with fewer images than labels has infinite
+    bounds, as has one with too few fits that succeed. A prompt is resampled in its own task with a seed of its own, in blocks
+    of draws that hold DRAWN_CELLS numbers at once."""
     kind = images.schema["prompt"].dataType.simpleString()
     k = len(attrs)
 
@@ -194,12 +199,18 @@ def bootstrap(images: DataFrame, attrs: tuple[str, ...], n_boot: int = 500, leas
         g, u = np.array(frame["g"].tolist(), float).reshape(len(frame), k), frame["u"].to_numpy(float)
         rng = np.random.default_rng([seed, int(frame["h"].iloc[0]) & 0x7FFFFFFF])
         m = len(u)
-        draws = rng.integers(0, m, (n_boot, m))
-        gd, ud = g[draws], u[draws]
-        gd, ud = gd - gd.mean(1, keepdims=True), ud - ud.mean(1, keepdims=True)
-        ok = ((ud * ud).mean(1) >= FLAT) & (m >= k)
-        w = np.einsum("nij,nj->ni", np.linalg.pinv(np.einsum("nmi,nmj->nij", gd, gd), rcond=RCOND, hermitian=True), np.einsum("nmi,nm->ni", gd, ud))[ok]
-        if len(w) < least_success * n_boot:
+        g, u = g - g.mean(0), u - u.mean()
+        fits = [np.zeros((0, k))]
+        if m >= k and (u * u).mean() >= FLAT:
+            step = max(1, DRAWN_CELLS // (m * (k + 1)))
+            for i in range(0, n_boot, step):
+                draws = rng.integers(0, m, (min(step, n_boot - i), m))
+                gd, ud = g[draws], u[draws]
+                gram, right = np.einsum("nmi,nmj->nij", gd, gd), np.einsum("nmi,nm->ni", gd, ud)
+                fits.append(np.einsum("nij,nj->ni", np.linalg.pinv(gram, rcond=RCOND, hermitian=True), right))
+        w = np.concatenate(fits)
+        w = w[np.isfinite(w).all(1)]
+        if len(w) < max(1, least_success * n_boot):
             lo, hi, mean = np.full(k, -np.inf), np.full(k, np.inf), np.zeros(k)
         else:
             lo, hi, mean = np.percentile(w, 5, 0), np.percentile(w, 95, 0), w.mean(0)

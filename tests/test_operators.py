@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ampliscope.functions import cost, scalars
-from ampliscope.operators import amplify, bon, choose, corpus, pairs, pools, regress
+from ampliscope.operators import amplify, bon, choose, corpus, pairs, pools, regress, selections
 from ampliscope.plans import models, search
 from ampliscope.sources.banks import Bank, events_bank
 
@@ -199,3 +199,47 @@ def test_components_of_a_long_path(spark):
     nodes = spark.createDataFrame([(i,) for i in range(302)], "vec_id long")
     edges = spark.createDataFrame([*zip(ids, ids[1:]), (300, 999), (301, 999)], "a long, b long")
     assert {r["vec_id"]: r["component"] for r in corpus.components(nodes, edges).collect()} == {**dict.fromkeys(ids, 0), 300: 300, 301: 301}
+
+
+def test_byte_chunks_never_pass_the_cap(spark):
+    sizes = [40, 70, 30, 150, 10, 90, 5, 5, 100, 1]
+    rows = spark.createDataFrame([("f", i, n) for i, n in enumerate(sizes)], "file string, pos long, bytes long")
+    found = {r["pos"]: r["chunk"] for r in scalars.byte_chunks(rows, "file", "pos", "bytes", 100).collect()}
+    assert [found[i] for i in range(10)] == [0, 1, 1, 2, 3, 3, 4, 4, 5, 6]
+
+
+def test_bootstrap_resamples_centred_rows_as_they_are(spark):
+    rng = np.random.default_rng(3)
+    data = [(p, i, [int(x) for x in rng.integers(0, 2, 2)], float(rng.random())) for p in range(3) for i in range(12)] + [(9, i, [1, 0], 0.5) for i in range(5)]
+    images = spark.createDataFrame(data, "prompt long, image_id long, g array<int>, u double")
+    got = {(r["prompt"], r["attr"]): r for r in regress.bootstrap(images, ("a", "b"), 300).collect()}
+    hashes = {r["prompt"]: r["h"] for r in images.select("prompt", F.xxhash64("prompt").alias("h")).distinct().collect()}
+    for p in range(3):
+        own = [d for d in data if d[0] == p]
+        g, u = np.array([d[2] for d in own], float), np.array([d[3] for d in own])
+        g, u = g - g.mean(0), u - u.mean()
+        draws = np.random.default_rng([0, hashes[p] & 0x7FFFFFFF]).integers(0, len(u), (300, len(u)))
+        w = np.array([np.linalg.lstsq(g[d], u[d], rcond=None)[0] for d in draws])
+        for k, attr in enumerate("ab"):
+            r = got[p, attr]
+            assert np.allclose([r["w_mean"], r["ci_low"], r["ci_high"]], [w[:, k].mean(), np.percentile(w[:, k], 5), np.percentile(w[:, k], 95)], atol=1e-6)
+    assert got[9, "a"]["ci_low"] == -np.inf and got[9, "a"]["ci_high"] == np.inf
+
+
+def test_eviction_narrows_to_the_boundary(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"k{i}", int(t)) for i, t in enumerate(rng.integers(0, 9000, 12_000))]
+    kept = {r["cache_key"] for r in pools.evicted(spark.createDataFrame(rows, "cache_key string, last_used long"), 10_000).collect()}
+    assert kept == {k for k, _ in sorted(rows, key=lambda r: (r[1], r[0]))[3000:]}
+
+
+def test_records_refuse_what_is_not_there(spark):
+    attrs = spark.createDataFrame([(0, "Red car"), (1, "blue CAR"), (2, "tree")], "pos long, attr string")
+    assert [r["attr"] for r in selections.selected(attrs, ["tree", "car", 0]).orderBy("place").collect()] == ["tree", "Red car", "blue CAR"]
+    with pytest.raises(ValueError):
+        selections.selected(attrs, ["boat"])
+    files = spark.createDataFrame([(1, 3, "a"), (1, 3, "b"), (2, 1, "c")], "topic_id int, step_idx int, path string")
+    with pytest.raises(ValueError):
+        selections.latest_file(files)
+    with pytest.raises(ValueError):
+        selections.only_values(spark.createDataFrame([(1, 0.5), (2, 0.6)], "n int, prevalence double"), [1, 4])
