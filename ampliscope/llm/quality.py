@@ -14,6 +14,8 @@ from .common import free_name, own_columns, pieces_of, prepare, saved, text_byte
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_marks")
 WINDOW = 5
+#: The prior on the rules' votes, see fit().
+PRIOR, GOOD, OWN = 0.1, 0.995, 0.05
 _SPACES = b" \t\n\r\x0b\x0c"
 _UPPER, _LOWER, _SYMBOLS, _MARKS = bytes(range(65, 91)), bytes(range(97, 123)), b"#*$%&|<>", b"!|"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -103,20 +105,21 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np
     """EM over vote patterns (rows of -1/0/1) with their counts.
 
     Classes: good documents, and for each rule the documents of the style that it is made for. Returns the shares of the
-    classes and P(a vote cast is for | class) for each rule: for the good class that is the rule's accuracy on good documents,
-    held to 0.99 at least; for a rule's own style one less its accuracy there, held to 0.2 at most; elsewhere it is free.
-    Abstentions carry no evidence. Start: a document belongs to the styles whose rules vote against it."""
+    classes and P(a vote cast is for | class) for each rule: for the good class that is the rule's accuracy on good documents, for
+    a rule's own style one less its accuracy there. Both are estimated; a Beta prior says which class is which: as many votes
+    as PRIOR of all rows, GOOD of them for in the good class and OWN of them in the rule's style. Elsewhere two votes, one of each
+    kind. Abstentions carry no evidence. Start: a document belongs to the styles whose rules vote against it."""
     rules_ = patterns.shape[1]
     good, bad = patterns == 1, patterns == 0
     against = bad.sum(1)
     post = np.column_stack([np.where(against == 0, 1.0, 0.02), bad / np.maximum(against, 1)[:, None]])
-    low, high = np.full((rules_ + 1, rules_), 0.001), np.full((rules_ + 1, rules_), 0.999)
-    low[0] = 0.99
-    high[1:][np.eye(rules_, dtype=bool)] = 0.2
+    style = np.vstack([np.zeros((1, rules_), bool), np.eye(rules_, dtype=bool)])
+    mean, weight = np.where(style, OWN, 0.5), np.where(style, PRIOR * counts.sum(), 2.0)
+    mean[0], weight[0] = GOOD, PRIOR * counts.sum()
     for _ in range(rounds):
         w = post / post.sum(1, keepdims=True) * counts[:, None]
         shares = (w.sum(0) + 1e-3) / (w.sum() + 1e-3 * (rules_ + 1))
-        chance = np.clip((w.T @ good + 1) / (w.T @ (good | bad) + 2), low, high)
+        chance = np.clip((w.T @ good + mean * weight) / (w.T @ (good | bad) + weight), 1e-6, 1 - 1e-6)
         new = _classes(patterns, shares, chance)
         done = np.abs(new - post).max(initial=0) < 1e-9
         post = new

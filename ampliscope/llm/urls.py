@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +37,38 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of texts, and the code points of all in a row."""
+    return np.array(list(map(len, texts)), np.int64), np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def _counted(texts: list[str], chars: str) -> np.ndarray:
+    """How many of the given characters each text has."""
+    size, points = _points(texts)
+    return np.bincount(np.repeat(np.arange(len(texts)), size), np.isin(points, [ord(c) for c in chars]), len(texts))
+
+
 def features(urls: list[str], hosts: list[str], paths: list[str], known: np.ndarray) -> np.ndarray:
     """A row of FEATURES for each URL. known: a row of STATS for each URL."""
     out = np.zeros((len(urls), len(FEATURES)))
-    for i, (u, h, p) in enumerate(zip(urls, hosts, paths)):
-        n = max(1, len(u))
-        digits = sum(map(u.count, "0123456789"))
-        entropy = -sum(c / n * math.log2(c / n) for c in Counter(u).values())
-        query = u.partition("?")[2].partition("#")[0]
-        parts = [x for x in p.split("/") if x]
-        out[i, :10] = len(u), len(h), len(p), len(parts), h.count(".") + 1, digits / n, sum(map(h.count, "0123456789")) / max(1, len(h)), entropy, query.count("=") + query.count("&"), u.count("-") + u.count("_")
-        out[i, 14] = len(parts[-1]) if parts else 0
+    if not urls:
+        return out
+    size, points = _points(urls)
+    row = np.repeat(np.arange(len(urls)), size)
+    of = _counted
+    out[:, 0], out[:, 1], out[:, 2] = size, list(map(len, hosts)), list(map(len, paths))
+    parts = [[x for x in p.split("/") if x] for p in paths]
+    out[:, 3], out[:, 14] = list(map(len, parts)), [len(x[-1]) if x else 0 for x in parts]
+    out[:, 4] = of(hosts, ".") + 1
+    out[:, 5] = of(urls, "0123456789") / np.maximum(1, size)
+    out[:, 6] = of(hosts, "0123456789") / np.maximum(1, out[:, 1])
+    # Entropy: runs of one character within a URL's sorted characters.
+    both = np.sort(row.astype(np.int64) << 32 | points)
+    new = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+    share = np.diff(np.append(new, len(both))) / np.maximum(1, size)[both[new] >> 32] if len(both) else np.zeros(0)
+    out[:, 7] = -np.bincount(both[new] >> 32, share * np.log2(share), len(urls)) if len(both) else 0
+    out[:, 8] = of([u.partition("?")[2].partition("#")[0] for u in urls], "=&")
+    out[:, 9] = of(urls, "-_")
     out[:, 10], out[:, 11] = known[:, 0], np.log1p(known[:, 1])
     out[:, 12], out[:, 13] = known[:, 2], np.log1p(known[:, 3])
     return out
@@ -107,11 +127,30 @@ def scored(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-score))
 
 
+def training_rows(drawn: list) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of distinct labelled URLs, with rates that leave out the URL's own rows and, for the suffix, its domain's."""
+    y = np.array([r["label"] == "allow" for r in drawn], float)
+    count = lambda c: np.array([r[c] for r in drawn], float)
+    a, m, own = count("a"), count("m"), count("own")
+    known = np.stack([(count("suffix_a") - a + 1) / (count("suffix_m") - m + 2), count("suffix_n"), (a - own * y + 1) / (m - own + 2), count("domain_n")], 1)
+    return features(*([r[c] for r in drawn] for c in ("url", "host", "path")), known), y
+
+
+def fitted(drawn: list) -> dict:
+    """The model of labelled URLs; without any, or with labels of one kind only, that kind (or allow) for all."""
+    y = np.array([r["label"] == "allow" for r in drawn], float)
+    if not len(y) or y.min() == y.max():
+        return {"start": 5.0 if not len(y) or y.mean() >= 0.5 else -5.0, "trees": [], "depth": 0}
+    return boost(*training_rows(drawn))
+
+
 def judged(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block) and allowed (the model's probability; null where a rule fits).
 
-    The labels are the rules' verdicts. Suffix and domain statistics count all rows, exactly; the trees are fitted on at most
-    `sample` distinct labelled URLs, those of least hash. Null URLs and those without "://" have empty host and path and
+    The labels are the rules' verdicts. Suffix and domain statistics count all rows, exactly; the trees are fitted on about
+    `sample` distinct labelled URLs at most, those under a bound of the hash that follows from their number. The rates that a
+    fitted URL is shown leave out its own rows, and its suffix's those of its domain, so that no label can be read off them.
+    Null URLs and those without "://" have empty host and path and
     go to the model, like any other. Without labelled URLs, or with labels of one kind only, that kind (or allow) is the verdict."""
     spark = pages.sparkSession
     prepare(spark)
@@ -123,7 +162,8 @@ def judged(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES
     by_domain = by_domain.withColumn("suffix", F.substring_index("domain", ".", -1))
     by_suffix = by_domain.groupBy("suffix").agg(*(F.sum(c).alias(f"suffix_{c}") for c in "nma"))
     share = lambda a, m: (F.col(a) + 1) / (F.col(m) + 2)
-    stats = by_domain.join(by_suffix, "suffix").select("domain", share("suffix_a", "suffix_m").alias("suffix_rate"), "suffix_n", share("a", "m").alias("domain_rate"), F.col("n").alias("domain_n"))
+    raw = ["a", "m", "suffix_a", "suffix_m"]
+    stats = by_domain.join(by_suffix, "suffix").select("domain", share("suffix_a", "suffix_m").alias("suffix_rate"), "suffix_n", share("a", "m").alias("domain_rate"), F.col("n").alias("domain_n"), *raw)
     hot = F.broadcast(stats.where(F.col("domain_n") >= HOT * rows.count()))
 
     def known(some: DataFrame) -> DataFrame:
@@ -131,13 +171,11 @@ def judged(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES
         rest = some.join(hot.select("domain"), "domain", "left_anti").join(stats, "domain")
         return some.join(hot, "domain").unionByName(rest)
 
-    drawn = known(rows.where("label is not null").select("url", "host", "path", "domain", "label").distinct().orderBy(F.xxhash64("url"), "url").limit(sample)).collect()
-    drawn.sort(key=lambda r: r["url"])
-    y = np.array([r["label"] == "allow" for r in drawn], float)
-    model = {"start": 5.0 if not len(y) or y.mean() >= 0.5 else -5.0, "trees": [], "depth": 0}
-    if len(y) and 0 < y.mean() < 1:
-        columns = [[r[c] for r in drawn] for c in ("url", "host", "path")]
-        model = boost(features(*columns, np.array([[r[c] for c in STATS] for r in drawn], float)), y)
+    labelled = rows.where("label is not null").groupBy("url", "host", "path", "domain", "label").agg(F.count("*").alias("own"))
+    size = labelled.count()
+    if size > sample:
+        labelled = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 32)) < int(sample / size * (1 << 32)))
+    model = fitted(sorted(known(labelled).collect(), key=lambda r: r["url"]))
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches):
