@@ -147,8 +147,8 @@ def packed(docs: DataFrame, path: str, owner: str = "packing", key: str = "doc_i
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     A document is the ids of its text (null: empty) and END. shares: target proportions by source; without them, the
-    sources' own shares, so that all queues end together; a source without a share gets its own. Null sources count as ''. The
-    max_queues - 1 largest sources have queues of their own, the others share one. Repeated rows are packed as they come."""
+    sources' own shares, so that all queues end together; a source without a share gets its own. Null sources count as ''. Sources
+    with a target and the largest others, max_queues - 1 in all unless more have targets, have queues of their own; the rest share one. Repeated rows are packed as they come."""
     spark = docs.sparkSession
     prepare(spark)
     raw = docs.select(F.col(key).alias("doc_id"), text_bytes(text).alias("text"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"))
@@ -169,7 +169,7 @@ def packed(docs: DataFrame, path: str, owner: str = "packing", key: str = "doc_i
     rows = saved(raw.mapInArrow(tokens_of, f"part int, doc_id {kind}, source string, start long, n long, ids binary"), owner, "tokens")
     sums = saved(rows.groupBy("part", "source").agg(F.sum("n").alias("n")), owner, "sums")
     by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
-    top = [(r["source"], r["n"]) for r in by_source.orderBy(F.desc("n"), "source").limit(max_queues - 1).collect()]
+    top = [(r["source"], r["n"]) for r in by_source.orderBy(F.desc(F.col("source").isin(list(shares or []))), F.desc("n"), "source").limit(max(max_queues - 1, len(shares or []))).collect()]
     rest = (by_source.agg(F.sum("n")).first()[0] or 0) - sum(n for _, n in top)
     tokens = np.array([n for _, n in top] + [rest], np.int64)
     sizes = -(-tokens // UNIT)

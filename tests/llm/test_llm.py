@@ -94,6 +94,9 @@ def test_packing_odd_rows(odd, none):
 def test_packing_keeps_target_shares(docs):
     found = packing.packed(docs, queries.TOKENIZER, owner="t1", shares={"src0": 0.5, "src1": 0.0})
     check_packing(docs, found)
+    few = packing.packed(docs, queries.TOKENIZER, owner="t1", shares={"src0": 0.5, "src1": 0.0, "none": 0.1}, max_queues=2)  # a target is kept even so
+    check_packing(docs, few)
+    assert few.where("sequence_id < 2 and source = 'src1'").count() == 0
     first = found.where("sequence_id < 2").groupBy("source").agg(F.sum("length").alias("n")).collect()
     n = {r["source"]: r["n"] for r in first}
     assert n.get("src1", 0) == 0 and n["src0"] > 0.25 * sum(n.values())
