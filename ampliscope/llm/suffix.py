@@ -1,16 +1,15 @@
-"""Exact removal of repeated byte strings by sorting sampled suffixes.
-
-A window of LENGTH bytes is repeated if the same bytes start anywhere else. Suffixes are compared to that depth only.
-
-1. Sample. A fixed difference cover takes 9 % of all positions into the sort; here the sample is content-defined (a string
-   synchronising set): a window is represented by its leftmost least GRAM-byte hash, its anchor. Equal windows have equal
-   anchors at equal shifts, which is the property that a difference cover is wanted for, at a tenth of the rows.
-2. Sort sampled tuples: anchors are grouped by the hash of their gram; grams that occur once end there.
-3. Recurse on names: the whole context of an anchor (all windows that it represents) gets a 128-bit name. A name that
-   occurs twice settles all its windows at once; contexts of a gram with one single name need no finer look.
-4. Merge the rest: for grams with several names, one copy per name goes on, in cells of CELL neighbouring shifts. A cell whose
-   core (what its windows share) occurs once has no repeated window; one whose whole occurs twice has only such.
-5. Adjacent equal prefixes: what is left of the cells is named window by window; names that occur twice are repeated.
+"""Exact removal of repeated byte strings by hash grouping over content-defined anchors.
+
+A window of LENGTH bytes is repeated if the same bytes start anywhere else. This is not a suffix array: a difference cover was
+measured to need many times the disk allowed (README). Equality is that of 128-bit hashes.
+
+1. Anchors. A window is represented by its leftmost least GRAM-byte hash (a string synchronising set): equal windows have
+   equal anchors at equal shifts. Anchors whose gram occurs once end there.
+2. Contexts. The whole context of an anchor (all windows that it represents) gets a name. A name that occurs twice settles
+   all its windows at once; contexts of a gram with one single name need no finer look.
+3. Cells. For grams with several names, one copy per name goes on, in cells of CELL neighbouring shifts. A cell whose core (what
+   its windows share) occurs once has no repeated window; one whose whole occurs twice has only such.
+4. Windows. What is left of the cells is named window by window; names that occur twice are repeated.
    The union of repeated windows is removed.
 """
 
