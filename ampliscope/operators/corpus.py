@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,15 +85,21 @@ def components(nodes: DataFrame, edges: DataFrame, key: str = "vec_id") -> DataF
 def medoids(rows: DataFrame, group: str, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """group, medoid, size: the member of least summed cosine distance; ties to the smaller key.
 
-    Sums of cosines to all members are products with the sum of unit vectors, so no pairs are made."""
+    Sums of cosines to all members are products with the sum of unit vectors, which one aggregation with partial sums gives, so
+    no pairs are made and no vector is taken apart."""
     u = rows.select(group, F.col(key).alias("id"), unit(vector).alias("u"))
-    parts = u.select(group, F.posexplode("u").alias("i", "x")).groupBy(group, "i").agg(F.sum("x").alias("s"))
-    sums = parts.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda z: z["s"]).alias("t"))
-    sizes = u.groupBy(group).agg(F.count("*").alias("size"))
-    near = u.join(sums, group).join(sizes, group).withColumn("dist", F.round(F.col("size") - dot("u", "t"), 9))
+    sums = u.groupBy(group).agg(vector_to_array(Summarizer.sum(array_to_vector("u"))).alias("t"), F.count("*").alias("size"))
+    near = u.join(sums, group).withColumn("dist", F.round(F.col("size") - dot("u", "t"), 9))
     return near.groupBy(group).agg(F.min_by("id", F.struct("dist", "id")).alias("medoid"), F.max("size").alias("size"))
 
 
+def component_medoids(rows: DataFrame, at_least: float, most: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """component, medoid, size of the `most` largest components of rows joined by a cosine of at_least; ties by component."""
+    found = components(rows.select(key), similar_pairs(rows, at_least, key=key, vector=vector), key)
+    own = rows.join(found, key)
+    return medoids(own, "component", key, vector).orderBy(F.desc("size"), "component").limit(most)
+
+
 def kmeans_medoids(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:
     """The row nearest to each k-means centre; all rows if k is not positive or not below their number."""
     n = rows.count()

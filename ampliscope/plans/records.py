@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import responses, selections, trends
+from ..operators import corpus, responses, selections, trends
 from ..sources.banks import table
 from .catalog import QUERIES, SQL, query
 
@@ -276,3 +276,8 @@ def planner_list(spark, d):
 def gpu_index(spark, d):
     n = table(spark, d, "nation")
     return n.select("n_nationkey", responses.gpu_index(F.concat(F.when(F.col("n_nationkey") % 2 == 0, "cuda:").otherwise("cpu"), "n_nationkey")).alias("gpu"))
+
+
+@query()
+def component_medoids(spark, d):
+    return corpus.component_medoids(table(spark, d, "embeddings"), 0.4, 20)

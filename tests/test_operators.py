@@ -243,3 +243,24 @@ def test_records_refuse_what_is_not_there(spark):
         selections.latest_file(files)
     with pytest.raises(ValueError):
         selections.only_values(spark.createDataFrame([(1, 0.5), (2, 0.6)], "n int, prevalence double"), [1, 4])
+
+
+def test_component_medoids(spark):
+    rng = np.random.default_rng(5)
+    centres = np.eye(6)[:4]
+    rows = [(i, (centres[i % 4] + rng.normal(0, 0.05, 6)).tolist()) for i in range(30) if i % 4 < 3 or i < 12]
+    found = corpus.component_medoids(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9, 3).collect()
+    want = []
+    for k in range(4):
+        own = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if i % 4 == k]
+        far = [(round(sum(1 - a @ b for _, b in own), 9), i) for i, a in own]
+        want.append((min(i for i, _ in own), min(far)[1], len(own)))
+    assert [tuple(r) for r in found] == sorted(want, key=lambda x: (-x[2], x[0]))[:3]
+
+
+def test_command_line(spark, sf_dir, tmp_path, capsys):
+    from ampliscope.__main__ import main
+
+    assert main(["largest_groups", sf_dir, str(tmp_path / "out")]) == 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    assert main(["no_such_query", sf_dir]) == 2 and "amp_bon_n2" in capsys.readouterr().out
