@@ -312,17 +312,17 @@ def _pairs(spark, d):
 
 @query(f"with {PAIRS_SQL}, r as (select *, row_number() over (partition by prompt, attr order by h, pos_id, neg_id) as rank from pairs where pos_reward > neg_reward) select prompt, attr, pos_id, neg_id, h::int h, rank::int as rank from r where rank <= 3")
 def hamming_topk(spark, d):
-    return pairs.closest(_pairs(spark, d), 3, True).select("prompt", "attr", "pos_id", "neg_id", "h", "rank")
+    return pairs.closest(events_bank(spark, d).images, E_ATTRS, 3, True).select("prompt", "attr", "pos_id", "neg_id", "h", "rank")
 
 
 @query(f"with {PAIRS_SQL}, r as (select *, row_number() over (partition by prompt, attr order by abs(pos_reward - neg_reward) desc, pos_id, neg_id) as rank from pairs where h = 0) select prompt, attr, pos_id, neg_id, rank::int as rank from r where rank <= 2")
 def hamming_h0(spark, d):
-    return pairs.identical(_pairs(spark, d), 2).select("prompt", "attr", "pos_id", "neg_id", "rank")
+    return pairs.identical(events_bank(spark, d).images, E_ATTRS, 2).select("prompt", "attr", "pos_id", "neg_id", "rank")
 
 
 @query(f"with {PAIRS_SQL}, b as (select attr, prompt, min(h)::int h from pairs group by 1, 2), r as (select *, row_number() over (partition by attr order by h, prompt) r from b) select attr, prompt, h from r where r <= 10")
 def hamming_prompt_cap(spark, d):
-    return pairs.best_prompts(_pairs(spark, d), 10)
+    return pairs.best_prompts(pairs.pattern_pairs(events_bank(spark, d).images, E_ATTRS), 10)
 
 
 @query(f"with {PAIRS_SQL} select attr, round(quantile_cont(pos_reward - neg_reward, 0.75), 6) cap, count(*) n from pairs where pos_reward > neg_reward group by 1")
@@ -332,7 +332,7 @@ def gap_cap(spark, d):
 
 @query(f"with {PAIRS_SQL} select attr, count(*) n_pairs, count(distinct prompt) n_prompts, round(avg(h), 6) mean_h, round(avg(pos_reward - neg_reward), 6) + 0.0 mean_gap from pairs group by 1")
 def pair_summary(spark, d):
-    return pairs.summary(_pairs(spark, d))
+    return pairs.totals(events_bank(spark, d).images, E_ATTRS)
 
 
 @query()
@@ -343,8 +343,13 @@ def match_by_reward(spark, d):
 
 @query()
 def best_counterfactual(spark, d):
-    found = _pairs(spark, d)
-    return pairs.counterfactuals(found, pairs.gap_cap(found), 2)
+    return pairs.counterfactuals(pairs.crossed(events_bank(spark, d).images, E_ATTRS, max_h=2), pairs.gap_cap(_pairs(spark, d)), 2)
+
+
+@query()
+def natural_pairs(spark, d):
+    images = regress.with_u(events_bank(spark, d).images)
+    return pairs.natural(images.drop("u"), E_ATTRS, regress.bootstrap(images, E_ATTRS), 2)
 
 
 @query()

@@ -106,14 +106,129 @@ def test_degenerate_fits(spark):
     assert regress.per_prompt(regress.with_u(few.images), 3).first()["w"] == [0, 0, 0]
 
 
-def test_greedy_matches_use_each_image_once(spark, sf_dir):
-    b = events_bank(spark, sf_dir)
-    found = pairs.crossed(b.images, b.attrs)
-    best = pairs.counterfactuals(found, pairs.gap_cap(found), 2).toPandas()
-    assert len(best) and not best.duplicated(["attr", "prompt", "neg_id"]).any() and not best.duplicated(["attr", "prompt", "pos_id"]).any()
-    assert (best["h"] <= 2).all() and (best["gap"] > 0).all()
-    m = pairs.matched_by_reward(b.images.where("g[0] = 1"), b.images.where("g[0] = 0"), 1.0).toPandas()
-    assert not m.duplicated(["prompt", "neg_id"]).any()
+@pytest.fixture(scope="module")
+def crowd(spark):
+    """Prompts of 0 to 60 images with ties, null rewards and inapplicable labels, and all their pairs by loops."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for p, n in enumerate([60, 25, 1, 8, 12, 30]):
+        for _ in range(n):
+            reward = None if rng.random() < 0.08 else float(rng.integers(0, 12)) / 2
+            rows.append((p, len(rows), reward, [int(x) for x in rng.choice([0, 0, 1, 1, -1], 3)], float(rng.integers(0, 9)) / 8))
+    images = spark.createDataFrame(rows, "prompt long, image_id long, reward double, g array<int>, score double").persist()
+    found = []
+    for k, attr in enumerate("abc"):
+        for p, i, r, g, s in rows:
+            for q, j, t, h, u in rows:
+                if p == q and g[k] == 1 and h[k] == 0:
+                    found.append((p, attr, i, j, sum(x != y for x, y in zip(g, h)) - 1, r, t, s, u))
+    return images, found
+
+
+ABC = ("a", "b", "c")
+PAIR = ["prompt", "attr", "pos_id", "neg_id", "h", "pos_reward", "neg_reward"]
+
+
+def grouped(rows, key):
+    out = {}
+    for r in rows:
+        out.setdefault(key(r), []).append(r)
+    return out
+
+
+def wins(r):
+    return r[5] is not None and r[6] is not None and r[5] > r[6]
+
+
+def test_crossed_has_all_pairs(crowd):
+    images, found = crowd
+    assert sorted(tuple(r) for r in pairs.crossed(images, ABC).select(*PAIR, "pos_score", "neg_score").collect()) == sorted(found)
+    near = pairs.crossed(images.drop("score"), ABC, ("a", "c"), max_h=1)
+    assert sorted(tuple(r) for r in near.select(*PAIR).collect()) == sorted(r[:7] for r in found if r[4] <= 1 and r[1] != "b")
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+@pytest.mark.parametrize("higher", [False, True])
+def test_closest_pairs(crowd, k, higher):
+    images, found = crowd
+    want = set()
+    for own in grouped([r for r in found if wins(r) or not higher], lambda r: r[:2]).values():
+        own.sort(key=lambda r: (r[4], r[2], r[3]))
+        want |= {(*r[:5], i) for i, r in enumerate(own[:k], 1)}
+    got = pairs.closest(images, ABC, k, higher).select(*PAIR[:5], "rank").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_identical_pairs(crowd, k):
+    images, found = crowd
+    want = set()
+    for own in grouped([r for r in found if r[4] == 0 and None not in r[5:7]], lambda r: r[:2]).values():
+        own.sort(key=lambda r: (-abs(r[5] - r[6]), r[2], r[3]))
+        want |= {(*r[:4], i) for i, r in enumerate(own[:k], 1)}
+    got = pairs.identical(images, ABC, k).select(*PAIR[:4], "rank").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_totals_are_the_summary_of_all_pairs(crowd):
+    images, found = crowd
+    got = {r["attr"]: r for r in pairs.totals(images, ABC).collect()}
+    for attr, own in grouped(found, lambda r: r[1]).items():
+        gaps = [r[5] - r[6] for r in own if None not in r[5:7]]
+        r = got[attr]
+        assert (r["n_pairs"], r["n_prompts"]) == (len(own), len({x[0] for x in own}))
+        assert r["mean_h"] == pytest.approx(np.mean([x[4] for x in own])) and r["mean_gap"] == pytest.approx(np.mean(gaps))
+
+
+@pytest.mark.parametrize("q", [0.0, 0.3, 0.75, 1.0])
+@pytest.mark.parametrize("sketch", [1e-4, 0.02])
+def test_gap_caps_are_quantiles(crowd, q, sketch, monkeypatch):
+    monkeypatch.setattr(pairs, "SKETCH", sketch)
+    images, found = crowd
+    got = {r["attr"]: r for r in pairs.gap_cap(pairs.crossed(images, ABC), q).collect()}
+    for attr, own in grouped(filter(wins, found), lambda r: r[1]).items():
+        assert got[attr]["cap"] == pytest.approx(np.quantile([r[5] - r[6] for r in own], q)) and got[attr]["n"] == len(own)
+
+
+@pytest.mark.parametrize("mode", ["reward", "score", "score_up"])
+def test_natural_pairs_follow_the_greedy_rule(spark, crowd, mode):
+    """Strongest first, each takes the free opposite of least score, among the sure prompts; the cap comes from these alone."""
+    images, found = crowd
+    gap_of = {"reward": lambda r: r[5] - r[6], "score": lambda r: abs(r[7] - r[8]), "score_up": lambda r: r[8] - r[7]}[mode]
+    sure = {(p, a): (0.2 * p + 0.1, 0.05, 0.1 + p) for p in (0, 1, 4, 5) for a in "ab"}
+    unsure = [(p, "c", 0.4, -0.1, 0.5) for p in range(6)]
+    intervals = spark.createDataFrame([(*k, *v) for k, v in sure.items()] + unsure, "prompt long, attr string, w_mean double, ci_low double, ci_high double")
+    want = set()
+    winners = [r for r in found if wins(r) and gap_of(r) >= 0 and (r[0], r[1]) in sure]
+    for attr, own in grouped(winners, lambda r: r[1]).items():
+        cap = np.quantile([gap_of(r) for r in own], 0.75)
+        for prompt, rows in grouped([r for r in own if r[4] <= 1 and gap_of(r) <= cap], lambda r: r[0]).items():
+            used, n = set(), 0
+            for pos in sorted({(-r[5], r[2]) for r in rows}):
+                free = [(0.5 * r[4] + 0.5 * gap_of(r) / (cap or 1), r[3], r) for r in rows if r[2] == pos[1] and r[3] not in used]
+                if free and n < 3:
+                    r, n = min(free)[2], n + 1
+                    used.add(r[3])
+                    mean, low, high = sure[prompt, attr]
+                    parts = 1 - r[4], 1 - gap_of(r) / (cap or 1), min(5, max(0, mean / (high - low))) / 5
+                    want.add((attr, prompt, r[2], r[3], r[4], round(gap_of(r), 9), round(sum(parts) / 3, 9)))
+    got = pairs.natural(images, ABC, intervals, 1, 0.75, 3, mode).collect()
+    assert {(*tuple(r)[:5], round(r["gap"], 9), round(r["weight"], 9)) for r in got} == want and len(got) == len(want) > 10
+
+
+@pytest.mark.parametrize("tolerance", [None, 0.5])
+def test_matches_take_the_nearest_free_reward(crowd, tolerance):
+    images, _ = crowd
+    left, right = images.where("g[0] = 1"), images.where("g[0] = 0")
+    want = set()
+    for prompt, own in grouped(left.where("reward is not null").collect(), lambda r: r["prompt"]).items():
+        free = sorted((r["reward"], r["image_id"]) for r in right.where(f"prompt = {prompt} and reward is not null").collect())
+        for reward, image in sorted((r["reward"], r["image_id"]) for r in own):
+            best = min(free, key=lambda f: (abs(f[0] - reward), f), default=None)
+            if best and (tolerance is None or abs(best[0] - reward) <= tolerance):
+                free.remove(best)
+                want.add((prompt, image, best[1]))
+    assert {tuple(r) for r in pairs.matched_by_reward(left, right, tolerance).collect()} == want and want
 
 
 def test_pools(spark):

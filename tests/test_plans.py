@@ -38,7 +38,7 @@ def test_grams_need_one_exchange_beyond_the_quantile(spark, sf_dir):
 
 def test_pairs_are_equi_joined(spark, sf_dir):
     b = events_bank(spark, sf_dir)
-    text = plan(pairs.closest(pairs.crossed(b.images, b.attrs), 3))
+    text = plan(pairs.closest(b.images, b.attrs, 3))
     assert "Cartesian" not in text and "NestedLoop" not in text and "WindowGroupLimit" in text
 
 
