@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import placed
+
 
 def hash_order(*columns: str, seed: int = 0) -> Column:
     """A fixed pseudo-random order."""
@@ -64,13 +66,12 @@ def stratified(images: DataFrame, n: int) -> DataFrame:
 
 
 def middle_band(r2: DataFrame, low: float, high: float, pick: int, turn: int = 0) -> DataFrame:
-    """prompt, r2, idx: prompts by r2 (then prompt); of places floor(n low) to floor(n high) take `pick`, turned by turn x pick, around the end.
-
-    The places come from a rank over driver-sized per-prompt numbers."""
-    n = r2.count()
+    """prompt, r2, idx: prompts by r2 (then prompt); of places floor(n low) to floor(n high) take `pick`, turned by turn x pick, around the end."""
+    rows = placed(r2, F.col("r2"), F.col("prompt"))
+    n = rows.count()
     first, last = int(n * low), max(int(n * low) + 1, int(n * high))
     size = max(1, min(last, n) - first)
-    rows = r2.withColumn("idx", F.row_number().over(Window.orderBy("r2", "prompt")) - 1).where((F.col("idx") >= first) & (F.col("idx") < last))
+    rows = rows.where((F.col("idx") >= first) & (F.col("idx") < last)).withColumn("idx", F.col("idx").cast("int"))
     return rows.where(F.pmod(F.col("idx") - first - turn * pick, F.lit(size)) < pick)
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import frozen
 from .pools import ordered_distinct
 
 RESOLUTION = r"(?i)\b(\d+\s*k|\d+\s*p|uhd|fhd|qhd|hd)\b"
@@ -45,36 +48,64 @@ def unit(v: str) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0))
 
 
-def similar_pairs(rows: DataFrame, at_least: float, blocks: int = 16, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(a, b, cosine), a < b, with cosine of at least the threshold, by blocks: an equi-join on block pairs, so the work is dealt evenly."""
-    u = rows.select(F.col(key).alias("id"), unit(vector).alias("u"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("k"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    left = u.select(F.col("id").alias("x"), F.col("u").alias("xu"), F.col("k").alias("bk"), other)
-    right = u.select(F.col("id").alias("y"), F.col("u").alias("yu"), F.col("k").alias("o"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bk"))
-    both = left.join(right, ["bk", "o"]).where("x < y").select("x", "y", dot("xu", "yu").alias("cosine"))
-    return both.where(F.col("cosine") >= at_least).select(F.col("x").alias("a"), F.col("y").alias("b"), "cosine")
+#: Rows of a block, whose products with another block are one task's work, and the products held at once.
+BLOCK, STRIP = 4096, 512
+
+
+def _blocked(rows: DataFrame, keep: list[Column], vector: str, names: list[str]) -> DataFrame:
+    """Rows of whole vectors with their block b of `blocks`, dealt by hash into blocks of about BLOCK rows, under the names."""
+    found = rows.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    n = found.count()
+    kept = found.select(*(c.alias(x) for c, x in zip(keep, names)), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.size(vector).alias("d"))
+    return kept.withColumns({"b": F.pmod(F.xxhash64(names[0]), F.lit(-(-n // BLOCK) or 1)), "blocks": F.lit(-(-n // BLOCK) or 1)})
+
+
+def _met(found: DataFrame, run, schema: str) -> DataFrame:
+    """run(left, right) over all pairs of blocks i <= j of vectors of one length, each pair in one task; two blocks are all that a task holds."""
+    left = found.withColumn("o", F.explode(F.sequence(F.col("b"), F.col("blocks") - 1))).withColumnsRenamed({"b": "i", "o": "j"})
+    right = found.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("b")))).withColumnsRenamed({"o": "i", "b": "j"})
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))
+    return left.groupBy("d", "i", "j").cogroup(right.groupBy("d", "i", "j")).applyInPandas(lambda key, a, b: run(key[1] == key[2], a, b), schema)
+
+
+def similar_pairs(rows: DataFrame, at_least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(a, b, cosine), a < b, with cosine of at least the threshold, by matrix products of blocks; only pairs that pass leave a task.
+
+    Vectors that are null, hold nulls or differ in length have no cosine; a zero vector has cosine 0."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(same, a, b):
+        left, right = (_units(np.array(x["v"].tolist())) for x in (a, b)) if len(a) and len(b) else (np.zeros((0, 1)), np.zeros((0, 1)))
+        x, y, out = a["id"].to_numpy(), b["id"].to_numpy(), []
+        for at in range(0, len(left), STRIP):
+            cosine = left[at : at + STRIP] @ right.T
+            i, j = np.nonzero(cosine >= at_least)
+            value, p, q = cosine[i, j], x[at + i], y[j]
+            ok = p < q if same else p != q
+            p, q, value = p[ok], q[ok], value[ok]
+            out.append(pd.DataFrame({"a": np.where(p < q, p, q), "b": np.where(p < q, q, p), "cosine": value}))
+        return pd.concat(out) if out else pd.DataFrame({"a": x[:0], "b": x[:0], "cosine": np.zeros(0)})
+
+    return _met(_blocked(rows, [F.col(key)], vector, ["id"]), run, f"a {kind}, b {kind}, cosine double")
+
+
+def _units(m: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((m * m).sum(1))[:, None]
+    return m / np.where(norm > 0, norm, 1.0)
 
 
 def components(nodes: DataFrame, edges: DataFrame, key: str = "vec_id") -> DataFrame:
     """key, component: the least key reachable over edges (a, b). Large-star and small-star steps in turn until nothing changes; lineage is cut by checkpoints."""
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp())
     for end in ("a", "b"):
         edges = edges.join(nodes.select(F.col(key).alias(end)).distinct(), end, "left_semi")
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    now = frozen(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct().checkpoint()
+        now = frozen(large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct())
         sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sign == before:
             break
@@ -114,13 +145,38 @@ def kmeans_medoids(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "
 
 
 def silhouettes(rows: DataFrame, cluster: str = "label", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """silhouette: the mean Euclidean silhouette over rows, by a self-join of rows; for samples, as its cost is quadratic."""
-    x = rows.select(F.col(key).alias("i"), F.col(cluster).alias("c"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
-    y = x.select(F.col("i").alias("j"), F.col("c").alias("d"), F.col("v").alias("w"))
-    dist = F.sqrt(F.aggregate(F.zip_with("v", "w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    to = x.join(y, F.col("i") != F.col("j")).groupBy("i", "c", "d").agg(F.avg(dist).alias("m"))
-    per = to.groupBy("i", "c").agg(F.max(F.when(F.col("c") == F.col("d"), F.col("m"))).alias("a"), F.min(F.when(F.col("c") != F.col("d"), F.col("m"))).alias("b"))
-    return per.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0))).alias("silhouette"))
+    """silhouette: the mean Euclidean silhouette over rows whose vectors are whole; 0 for a row alone in its cluster.
+
+    All distances are needed, so time grows with the square of the rows: for samples. A pair of blocks gives a row's sum of
+    distances to each cluster, never a row a pair. Keys must be distinct."""
+    ident, group = (rows.schema[c].dataType.simpleString() for c in (key, cluster))
+
+    def one_way(a, b, same):
+        left, right = np.array(a["v"].tolist()), np.array(b["v"].tolist())
+        names, at = np.unique(b["c"].to_numpy(), return_inverse=True)
+        members, mine = np.eye(len(names))[at], {k: i for i, k in enumerate(b["id"])} if same else {}
+        far = (right * right).sum(1)
+        for start in range(0, len(left), STRIP):
+            x = left[start : start + STRIP]
+            dist = np.sqrt(np.maximum((x * x).sum(1)[:, None] + far - 2 * x @ right.T, 0))
+            ids, own = a["id"].to_numpy()[start : start + STRIP], a["c"].to_numpy()[start : start + STRIP]
+            if same:
+                dist[np.arange(len(x)), [mine[k] for k in ids]] = 0
+            total, n = dist @ members, np.tile(members.sum(0), (len(x), 1))
+            if same:
+                n -= own[:, None] == names[None, :]
+            yield pd.DataFrame({"i": np.repeat(ids, len(names)), "c": np.repeat(own, len(names)), "d": np.tile(names, len(x)), "s": total.ravel(), "n": n.ravel()})
+
+    def run(same, a, b):
+        if not len(a) or not len(b):
+            return pd.DataFrame({"i": a["id"][:0], "c": a["c"][:0], "d": a["c"][:0], "s": np.zeros(0), "n": np.zeros(0)})
+        return pd.concat([*one_way(a, b, same), *([] if same else one_way(b, a, False))])
+
+    x = _blocked(rows.where(F.col(cluster).isNotNull()), [F.col(key), F.col(cluster)], vector, ["id", "c"])
+    sums = _met(x, run, f"i {ident}, c {group}, d {group}, s double, n double").groupBy("i", "c", "d").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
+    per = sums.groupBy("i", "c").agg(F.max(F.when(F.col("c") == F.col("d"), F.col("m"))).alias("a"), F.min(F.when(F.col("c") != F.col("d"), F.col("m"))).alias("b"))
+    far = F.greatest("a", "b")
+    return per.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.when(far > 0, far), F.lit(0.0))).alias("silhouette"))
 
 
 def best_k(rows: DataFrame, ks: list[int], key: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:

@@ -399,7 +399,8 @@ def silhouette_k(spark, d):
     return corpus.best_k(table(spark, d, "embeddings"), [2, 4])
 
 
-@query()
+@query(f"""with recursive {UNIT_SQL}, e as materialized (select a.vec_id x, b.vec_id y from v a, v b where a.vec_id <> b.vec_id and list_dot_product(a.u, b.u) >= 0.4),
+reach as (select vec_id, vec_id seen from v union select vec_id, y from reach join e on seen = x) select vec_id, min(seen) component from reach group by 1""")
 def dedup_components(spark, d):
     rows = table(spark, d, "embeddings")
     return corpus.components(rows.select("vec_id"), corpus.similar_pairs(rows, 0.4))

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ampliscope.functions import cost, scalars
-from ampliscope.operators import amplify, bon, choose, corpus, pairs, pools, regress, selections
+from ampliscope.operators import amplify, bon, choose, corpus, lineage, pairs, pools, regress, selections
 from ampliscope.plans import models, search
 from ampliscope.sources.banks import Bank, events_bank
 
@@ -379,3 +379,42 @@ def test_command_line(spark, sf_dir, tmp_path, capsys):
     assert main(["largest_groups", sf_dir, str(tmp_path / "out")]) == 0
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     assert main(["no_such_query", sf_dir]) == 2 and "amp_bon_n2" in capsys.readouterr().out
+
+
+def test_places_over_all_partitions(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(p), float(rng.integers(0, 4))) for p in rng.permutation(500)]
+    r2 = spark.createDataFrame(rows, "prompt long, r2 double").repartition(7)
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    got = {r["prompt"]: r["idx"] for r in lineage.placed(r2, F.col("r2"), F.col("prompt")).collect()}
+    assert got == {p: i for i, (p, _) in enumerate(order)}
+    band = {r["prompt"] for r in choose.middle_band(r2, 0.2, 0.6, 150, 1).collect()}
+    assert band == {order[100 + i % 200][0] for i in range(150, 300)}
+    assert lineage.placed(r2.where("prompt < 0"), F.col("r2"), F.col("prompt")).count() == 0
+    assert choose.middle_band(r2.where("prompt < 0"), 0.2, 0.6, 3).count() == 0
+
+
+def test_blocks_give_all_similar_pairs_and_silhouettes(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "BLOCK", 16)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(70, 4))
+    x[5], x[9], x[11] = x[4], 0, x[12] * 3
+    label = [i % 3 for i in range(69)] + [9]
+    rows = [(i, label[i], [float(v) for v in x[i]]) for i in range(70)]
+    odd = [(100, 0, None), (101, 1, [1.0, None, 2.0, 0.0]), (102, 2, [1.0, 2.0])]
+    table = spark.createDataFrame(rows + odd, "vec_id long, label int, embedding array<double>")
+    norm = np.linalg.norm(x, axis=1)
+    u = x / np.where(norm > 0, norm, 1)[:, None]
+    want = {(i, j): float(u[i] @ u[j]) for i in range(70) for j in range(i + 1, 70) if u[i] @ u[j] >= 0.7}
+    got = corpus.similar_pairs(table, 0.7).collect()
+    assert len(got) == len(want) and all(abs(want[r["a"], r["b"]] - r["cosine"]) < 1e-9 for r in got)
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    scores = []
+    for i in range(70):
+        to = {c: [dist[i, j] for j in range(70) if j != i and label[j] == c] for c in set(label)}
+        near = min(np.mean(to[c]) for c in to if c != label[i])
+        own = to[label[i]]
+        scores.append((near - np.mean(own)) / max(near, np.mean(own)) if own else 0)
+    whole = table.where("vec_id < 70")
+    assert corpus.silhouettes(whole).first()[0] == pytest.approx(np.mean(scores), abs=1e-9)
+    assert corpus.silhouettes(whole.where("vec_id < 0")).first()[0] is None and corpus.similar_pairs(whole.where("vec_id < 0"), 0.1).count() == 0
