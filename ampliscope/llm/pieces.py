@@ -14,6 +14,8 @@ from .common import prepare
 
 SPACE = "▁"
 CACHE = 400_000
+#: Characters of a piece of work of a long word, and those that it shares with the one before.
+CHUNK, OVERLAP = 2048, 256
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]*")
 _loaded: dict[str, Pieces] = {}
@@ -113,7 +115,60 @@ class Pieces:
         return out
 
     def viterbi(self, words: list[str]) -> list[bytes]:
-        """Ids (32-bit, packed) of words of one length: all words advance together, one place at a time."""
+        """Ids (32-bit, packed) of words of one length."""
+        if len(words[0]) > 2 * CHUNK:
+            return [self.packed(w, *self.chained(w)) for w in words]
+        paths = self.paths(words)
+        ranks = np.concatenate([r for _, r in paths])
+        bounds = np.cumsum([0, *(len(r) for _, r in paths)])
+        flat, ends = self.id_of[ranks].astype(np.int32).tobytes(), (4 * bounds).tolist()
+        out = [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
+        for i in np.unique(np.searchsorted(bounds, np.flatnonzero(ranks < 0), "right") - 1).tolist():
+            out[i] = self.packed(words[i], *paths[i])
+        return out
+
+    def packed(self, word: str, starts: np.ndarray, ranks: np.ndarray) -> bytes:
+        """The ids of a path; characters without a piece give their bytes' ids."""
+        ids = self.id_of[ranks]
+        lost = np.flatnonzero(ranks < 0)
+        if not len(lost):
+            return ids.astype(np.int32).tobytes()
+        parts, done = [], 0
+        for i in lost.tolist():
+            parts += [ids[done:i], self.bytes[list(word[starts[i]].encode())]]
+            done = i + 1
+        return np.concatenate([*parts, ids[done:]]).astype(np.int32).tobytes()
+
+    def chained(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """The path of a long word, from chunks that overlap and advance together.
+
+        A path holds if its neighbours hold as pairs. So where two chunks have one piece at one place, what goes before it in the
+        first and after it in the second is a path. Chunks of a text with a period may never meet: then chunks with other
+        beginnings are tried, and if these do not meet either, the word advances as one."""
+        starts = range(0, len(word) - OVERLAP, CHUNK - OVERLAP)
+        for shifts in ((0,), range(self.longest + 1)):
+            at = [min(i + k, len(word) - CHUNK) if i else 0 for i in starts for k in shifts]
+            step, paths = max(1, (1 << 20) // CHUNK), []
+            for i in range(0, len(at), step):
+                paths += self.paths([word[a : a + CHUNK] for a in at[i : i + step]])
+            codes = [(a + x) * (self.size + 1) + r + 1 for a, (x, r) in zip(at, paths)]
+            whole, end = [], codes[0]
+            for i in range(len(shifts), len(at), len(shifts)):
+                for code in codes[i : i + len(shifts)]:
+                    _, here, there = np.intersect1d(end, code, assume_unique=True, return_indices=True)
+                    if len(here):
+                        break
+                else:
+                    break
+                whole.append(end[: here[-1]])
+                end = code[there[-1] :]
+            else:
+                whole = np.concatenate([*whole, end])
+                return whole // (self.size + 1), whole % (self.size + 1) - 1
+        return self.paths([word])[0]
+
+    def paths(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(begins, ranks) of the pieces of words of one length, rank -1 for a character without a piece: all words advance together, one place at a time."""
         n, m = len(words), len(words[0])
         x = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, m)
         last = np.full((n, m + 1), -2, np.int64)  # the piece that ends at each place: a rank, -1 for a character without a piece, -2 for none
@@ -143,24 +198,14 @@ class Pieces:
             alone[row[col == 0]] = False
             alone &= (last[:, s] > -2) | (s == 0)
             last[alone, s + 1], back[alone, s + 1] = -1, s
-        ids, end, rows = np.full((n, m), -1, np.int32), np.full(n, m), np.arange(n)
-        odd = np.zeros(n, bool)
-        while len(rows):  # all words walk back together; an id stands where its piece begins
-            start, r = back[rows, end], last[rows, end]
-            ids[rows, start] = np.where(r >= 0, self.id_of[r], -1)
-            odd[rows[r < 0]] = True
+        found, end, rows = np.full((n, m), -2, np.int32), np.full(n, m), np.arange(n)
+        while len(rows):  # all words walk back together; a rank stands where its piece begins
+            start = back[rows, end]
+            found[rows, start] = last[rows, end]
             rows, end = rows[start > 0], start[start > 0]
-        bounds = np.concatenate([[0], np.cumsum((ids >= 0).sum(1))]) * 4
-        flat = ids[ids >= 0].tobytes()
-        out = [flat[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        for i in np.flatnonzero(odd).tolist():
-            own, e, w = [], m, words[i]
-            while e:
-                b, r = back[i, e], last[i, e]
-                own[:0] = [self.id_of[r]] if r >= 0 else self.bytes[list(w[b:e].encode())].tolist()
-                e = b
-            out[i] = np.array(own, np.int32).tobytes()
-        return out
+        at, where = np.nonzero(found > -2)
+        ranks, bounds = found[at, where].astype(np.int64), np.searchsorted(at, np.arange(n + 1))
+        return [(where[i:j], ranks[i:j]) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
     def learn(self, words: set[str]) -> None:
         """Encode words not seen before, by length, in blocks of bounded size."""

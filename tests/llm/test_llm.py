@@ -354,6 +354,18 @@ def test_pieces_are_those_of_the_library(docs):
     assert [x.tolist() for x in model.encode(texts)] == sp.encode(texts)
 
 
+def test_pieces_of_long_words(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "CHUNK", 128)
+    monkeypatch.setattr(pieces, "OVERLAP", 32)
+    model, sp = pieces.Pieces(queries.PIECES), sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    rng = np.random.default_rng(1)
+    letters = lambda abc, n: "".join(abc[i] for i in rng.integers(0, len(abc), n))
+    texts = [letters("abcdefghijklmnopqrstuvwxyz", 3001), letters("\u4f60\u597d\u4e16\u754c\U0001f600e", 700), "a" * 1000, "xy" * 500, "-" * 901, letters("ab", 1500) + "c" * 400 + letters("0123456789", 777), "the" * 400]
+    assert [x.tolist() for x in model.encode(texts)] == sp.encode(texts)
+
+
 # WARC
 
 
