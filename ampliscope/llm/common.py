@@ -124,6 +124,16 @@ def pieces_of(text: bytes, most: int = 1 << 20):
     yield text[start:]
 
 
+#: Lower-case ASCII letters, digits and bytes from 0x80 on stay, A-Z are lowered, all else parts words.
+LOWERED = bytes(b if 48 <= b < 58 or 97 <= b < 123 or b > 127 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
+
+
+def lowered_words(text: bytes):
+    """The words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of a text whose A-Z are lowered, in lists of bounded length."""
+    for piece in pieces_of(text.translate(LOWERED)):
+        yield piece.split()
+
+
 def components(edges: DataFrame, owner: str) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the least node of its connected component.
 
