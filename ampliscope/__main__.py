@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .plans.records import QUERIES
+from .plans.flows import QUERIES
 
 
 def main(args: list[str]) -> int:

@@ -125,10 +125,10 @@ def medoids(rows: DataFrame, group: str, key: str = "vec_id", vector: str = "emb
 
 
 def component_medoids(rows: DataFrame, at_least: float, most: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """component, medoid, size of the `most` largest components of rows joined by a cosine of at_least; ties by component."""
+    """component, medoid, size of the first `most` components of rows joined by a cosine of at_least, in order of their first member."""
     found = components(rows.select(key), similar_pairs(rows, at_least, key=key, vector=vector), key)
     own = rows.join(found, key)
-    return medoids(own, "component", key, vector).orderBy(F.desc("size"), "component").limit(most)
+    return medoids(own, "component", key, vector).orderBy("component").limit(most)
 
 
 def kmeans_medoids(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:

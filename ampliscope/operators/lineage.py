@@ -3,19 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a folder of this machine serves only where all runs in one process."""
+    found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    if not found:
+        found = f"file://{tempfile.mkdtemp()}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a table that a query works on."""
+    return f"{shared_folder(spark)}/ampliscope/{name}-{uuid.uuid4().hex}"
+
+
 def frozen(rows: DataFrame) -> DataFrame:
-    """The rows behind a checkpoint in spark.checkpoint.dir; a folder of this machine serves only where all runs in one process."""
+    """The rows behind a checkpoint in the shared folder."""
     spark = rows.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
-        if not folder and master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp())
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return rows.checkpoint()
 
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sides
 from .choose import reliable
 
 
@@ -179,40 +180,17 @@ def matched_by_reward(left: DataFrame, right: DataFrame, tolerance: float | None
     return left.groupBy("prompt").cogroup(right.groupBy("p")).applyInPandas(run, f"prompt {kind}, pos_id {ident}, neg_id {ident}")
 
 
-def counterfactuals(pairs: DataFrame, caps: DataFrame, max_h: int, per_prompt: int = 5) -> DataFrame:
-    """attr, prompt, pos_id, neg_id, h, gap: for each label's image, strongest first, the free opposite of least score.
-
-    Candidates win on reward, differ in at most max_h other labels and keep the attr's gap cap. Score: half h over max_h, half gap over cap."""
-    kind = {f: pairs.schema[f].dataType.simpleString() for f in ("prompt", "pos_id")}
-    rows = (pairs if "gap" in pairs.columns else with_gap(pairs)).join(F.broadcast(caps.select("attr", "cap")), "attr")  # a row an attribute
-    rows = rows.where((F.col("h") <= max_h) & (F.col("gap") <= F.col("cap")))
-    score = 0.5 * F.col("h") / max(1, max_h) + 0.5 * F.col("gap") / F.when(F.col("cap") > 0, F.col("cap")).otherwise(1.0)
-    rows = rows.select("attr", "prompt", "pos_id", "neg_id", "h", "gap", "pos_reward", score.alias("score"))
-
-    def run(frame):
-        used, done, out = set(), set(), []
-        for r in frame.sort_values(["pos_reward", "pos_id", "score", "neg_id"], ascending=[False, True, True, True]).itertuples():
-            if len(out) >= per_prompt:
-                break
-            if r.pos_id not in done and r.neg_id not in used:
-                done.add(r.pos_id)
-                used.add(r.neg_id)
-                out.append((r.attr, r.prompt, r.pos_id, r.neg_id, r.h, r.gap))
-        return pd.DataFrame(out, columns=["attr", "prompt", "pos_id", "neg_id", "h", "gap"])
-
-    return rows.groupBy("attr", "prompt").applyInPandas(run, f"attr string, prompt {kind['prompt']}, pos_id {kind['pos_id']}, neg_id {kind['pos_id']}, h int, gap double")
-
-
 def natural(images: DataFrame, attrs: tuple[str, ...], intervals: DataFrame, max_h: int, q: float = 0.75, per_prompt: int = 5, mode: str = "reward") -> DataFrame:
     """attr, prompt, pos_id, neg_id, h, gap, weight: counterfactual pairs of prompts whose weight of the attr is surely above zero.
 
     intervals: prompt, attr, w_mean, ci_low, ci_high. The gap cap is the quantile over these prompts' pairs alone, at any distance."""
     sure = reliable(intervals).select("prompt", "attr", "w_mean", "ci_low", "ci_high")
-    caps = gap_cap(with_gap(crossed(images, attrs, only=sure), mode), q)
-    best = counterfactuals(with_gap(crossed(images, attrs, max_h=max_h, only=sure), mode), caps, max_h, per_prompt)
+    prompts = sides.kept(sides.by_prompt(images, attrs, sure))
+    caps = sides.gap_caps(prompts, attrs, q, mode)
+    best = sides.counterfactuals(prompts, attrs, caps, max_h, per_prompt, mode)
     confidence = F.col("w_mean") / F.greatest(F.col("ci_high") - F.col("ci_low"), F.lit(1e-9))
     weight = pair_weight(F.col("h"), F.col("gap"), confidence, F.lit(max_h), F.col("cap"))
-    return best.join(sure, ["prompt", "attr"]).join(F.broadcast(caps.select("attr", "cap")), "attr").select("attr", "prompt", "pos_id", "neg_id", "h", "gap", weight.alias("weight"))
+    return best.join(sure, ["prompt", "attr"]).join(F.broadcast(caps.select("attr", "cap")), "attr").select("attr", "prompt", "pos_id", "neg_id", "h", "gap", weight.alias("weight"))  # caps: a row an attribute
 
 
 def summary(pairs: DataFrame) -> DataFrame:

@@ -86,25 +86,39 @@ def partly_covered(images: DataFrame, attrs: DataFrame, detections: DataFrame) -
 def evicted(cache: DataFrame, most: int) -> DataFrame:
     """The cache without its least recently used rows, down to 90 % of `most`, if it holds more. cache: cache_key, last_used.
 
-    The time up to which rows go comes from counts by hash of the key within times, so no task sorts the cache: rows used before
-    the boundary time go, and of those used at it the first by key."""
+    Rows go in order of (last_used, cache_key). The place where they stop is found by counting parts of the range of times, and
+    then beginnings of the keys at the boundary time, so no task sorts the cache, even if all its rows have one time."""
     n = cache.count()
     if n <= most:
         return cache
     go = n - int(most * 0.9)
-    times = cache.groupBy("last_used").agg(F.count("*").alias("n"))
-    low, high = (F.col("last_used") < F.col("edge")), (F.col("last_used") == F.col("edge"))
-    edge = _edge(times, go)
-    rows = cache.withColumn("edge", F.lit(edge))
-    left = go - rows.where(low).count()
-    tied = rows.where(high).select("cache_key").orderBy("cache_key").limit(left)
-    return rows.where(~low).drop("edge").join(tied, "cache_key", "left_anti")
-
-
-def _edge(times: DataFrame, go: int):
-    """The value of last_used up to which `go` rows come: the range is narrowed by counts of parts of it. times: last_used, n."""
-    at = F.col("last_used").cast("double")
-    rows, before = times, 0
+    time, before = _edge(cache.groupBy("last_used").agg(F.count("*").alias("n")), "last_used", go)
+    at = F.col("last_used") == F.lit(time)
+    key = _edge_key(cache.where(at).select("cache_key"), go - before)
+    return cache.where((F.col("last_used") > F.lit(time)) | at & (F.col("cache_key") > F.lit(key)))
+
+
+def _edge_key(keys: DataFrame, go: int) -> str:
+    """The key at which the first `go` keys end: the beginning that it has is made longer until few keys have it."""
+    start = ""
+    while True:
+        rows = keys.where(F.col("cache_key").startswith(start))
+        few = sorted((r["cache_key"] for r in rows.limit(4097).collect()), key=str.encode)
+        if len(few) <= 4096:
+            return few[go - 1]
+        for r in sorted(rows.groupBy(F.substring("cache_key", 1, len(start) + 1).alias("p")).count().collect(), key=lambda r: r["p"].encode()):
+            if r["count"] >= go:
+                break
+            go -= r["count"]
+        if r["p"] == start:
+            return start
+        start = r["p"]
+
+
+def _edge(counts: DataFrame, name: str, go: int) -> tuple:
+    """The value of a column at which the first `go` rows end, and how many rows come before it: the range is narrowed by counts of its parts. counts: name, n."""
+    at = F.col(name).cast("double")
+    rows, before = counts, 0
     while True:
         lo, hi, kinds = rows.agg(F.min(at), F.max(at), F.count("*")).first()
         if kinds <= 4096 or lo == hi:
@@ -115,10 +129,10 @@ def _edge(times: DataFrame, go: int):
                 rows = rows.where(part == r["p"])
                 break
             before += r["n"]
-    for r in sorted(rows.collect(), key=lambda r: r["last_used"]):
+    for r in sorted(rows.collect(), key=lambda r: r[name]):
+        if before + r["n"] >= go:
+            return r[name], before
         before += r["n"]
-        if before >= go:
-            return r["last_used"]
 
 
 def history(pool: DataFrame) -> DataFrame:

@@ -69,13 +69,31 @@ def ends_by_r2(r2: DataFrame, most: int) -> DataFrame:
     return side("head", F.desc("r2"), F.asc("prompt")).unionByName(side("tail", F.asc("r2"), F.desc("prompt")))
 
 
-def drift(before: DataFrame, after: DataFrame) -> DataFrame:
-    """target, attr, n, n_changed: labels other than the target's that an edit changed. before: image_id, attr, g; after: the same and target."""
-    both = after.where("attr <> target").join(before.withColumnRenamed("g", "old"), ["image_id", "attr"])
-    return both.groupBy("target", "attr").agg(F.count("*").alias("n"), F.count_if(F.col("g") != F.col("old")).alias("n_changed"))
+def edit_results(tasks: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """tasks with edited, original (labels of the target; null: no answer), success and error.
 
+    tasks: target, image_id, has_file. before, after: image_id, attr, g of the image and (after: target too) of what an edit for the target made of it. An
+    edit is a success if its file is there and the target is found absent; every task counts, whatever the image had before."""
+    new = after.where("attr = target").select("target", "image_id", F.col("g").alias("edited"))
+    old = before.select(F.col("attr").alias("target"), "image_id", F.col("g").alias("original"))
+    rows = tasks.join(new, ["target", "image_id"], "left").join(old, ["target", "image_id"], "left")
+    rows = rows.withColumn("edited", F.when(F.col("has_file"), F.col("edited")))
+    return rows.withColumns({"success": F.coalesce(F.col("edited") == 0, F.lit(False)), "error": F.when(~F.col("has_file"), "no edited file")})
 
-def edit_success(before: DataFrame, after: DataFrame) -> DataFrame:
-    """target, attempts, success: edits of images that had the target, and those that it is gone from."""
-    own = after.where("attr = target").join(before.withColumnRenamed("g", "old"), ["image_id", "attr"]).where("old = 1")
-    return own.groupBy("target").agg(F.count("*").alias("attempts"), F.count_if(F.col("g") == 0).alias("success"))
+
+def edit_success(results: DataFrame) -> DataFrame:
+    """target, attempts, success, missing: all tasks, those whose target is gone, and those without an edited file."""
+    return results.groupBy("target").agg(F.count("*").alias("attempts"), F.count_if(F.col("success")).alias("success"), F.count_if(~F.col("has_file")).alias("missing"))
+
+
+def drift(results: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """target, image_id, attr, was, now: what became of the other labels that were 1, for edits that succeeded; now is -1 where the detector gave nothing."""
+    had = before.where("g = 1").select("image_id", "attr", F.col("g").alias("was"))
+    rows = results.where("success").select("target", "image_id").join(had, "image_id").where("attr <> target")
+    new = after.select("target", "image_id", "attr", F.col("g").alias("now"))
+    return rows.join(new, ["target", "image_id", "attr"], "left").withColumn("now", F.coalesce("now", F.lit(-1)))
+
+
+def drift_counts(drifts: DataFrame) -> DataFrame:
+    """target, attr, n, n_lost, n_failed."""
+    return drifts.groupBy("target", "attr").agg(F.count("*").alias("n"), F.count_if(F.col("now") == 0).alias("n_lost"), F.count_if(F.col("now") == -1).alias("n_failed"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import amplify, bon, choose, corpus, pairs, pools, regress, reports
+from ..operators import amplify, bon, choose, corpus, pairs, pools, regress, reports, sides
 from ..sources import banks
 from ..sources.banks import D_LONG, E_ATTRS, E_LONG, E_WIDE, L_LONG, T_LONG, documents_bank, events_bank, lineitem_bank, table
 from . import search
@@ -306,10 +306,6 @@ pairs as (select p.prompt, attr, p.image_id pos_id, n.image_id neg_id, p.reward
   from k, v p, v n where p.prompt = n.prompt and p.g[k] = 1 and n.g[k] = 0)"""
 
 
-def _pairs(spark, d):
-    return pairs.crossed(events_bank(spark, d).images, E_ATTRS)
-
-
 @query(f"with {PAIRS_SQL}, r as (select *, row_number() over (partition by prompt, attr order by h, pos_id, neg_id) as rank from pairs where pos_reward > neg_reward) select prompt, attr, pos_id, neg_id, h::int h, rank::int as rank from r where rank <= 3")
 def hamming_topk(spark, d):
     return pairs.closest(events_bank(spark, d).images, E_ATTRS, 3, True).select("prompt", "attr", "pos_id", "neg_id", "h", "rank")
@@ -327,7 +323,7 @@ def hamming_prompt_cap(spark, d):
 
 @query(f"with {PAIRS_SQL} select attr, round(quantile_cont(pos_reward - neg_reward, 0.75), 6) cap, count(*) n from pairs where pos_reward > neg_reward group by 1")
 def gap_cap(spark, d):
-    return pairs.gap_cap(_pairs(spark, d))
+    return sides.gap_caps(sides.kept(sides.by_prompt(events_bank(spark, d).images, E_ATTRS)), E_ATTRS)
 
 
 @query(f"with {PAIRS_SQL} select attr, count(*) n_pairs, count(distinct prompt) n_prompts, round(avg(h), 6) mean_h, round(avg(pos_reward - neg_reward), 6) + 0.0 mean_gap from pairs group by 1")
@@ -343,7 +339,8 @@ def match_by_reward(spark, d):
 
 @query()
 def best_counterfactual(spark, d):
-    return pairs.counterfactuals(pairs.crossed(events_bank(spark, d).images, E_ATTRS, max_h=2), pairs.gap_cap(_pairs(spark, d)), 2)
+    prompts = sides.kept(sides.by_prompt(events_bank(spark, d).images, E_ATTRS))
+    return sides.counterfactuals(prompts, E_ATTRS, sides.gap_caps(prompts, E_ATTRS), 2)
 
 
 @query()

@@ -95,25 +95,32 @@ def ends_by_r2(spark, d):
     return trends.ends_by_r2(steps(spark, d).groupBy("prompt").agg(F.avg("score").alias("r2")), 6)
 
 
-LABELS = "b as (select event_id image_id, unnest(['a', 'b', 'c']) attr, unnest([(event_id % 2)::int, (event_id % 3 = 0)::int, (event_id % 5 = 0)::int]) g from events), a as (select image_id, attr, case when image_id % 4 = 0 then 1 - g when attr = 'a' then 0 else g end g, 'a' target from b)"
+#: Labels that lineitem's edits for 'returned' find: every fifth edit has no file, every seventh detection gives nothing.
+LABELS = """w as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) image_id, l_orderkey k, unnest(['disc_ge_05', 'returned', 'qty_gt_40', 'open_status']) attr,
+  unnest([(l_discount >= 0.05)::int, (l_returnflag = 'R')::int, (l_quantity > 40)::int, (l_linestatus = 'O')::int]) g from lineitem),
+b as (select image_id, max(k) k, attr, max(g) g from w group by 1, 3), a as (select image_id, k, attr, case when k % 3 = 0 then 0 else g end g from b where k % 7 <> 0 or attr = 'qty_gt_40'),
+r as (select distinct b.image_id, b.k, b.k % 5 <> 0 has_file, case when b.k % 5 <> 0 then a.g end edited from b left join a on a.image_id = b.image_id and a.attr = 'returned' where b.attr = 'returned')"""
 
 
-def _labels(spark, d):
-    i = F.col("image_id")
-    rows = table(spark, d, "events").select(F.col("event_id").alias("image_id"))
-    lists = F.explode(F.arrays_zip(F.array(*map(F.lit, "abc")).alias("attr"), F.array((i % 2).cast("int"), (i % 3 == 0).cast("int"), (i % 5 == 0).cast("int")).alias("g"))).alias("z")
-    before = rows.select("image_id", lists).select("image_id", "z.attr", "z.g")
-    return before, before.withColumns({"g": F.when(i % 4 == 0, 1 - F.col("g")).when(F.col("attr") == "a", 0).otherwise(F.col("g")), "target": F.lit("a")})
+def _edits(spark, d):
+    """(results, before, after) of one edit of each image, for the label returned."""
+    li = table(spark, d, "lineitem").withColumn("image_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    flags = {"disc_ge_05": F.col("l_discount") >= 0.05, "returned": F.col("l_returnflag") == "R", "qty_gt_40": F.col("l_quantity") > 40, "open_status": F.col("l_linestatus") == "O"}
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("attr"), f.cast("int").alias("g")) for a, f in flags.items()))).alias("z")
+    before = li.select("image_id", F.col("l_orderkey").alias("k"), each).groupBy("image_id", "z.attr").agg(F.max("k").alias("k"), F.max("z.g").alias("g"))
+    after = before.where("k % 7 <> 0 or attr = 'qty_gt_40'").select("image_id", "attr", F.when(F.col("k") % 3 == 0, 0).otherwise(F.col("g")).alias("g"), F.lit("returned").alias("target"))
+    tasks = before.where("attr = 'returned'").select("image_id", F.lit("returned").alias("target"), (F.col("k") % 5 != 0).alias("has_file"))
+    return trends.edit_results(tasks, before, after), before, after
 
 
-@query(f"with {LABELS} select a.target, a.attr, count(*) n, count(*) filter (a.g <> b.g) n_changed from a join b using (image_id, attr) where a.attr <> a.target group by 1, 2")
+@query(f"with {LABELS} select 'returned' target, b.attr, count(*) n, count(*) filter (a.g = 0) n_lost, count(*) filter (a.g is null) n_failed from r join b on r.image_id = b.image_id and b.g = 1 and b.attr <> 'returned' left join a on a.image_id = b.image_id and a.attr = b.attr where r.edited = 0 group by 2")
 def side_effect_drift(spark, d):
-    return trends.drift(*_labels(spark, d))
+    return trends.drift_counts(trends.drift(*_edits(spark, d)))
 
 
-@query(f"with {LABELS} select a.target, count(*) attempts, count(*) filter (a.g = 0) success from a join b using (image_id, attr) where a.attr = a.target and b.g = 1 group by 1")
+@query(f"with {LABELS} select 'returned' target, count(*) attempts, count(*) filter (edited = 0) success, count(*) filter (not has_file) missing from r")
 def edit_success(spark, d):
-    return trends.edit_success(*_labels(spark, d))
+    return trends.edit_success(_edits(spark, d)[0])
 
 
 @query(f"with p as ({PARTS}), f as (select pos, attr, case when contains(lower(attr), 'med') then 0 when contains(lower(attr), 'standard') then 1 end wish from p) select pos, attr, (row_number() over (order by wish, pos) - 1)::int place from f where wish is not null")

@@ -1,6 +1,6 @@
 import pytest
 
-from ampliscope.plans import records as catalog
+from ampliscope.plans import flows as catalog
 
 from .conftest import same
 

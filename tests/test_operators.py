@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ampliscope.functions import cost, scalars
-from ampliscope.operators import amplify, bon, choose, corpus, lineage, pairs, pools, regress, selections
+from ampliscope.operators import amplify, bon, choose, corpus, lineage, pairs, pools, regress, selections, trends
 from ampliscope.plans import models, search
 from ampliscope.sources.banks import Bank, events_bank
 
@@ -283,7 +283,19 @@ def test_scalars(spark):
     chat = spark.createDataFrame([(1, "user", "b"), (0, "system", "a"), (2, "assistant", "c")], "turn long, role string, text string").agg(scalars.history().alias("m"))
     assert chat.select(scalars.rendered(scalars.added("m", "user", F.lit("d"))).alias("x")).first()["x"] == "SYSTEM: a\nUSER: b\nASSISTANT: c\nUSER: d"
     assert '"model":"m"' in chat.select(scalars.request_body(F.lit("m"), "m", top_p=F.lit(None).cast("double")).alias("x")).first()["x"]
-    assert cost.search_cost(2, 2, 2, 1, 4, cost.Price(1, 1), cost.Price(1, 1))["propose"] == 0
+
+
+def test_costs():
+    plan = cost.SearchPlan(train_prompts=(10, 3), steps=2, fixed_images=100, initial_pool=20, attrs_per_call=4, most_prompts=5, context_images=2, proposals=6, proposer_calls=3, proposer_images=8)
+    one = cost.Price(1e6, 0)
+    got = cost.search_cost(plan, one, one, one, one, one, 10, 20, 30, batched=True)
+    calls = 5, 3
+    assert got["planner"] == sum(calls) * (1000 + 2 * 10) and got["cluster"] == sum(calls) * 4 * 60
+    assert got["humanness"] == (20 + 6 + 12 + 6) * 80 and got["detection"] == (20 + 6 + 12 + 6) * 100 * (200 + 20) / 2
+    assert got["proposer"] == 2 * 3 * (600 + 8 * 30) and got["validation"] == 2 * 6 * 3 * 100 * 110 and got["total"] == sum(v for k, v in got.items() if k != "total")
+    assert cost.search_cost(plan, one, one, one, one, one, local_detector=True)["detection"] == 0
+    many = cost.SearchPlan(train_prompts=(10,), steps=1, fixed_images=1, initial_pool=5, prompts_per_call=4)
+    assert cost.search_cost(many, cost.Price(0, 1e6), one, one, one, one)["planner"] == 3 * 15_000 and cost.search_cost(many, one, one, one, one, one)["proposer"] == 0
 
 
 def test_search_runs_and_resumes(spark, sf_dir):
@@ -348,6 +360,23 @@ def test_eviction_narrows_to_the_boundary(spark):
     assert kept == {k for k, _ in sorted(rows, key=lambda r: (r[1], r[0]))[3000:]}
 
 
+@pytest.mark.parametrize("most", [10, 9_000])
+def test_eviction_of_rows_of_one_time(spark, most):
+    keys = [f"key{i * 7919 % 10_007:05d}" for i in range(10_000)] + ["key", "key0", "\u00e9", "a"]
+    kept = {r["cache_key"] for r in pools.evicted(spark.createDataFrame([(k, 5) for k in keys], "cache_key string, last_used long"), most).collect()}
+    assert kept == set(sorted(keys, key=str.encode)[len(keys) - int(most * 0.9) :])
+
+
+def test_edits_count_every_task(spark):
+    tasks = spark.createDataFrame([("a", 1, True), ("a", 2, True), ("a", 3, False), ("a", 4, True), ("b", 1, True)], "target string, image_id int, has_file boolean")
+    before = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (1, "c", 1), (2, "a", 0), (2, "c", 0), (3, "a", 1), (4, "a", 1)], "image_id int, attr string, g int")
+    after = spark.createDataFrame([("a", 1, "a", 0), ("a", 1, "b", 0), ("a", 2, "a", 0), ("a", 2, "c", 1), ("a", 3, "a", 0), ("b", 1, "b", 1)], "target string, image_id int, attr string, g int")
+    found = trends.edit_results(tasks, before, after)
+    assert {(r["target"], r["image_id"], r["edited"], r["original"], r["success"], r["error"]) for r in found.collect()} == {("a", 1, 0, 1, True, None), ("a", 2, 0, 0, True, None), ("a", 3, None, 1, False, "no edited file"), ("a", 4, None, 1, False, None), ("b", 1, 1, 1, False, None)}
+    assert {tuple(r) for r in trends.edit_success(found).collect()} == {("a", 4, 2, 1), ("b", 1, 0, 0)}
+    assert {tuple(r) for r in trends.drift(found, before, after).select("target", "image_id", "attr", "was", "now").collect()} == {("a", 1, "b", 1, 0), ("a", 1, "c", 1, -1)}
+
+
 def test_records_refuse_what_is_not_there(spark):
     attrs = spark.createDataFrame([(0, "Red car"), (1, "blue CAR"), (2, "tree")], "pos long, attr string")
     assert [r["attr"] for r in selections.selected(attrs, ["tree", "car", 0]).orderBy("place").collect()] == ["tree", "Red car", "blue CAR"]
@@ -370,7 +399,7 @@ def test_component_medoids(spark):
         own = [(i, np.array(v) / np.linalg.norm(v)) for i, v in rows if i % 4 == k]
         far = [(round(sum(1 - a @ b for _, b in own), 9), i) for i, a in own]
         want.append((min(i for i, _ in own), min(far)[1], len(own)))
-    assert [tuple(r) for r in found] == sorted(want, key=lambda x: (-x[2], x[0]))[:3]
+    assert [tuple(r) for r in found] == sorted(want)[:3]
 
 
 def test_command_line(spark, sf_dir, tmp_path, capsys):
