@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import free_name, lowered_words, own_columns, prepare, saved, text_bytes, LOWERED
+from .common import lowered_words, own_columns, prepare, saved, text_bytes, LOWERED
 
 SIZE = 10
 SHARD_WORDS = 4 << 20  # words of training text behind one index
@@ -227,23 +227,24 @@ def found_in(texts: list[bytes], phrases: Phrases) -> list[tuple[int, list[tuple
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _searcher(held, carry: int):
-    """A mapInArrow function over the carried columns and, last, the text."""
+def _searcher(held):
+    """A mapInArrow function over a column that goes through and the text."""
 
     def search(batches):
         phrases = held.value
 
         def shard(parts):
-            texts = [t for p in parts for t in p.column(carry).to_pylist()]
+            texts = [t for p in parts for t in p.column(1).to_pylist()]
             found = found_in(texts, phrases)
-            columns = [pa.concat_arrays([p.column(k) for p in parts]) for k in range(carry)]
+            kept = pa.concat_arrays([p.column(0) for p in parts])
             spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in found], _SPAN)
-            return pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _, _ in found], pa.int64()), spans, pa.array([i for _, _, i in found], pa.list_(pa.string()))], [*parts[0].schema.names[:carry], "n_words", "spans", "items"])
+            columns = [kept, pa.array([n for n, _, _ in found], pa.int64()), spans, pa.array([i for _, _, i in found], pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays(columns, [parts[0].schema.names[0], "n_words", "spans", "items"])
 
         parts, size = [], 0
         for batch in batches:
             parts.append(batch)
-            size += batch.column(carry).nbytes
+            size += batch.column(1).nbytes
             if size > 5 * SHARD_WORDS:
                 yield shard(parts)
                 parts, size = [], 0
@@ -273,33 +274,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, owner: str = "leaks", si
     An empty table gives an empty result, an empty benchmark no spans. A very long text is one shard; a word of any length is one symbol."""
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.drop("n_words", "spans", "items")
+    rows = docs.select(F.struct(*own_columns(docs.drop("n_words", "spans", "items"))).alias("own"), text_bytes(text).alias("text"))
     asked = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), text_bytes(item_text).alias("text"))
     pieces = saved(asked.mapInArrow(_pieces(size), "item string, words binary").distinct(), owner, "phrases")
     total = pieces.agg(F.sum(F.length("words") + F.length("item"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    row = free_name(docs, "row")
     if blocks > 1:
-        docs = saved(docs.withColumn(row, F.monotonically_increasing_id()), owner, "docs")
-    body = free_name(docs, "body")
-    shape = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+        rows = saved(rows.withColumn("row", F.monotonically_increasing_id()), owner, "docs")
+    kept = "row" if blocks > 1 else "own"
+    schema = StructType([rows.schema[kept], *StructType.fromDDL("n_words long, spans array<struct<start:long,end:long>>, items array<string>")])
     parts = []
     for b in range(blocks):  # the driver holds one block at a time
         here = pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b) if blocks > 1 else pieces
         held = spark.sparkContext.broadcast(Phrases([tuple(r) for r in here.collect()], size))
-        kept = docs.select(row) if blocks > 1 else docs
-        rows = docs.select(*own_columns(kept), text_bytes(text).alias(body))
-        schema = StructType([*kept.schema, *StructType.fromDDL(shape)])
-        found = rows.mapInArrow(_searcher(held, len(kept.columns)), schema)
+        found = rows.select(kept, "text").mapInArrow(_searcher(held), schema)
         if blocks == 1:
-            return found
+            return found.select("own.*", "n_words", "spans", "items")
         parts.append(saved(found, owner, f"block{b}"))
     every = parts[0]
     for other in parts[1:]:
         every = every.union(other)
-    merged = every.groupBy(row).agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    merged = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     joined = F.aggregate("spans", F.expr("cast(array() as array<struct<start:long,end:long>>)"), _join_span)
-    return docs.join(merged.withColumn("spans", joined), row).drop(row)
+    return rows.select("row", "own").join(merged.withColumn("spans", joined), "row").select("own.*", "n_words", "spans", "items")
 
 
 def _join_span(done, span):

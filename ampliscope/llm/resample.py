@@ -135,13 +135,13 @@ def gains(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.array([math.floor(1000 * math.log((t + 1) * float(raw_all + n) / ((s + 1) * float(target_all + n)))) for s, t in zip(raw.tolist(), target.tolist())], np.int64)
 
 
-def _weigher(gain: np.ndarray, longest: int, carry: int):
+def _weigher(gain: np.ndarray, longest: int):
     def weigh(batches):
         for batch in batches:
-            words, crc, doc = features(batch.column(carry).to_pylist(), longest)
+            words, crc, doc = features(batch.column(1).to_pylist(), longest)
             n = np.bincount(doc, minlength=len(words))
             total = np.bincount(doc, weights=gain[crc % np.uint32(len(gain))], minlength=len(words)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:carry], pa.array(words), pa.array(n, pa.int64()), pa.array(total // np.maximum(n, 1), pa.int64())], [*batch.schema.names[:carry], "n_words", "n_features", "weight"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(n, pa.int64()), pa.array(total // np.maximum(n, 1), pa.int64())], ["own", "n_words", "n_features", "weight"])
 
     return weigh
 
@@ -161,10 +161,10 @@ def resampled(docs: DataFrame, target: DataFrame, owner: str = "resample", key:
     result, an empty target weights against a flat one. Texts and words of any length are read whole."""
     prepare(docs.sparkSession)
     gain = gains(bucket_counts(docs, buckets, longest, text), bucket_counts(target, buckets, longest, target_text))
-    body = free_name(docs, "body")
     kept = docs.drop(text, "n_words", "n_features", "weight", "score", "rank")
-    schema = StructType([*kept.schema, *StructType.fromDDL("n_words long, n_features long, weight long")])
-    weighed = docs.select(*own_columns(kept), text_bytes(text).alias(body)).mapInArrow(_weigher(gain, longest, len(kept.columns)), schema)
+    packed = docs.select(F.struct(*own_columns(kept)).alias("own"), text_bytes(text).alias("text"))
+    schema = StructType([packed.schema["own"], *StructType.fromDDL("n_words long, n_features long, weight long")])
+    weighed = packed.mapInArrow(_weigher(gain, longest), schema).select("own.*", "n_words", "n_features", "weight")
     row = free_name(docs, "row")
     rows = saved(weighed.withColumns({"score": F.col("weight") + noise(F.col(key), seed), row: F.monotonically_increasing_id()}), owner, "scores")
     able = rows.where(F.col("n_words") >= least)

@@ -218,7 +218,7 @@ def test_annulus_leaves_centroids_out_and_keeps_ties():
     best, least, computed = clusters.nearest(rows, centroids)
     want = [min((sum((a - b) ** 2 for a, b in zip(r, c)), n) for n, c in enumerate(centroids)) for r in rows.tolist()]
     assert list(zip(least.astype(int).tolist(), best.tolist())) == want
-    assert computed < 0.5 * len(rows) * len(centroids)
+    assert computed < 0.65 * len(rows) * len(centroids)
 
 
 @pytest.mark.parametrize("name", ["op11_leaks", "op12_resample", "op13_clusters"])
