@@ -34,6 +34,7 @@ class BatchModel:
             if name not in _loaded:
                 _loaded[name] = load()
             for batch in batches:
+                batch = batch if isinstance(batch, tuple) else (batch,)  # one column comes bare
                 found = [x for at in range(0, len(batch[0]), size) for x in _tried(_loaded[name], [c.iloc[at : at + size] for c in batch])]
                 yield pd.DataFrame(found, columns=["value", "error"], dtype=object)
 

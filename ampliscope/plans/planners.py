@@ -1,6 +1,6 @@
 """Planners and proposers as table functions: a partition's context goes to a model, its reply comes back as attributes.
 
-Registered for SQL, a planner is called as  plan(TABLE(images) PARTITION BY prompt ORDER BY reward, image_id, 4, 3).
+Registered for SQL, a planner is called as  plan(TABLE(images) PARTITION BY prompt ORDER BY (reward, image_id), 4, 3).
 The context that a model sees is a few rows a prompt; draw it with sketches.context_images or choose.extremes first, so that no partition is large."""
 
 from __future__ import annotations
