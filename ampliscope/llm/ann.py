@@ -218,6 +218,7 @@ def neighbours(vectors: DataFrame, owner: str = "ann", k: int = 20, every: int =
     Queries: ids divisible by `every`; candidates: all rows with another id. Rows without an id or with an unusable vector take
     no part. Vectors of different lengths have no inner product: each length is an index of its own. A repeated row (same id
     and vector) counts once; an id with several vectors is answered by its best one. An empty table gives an empty result.
+    Ties in score go to the smaller id.
 
     Each distinct vector is one node of the index; it stands for its k + 1 smallest ids, more of which no result could hold, so
     a vector shared by many rows costs one node. Vectors are dealt by hash to shards of about SHARD_ROWS at most, and each

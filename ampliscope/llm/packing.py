@@ -143,12 +143,26 @@ def laid_out(queue, start, n, sizes, tokens, weights, window: int = WINDOW, unit
     return doc[i], (lo - start[doc])[i], hi[ends] - lo[i], at[i], offset[i]
 
 
-def packed(docs: DataFrame, path: str, owner: str = "packing", key: str = "doc_id", text: str = "text", source: str = "source", shares: dict[str, float] | None = None, max_queues: int = MAX_QUEUES) -> DataFrame:
+def targets(mass: dict, shares: dict[str, float] | None) -> dict:
+    """The target share of each queue: as given, and what is left for the others in proportion to their mass.
+
+    A share of a source that is not there, or has ended, falls to the others. Shares above 1 in all are refused."""
+    shares = shares or {}
+    if sum(shares.values()) > 1 + 1e-9 or any(x < 0 for x in shares.values()):
+        raise ValueError("shares must not be negative, nor above 1 in all")
+    total = sum(x for s, x in mass.items() if s not in shares) or 1.0
+    left = max(0.0, 1 - sum(shares.values()))
+    return {s: max(shares[s] if s in shares else left * x / total, 1e-12) for s, x in mass.items()}
+
+
+def packed(docs: DataFrame, path: str, owner: str = "packing", key: str = "doc_id", text: str = "text", source: str = "source", shares: dict[str, float] | None = None, power: float = 1.0, max_queues: int = MAX_QUEUES) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
-    A document is the ids of its text (null: empty) and END. shares: target proportions by source; without them, the
-    sources' own shares, so that all queues end together; a source without a share gets its own. Null sources count as ''. Sources
-    with a target and the largest others, max_queues - 1 in all unless more have targets, have queues of their own; the rest share one. Repeated rows are packed as they come."""
+    A document is the ids of its text (null: empty) and END. Windows hold the targets' proportions (see targets(): a source's mass is its tokens to the power; without shares and with
+    power 1 the sources' own shares, so that all queues end together) as long as sources last. Null sources count as ''. Sources with a share
+    and the largest others, max_queues - 1 in all unless more have shares, have queues of their own; the others' units are dealt into one
+    more queue by due times among themselves, so that they keep their proportions too. Repeated rows are packed as they come. An empty
+    table gives an empty result; a very long text is one row of ids, cut unit by unit."""
     spark = docs.sparkSession
     prepare(spark)
     raw = docs.select(F.col(key).alias("doc_id"), text_bytes(text).alias("text"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"))
@@ -169,35 +183,75 @@ def packed(docs: DataFrame, path: str, owner: str = "packing", key: str = "doc_i
     rows = saved(raw.mapInArrow(tokens_of, f"part int, doc_id {kind}, source string, start long, n long, ids binary"), owner, "tokens")
     sums = saved(rows.groupBy("part", "source").agg(F.sum("n").alias("n")), owner, "sums")
     by_source = sums.groupBy("source").agg(F.sum("n").alias("n"))
-    top = [(r["source"], r["n"]) for r in by_source.orderBy(F.desc(F.col("source").isin(list(shares or []))), F.desc("n"), "source").limit(max(max_queues - 1, len(shares or []))).collect()]
-    rest = (by_source.agg(F.sum("n")).first()[0] or 0) - sum(n for _, n in top)
-    tokens = np.array([n for _, n in top] + [rest], np.int64)
+    own = max(max_queues - 1, len(shares or []))
+    top = [(r["source"], r["n"]) for r in by_source.orderBy(F.desc(F.col("source").isin(list(shares or []))), F.desc("n"), "source").limit(own).collect()]
+    rest = by_source.join(F.broadcast(spark.createDataFrame([(s,) for s, _ in top], "source string")), "source", "left_anti")  # top: max_queues rows
+    left, mass = rest.agg(F.sum("n"), F.sum(F.pow("n", F.lit(power)))).first()
+    goal = targets({s: float(n) ** power for s, n in top} | {None: mass or 0.0}, shares)
+    tokens = np.array([n for _, n in top] + [left or 0], np.int64)
     sizes = -(-tokens // UNIT)
-    weights = np.maximum(sizes, 1).astype(float)
-    if shares:
-        total = weights.sum()
-        weights = np.array([max(shares.get(s, 0.0) * total, 1e-9) if s in shares else w for (s, _), w in zip([*top, (None, 0)], weights)])
+    weights = np.array([goal[s] for s, _ in top] + [goal[None]])
     queues = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(top)], "source string, queue int")
-    before = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.join(F.broadcast(queues), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(top))))
-    offsets = offsets.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("part", "source", "queue", "base")
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).join(F.broadcast(queues), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(top)))).select("part", "source", "queue", "base")
     if sums.count() <= 100_000:
         offsets = F.broadcast(offsets)
+    placed = rows.join(offsets, ["part", "source"]).withColumn("start", F.col("start") + F.col("base"))
+    whole = placed.where(F.col("queue") < len(top)).select("doc_id", "source", "queue", "start", "n", F.lit(0).cast("long").alias("at"), F.col("n").alias("doc_tokens"), "ids")
+    if left:
+        whole = whole.unionByName(_interleaved(placed.where(F.col("queue") == len(top)), len(top), rest, power, path, owner, kind))
     wide = np.dtype("<u4")
 
     def cut(batches):
         narrow = words(path).kind
         for batch in batches:
             col = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
-            queue, start, n, base = (col[f].to_numpy(zero_copy_only=False).astype(np.int64) for f in ("queue", "start", "n", "base"))
-            doc, lo, length, at, offset = laid_out(queue, start + base, n, sizes, tokens, weights)
+            queue, start, n, at, all_ = (col[f].to_numpy(zero_copy_only=False).astype(np.int64) for f in ("queue", "start", "n", "at", "doc_tokens"))
+            doc, lo, length, window, offset = laid_out(queue, start, n, sizes, tokens, weights)
             ids, crc, old, now = col["ids"], np.empty(len(doc), np.int64), -1, b""
             for i, (d, s, m) in enumerate(zip(doc.tolist(), lo.tolist(), length.tolist())):
                 if d != old:
                     old, now = d, np.frombuffer(ids[d].as_py(), narrow).astype(wide).tobytes()
                 crc[i] = zlib.crc32(now[4 * s : 4 * (s + m)])
             pick = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([col["doc_id"].take(pick), *map(pa.array, (lo, length, crc, n[doc], at, offset)), col["source"].take(pick)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
+            columns = [col["doc_id"].take(pick), *map(pa.array, (lo + at[doc], length, crc, all_[doc], window, offset)), col["source"].take(pick)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
+
+    return whole.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
 
-    joined = rows.join(offsets, ["part", "source"]).select("doc_id", "source", "queue", "start", "n", "base", "ids")
-    return joined.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+
+def _interleaved(placed: DataFrame, queue: int, sizes: DataFrame, power: float, path: str, owner: str, kind: str) -> DataFrame:
+    """The documents of sources that share a queue, cut into their sources' units, with their start in the queue: units by due time, then source.
+
+    Units are dealt by ranges of due times, so no task holds the queue; the starts of the ranges are sums of their tokens."""
+
+    def units(batches):
+        width = words(path).kind.itemsize
+        for batch in batches:
+            doc_id, source, start, n, tokens, ids = (batch.column(i).to_pylist() for i in range(6))
+            out = []
+            for d, s, a, m, t, raw in zip(doc_id, source, start, n, tokens, ids):
+                at = 0
+                while at < m:
+                    unit = (a + at) // UNIT
+                    end = min(m, (unit + 1) * UNIT - a)
+                    out.append((d, s, (unit + 0.5) / t**power, a + at, end - at, at, m, raw[at * width : end * width]))
+                    at = end
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), _unit_schema(batch))], schema=_unit_schema(batch))
+
+    def _unit_schema(batch):
+        return pa.schema([("doc_id", batch.column(0).type), ("source", pa.string()), ("due", pa.float64()), ("s", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+
+    named = placed.join(sizes.withColumnRenamed("n", "tokens"), "source").select("doc_id", "source", "start", "n", "tokens", "ids")
+    cut = named.mapInArrow(units, f"doc_id {kind}, source string, due double, s long, n long, at long, doc_tokens long, ids binary")
+    order = [F.col("due"), F.col("source"), F.col("s")]
+    parts = saved(cut.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), owner, "units")
+    begin, starts = 0, []
+    for r in sorted(parts.groupBy("part").agg(F.sum("n").alias("n")).collect()):  # a row a partition
+        starts.append((r["part"], begin))
+        begin += r["n"]
+    here = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    bases = F.broadcast(parts.sparkSession.createDataFrame(starts, "part int, base long"))  # a row a partition
+    rows = parts.withColumn("start", F.coalesce(F.sum("n").over(here), F.lit(0))).join(bases, "part").withColumn("start", F.col("start") + F.col("base"))
+    return rows.withColumn("queue", F.lit(queue)).select("doc_id", "source", "queue", "start", "n", "at", "doc_tokens", "ids")

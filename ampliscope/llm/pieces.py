@@ -242,7 +242,8 @@ def pieces(path: str) -> Pieces:
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (little-endian 32-bit ids), ids and round_trip (decoding gives the text back) of each row.
 
-    Null texts count as empty, which has no pieces. A U+2581 in a text decodes as a space; only then is round_trip false. Every row is answered."""
+    Null texts count as empty, which has no pieces. A U+2581 in a text decodes as a space; only then is round_trip false. Every row, repeated ones
+    too, is answered; an empty table gives an empty result. Very long words advance in chunks; texts of any length are read whole."""
     prepare(docs.sparkSession)
     raw = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = raw.schema["doc_id"].dataType.simpleString()

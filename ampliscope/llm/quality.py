@@ -16,6 +16,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 WINDOW = 5
 #: The prior on the rules' votes, see fit().
 PRIOR, GOOD, OWN = 0.1, 0.995, 0.05
+#: Rules that vote against together this often are a style of bad text; a slip of a rule on a good document is as rare.
+LEAST = 0.005
 _SPACES = b" \t\n\r\x0b\x0c"
 _UPPER, _LOWER, _SYMBOLS, _MARKS = bytes(range(65, 91)), bytes(range(97, 123)), b"#*$%&|<>", b"!|"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -101,25 +103,33 @@ def rules() -> dict[str, Column]:
     }
 
 
+def styles(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The styles of bad text: sets of rules that vote against together in LEAST of the rows at least, and how many rows do."""
+    sets, which = np.unique(patterns == 0, axis=0, return_inverse=True)
+    rows = np.bincount(which.ravel(), weights=counts, minlength=len(sets))
+    found = sets.any(1) & (rows >= LEAST * counts.sum())
+    return sets[found], rows[found]
+
+
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
     """EM over vote patterns (rows of -1/0/1) with their counts.
 
-    Classes: good documents, and for each rule the documents of the style that it is made for. Returns the shares of the
-    classes and P(a vote cast is for | class) for each rule: for the good class that is the rule's accuracy on good documents, for
-    a rule's own style one less its accuracy there. Both are estimated; a Beta prior says which class is which: as many votes
-    as PRIOR of all rows, GOOD of them for in the good class and OWN of them in the rule's style. Elsewhere two votes, one of each
-    kind. Abstentions carry no evidence. Start: a document belongs to the styles whose rules vote against it."""
-    rules_ = patterns.shape[1]
-    good, bad = patterns == 1, patterns == 0
-    against = bad.sum(1)
-    post = np.column_stack([np.where(against == 0, 1.0, 0.02), bad / np.maximum(against, 1)[:, None]])
-    style = np.vstack([np.zeros((1, rules_), bool), np.eye(rules_, dtype=bool)])
-    mean, weight = np.where(style, OWN, 0.5), np.where(style, PRIOR * counts.sum(), 2.0)
-    mean[0], weight[0] = GOOD, PRIOR * counts.sum()
+    Classes: good documents, and the styles of bad ones (see styles(); at most 1 / LEAST). A style has the whole set of rules that it fails, so
+    rules that fail together do not stand in for one another, and a rule that fails alone has a style too. Returns the shares of the
+    classes and P(a vote cast is for | class) for each rule: for the good class that is the rule's accuracy on good documents, for a style one less
+    its accuracy on that style. All are estimated, under a Beta prior worth PRIOR of a class's rows (and two votes): GOOD of the
+    votes are for, OWN of those of a style's own rules. Abstentions carry no evidence. Failures together that are rarer than LEAST are left to the
+    classes to explain: as a style with a slip, or as a good document with one."""
+    own, rows = styles(patterns, counts)
+    style = np.vstack([np.zeros((1, patterns.shape[1]), bool), own])
+    size = np.concatenate([[counts.sum()], rows])
+    mean, weight = np.where(style, OWN, GOOD), PRIOR * size[:, None] + 2
+    shares, chance = size / size.sum(), mean
+    post = _classes(patterns, shares, chance)
     for _ in range(rounds):
-        w = post / post.sum(1, keepdims=True) * counts[:, None]
-        shares = (w.sum(0) + 1e-3) / (w.sum() + 1e-3 * (rules_ + 1))
-        chance = np.clip((w.T @ good + mean * weight) / (w.T @ (good | bad) + weight), 1e-6, 1 - 1e-6)
+        w = post * counts[:, None]
+        shares = (w.sum(0) + 1e-3) / (w.sum() + 1e-3 * len(size))
+        chance = np.clip((w.T @ (patterns == 1) + mean * weight) / (w.T @ (patterns >= 0) + weight), 1e-6, 1 - 1e-6)
         new = _classes(patterns, shares, chance)
         done = np.abs(new - post).max(initial=0) < 1e-9
         post = new

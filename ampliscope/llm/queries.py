@@ -14,7 +14,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), TOKENIZER, owner="op1")
+    return packing.packed(table(spark, sf_dir, "documents"), TOKENIZER, owner="op1", power=0.7)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,7 +151,8 @@ def judged(pages: DataFrame, key: str = "page_id", url: str = "url", rules=RULES
     `sample` distinct labelled URLs at most, those under a bound of the hash that follows from their number. The rates that a
     fitted URL is shown leave out its own rows, and its suffix's those of its domain, so that no label can be read off them.
     Null URLs and those without "://" have empty host and path and
-    go to the model, like any other. Without labelled URLs, or with labels of one kind only, that kind (or allow) is the verdict."""
+    go to the model, like any other. Without labelled URLs, or with labels of one kind only, that kind (or allow) is the verdict.
+    Repeated rows are each judged, alike; an empty table gives an empty result."""
     spark = pages.sparkSession
     prepare(spark)
     host, path = host_and_path(F.col("url"))

@@ -220,7 +220,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, owner: str = "warc") -> DataFrame:
-    """Archives written to the shared folder and read back."""
+    """Archives written to the shared folder and read back: a row for every row of pages.
+
+    Null html is an empty payload. Rows with equal payloads are told apart by their ids; a row that is there twice is two records,
+    both responses if its id is the largest. A null id is read back as null. An empty table gives an empty result."""
     path = f"{shared_dir(pages.sparkSession)}/ampliscope/{owner}-{uuid.uuid4().hex}"
     write_archives(pages, path)
     adopt(owner, path)
