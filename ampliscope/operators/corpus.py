@@ -144,6 +144,18 @@ def kmeans_medoids(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "
     return near.groupBy("prediction").agg(F.min_by(key, F.struct("d", key)).alias(key)).select(key)
 
 
+def kmeans_labels(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:
+    """key, cluster: of k-means, numbered by size, the largest first; ties by least key. No more clusters than rows."""
+    x = rows.select(key, array_to_vector(F.transform(vector, lambda v: v.cast("double"))).alias("features")).persist()
+    try:
+        found = frozen(KMeans(k=max(2, min(k, x.count())), seed=seed).fit(x).transform(x).select(key, "prediction"))
+    finally:
+        x.unpersist()
+    sizes = found.groupBy("prediction").agg(F.count("*").alias("n"), F.min(key).alias("first"))
+    order = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1)  # a row a cluster
+    return found.join(F.broadcast(order.select("prediction", "cluster")), "prediction").select(key, "cluster")
+
+
 def silhouettes(rows: DataFrame, cluster: str = "label", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """silhouette: the mean Euclidean silhouette over rows whose vectors are whole; 0 for a row alone in its cluster.
 

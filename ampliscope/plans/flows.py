@@ -103,7 +103,7 @@ WORK = "w as (select event_id image_id, unnest(['red', 'blue']) attr from events
 def _asked(spark, d):
     images = table(spark, d, "events").select(F.col("event_id").alias("image_id"))
     attrs = spark.createDataFrame([("red",), ("blue",)], "attr string")
-    work = images.crossJoin(F.broadcast(attrs))  # two attributes
+    work = images.withColumn("attr", F.explode(F.array(F.lit("red"), F.lit("blue"))))
     return images, attrs, work.where("image_id % 4 = 1 and (attr = 'red' or image_id % 8 = 1)")
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import corpus, responses, selections, trends
-from ..sources.banks import table
-from .catalog import QUERIES, SQL, query
+from ..operators import corpus, pairs, regress, responses, selections, trends
+from ..sources.banks import E_ATTRS, events_bank, table
+from .catalog import PAIRS_SQL, QUERIES, SQL, U_SQL, UNIT_SQL, query
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -26,9 +26,25 @@ def parts(spark, d):
 PARTS = "select p_type attr, min(p_partkey) pos from part group by 1"
 
 
-@query(f"with s as ({STEPS}) select topic_id, avg(abs(score - 50)) mean_abs, max(abs(score - 50)) max_abs, count(*) n from s group by 1".replace("avg(", "round(avg(").replace("50)) mean", "50)), 6) mean").replace("max(abs(score - 50))", "round(max(abs(score - 50)), 6)"))
+#: Residuals of a fit of one label in every prompt.
+RESIDUALS = f"""{U_SQL}, c as (select topic_id, prompt, image_id, g0 - avg(g0) over (partition by prompt) g, u - avg(u) over (partition by prompt) u from u),
+k as (select prompt, case when avg(u * u) >= 1e-10 then coalesce(sum(g * u) / nullif(sum(g * g), 0), 0) else 0 end w from c group by 1 having count(*) >= 2),
+r as (select topic_id, c.prompt, image_id, u - w * g e from c join k using (prompt))"""
+
+
+def one_label(spark, d):
+    """Images with u and the first label only."""
+    return regress.with_u(events_bank(spark, d).images.withColumn("g", F.slice("g", 1, 1)))
+
+
+def fit_residuals(spark, d):
+    images = one_label(spark, d)
+    return regress.residuals(images, regress.per_prompt(images, 1)).withColumn("topic_id", (F.col("prompt") % 10).cast("int"))
+
+
+@query(f"with {RESIDUALS} select topic_id, round(avg(abs(e)), 6) mean_abs, round(max(abs(e)), 6) max_abs, count(*) n from r group by 1")
 def residual_summary(spark, d):
-    return trends.residual_summary(steps(spark, d).select("topic_id", (F.col("score") - 50).alias("e")))
+    return trends.residual_summary(fit_residuals(spark, d))
 
 
 @query(f"with s as ({STEPS}) select attr, round(avg(score), 6) w_mean, count(*) n_prompts from s group by 1")
@@ -52,27 +68,27 @@ def decision_histogram(spark, d):
     return trends.histogram(e.withColumn("event_type", F.when(F.col("event_type") != "error", F.col("event_type"))), "event_type")
 
 
-@query(f"""with s as ({STEPS}), r as (select topic_id, prompt, max(score) - min(score) spread from s group by 1, 2)
-select topic_id, prompt, round(spread, 6) spread from r qualify row_number() over (partition by topic_id order by spread desc, prompt) <= 5""")
+@query(f"""with {RESIDUALS}, s as (select topic_id, prompt, round(max(e) - min(e), 6) spread from r group by 1, 2)
+select topic_id, prompt, spread from s qualify row_number() over (partition by topic_id order by spread desc, prompt) <= 5""")
 def widest_residuals(spark, d):
-    return trends.widest_residuals(steps(spark, d).withColumnRenamed("score", "e"))
-
-
-FITS = "select step_idx, prompt, count(*) filter (kept) / count(*) r2, count(*) n_images from s group by 1, 2"
-
-
-def fits(spark, d):
-    return steps(spark, d).groupBy("step_idx", "prompt").agg((F.count_if("kept") / F.count("*")).alias("r2"), F.count("*").alias("n_images"))
+    return trends.widest_residuals(fit_residuals(spark, d).withColumn("e", F.round("e", 9)))
 
 
-@query(f"with s as ({STEPS}), f as ({FITS}) select step_idx, round(avg(r2), 6) var_explained, count(*) n_prompts, sum(n_images)::bigint n_images from f group by 1")
+@query(f"""with {U_SQL}, s as (select image_id % 4 step_idx, prompt, g0, cume_dist() over (partition by image_id % 4, prompt order by reward) u from u),
+f as (select step_idx, prompt, case when var_pop(u) >= 1e-10 and var_pop(g0) > 0 then pow(covar_pop(g0, u), 2) / (var_pop(u) * var_pop(g0)) else 0 end r2, count(*) n_images from s group by 1, 2 having count(*) >= 2)
+select step_idx::int step_idx, round(avg(r2), 6) var_explained, count(*) n_prompts, sum(n_images)::bigint n_images from f group by 1""")
 def explained_by_step(spark, d):
-    return trends.explained_by_step(fits(spark, d))
+    images = events_bank(spark, d).images.withColumn("g", F.slice("g", 1, 1))
+    fits = None
+    for step in range(4):
+        own = regress.per_prompt(regress.with_u(images.where(F.col("image_id") % 4 == step)), 1).select(F.lit(step).alias("step_idx"), "prompt", "r2", F.col("m").alias("n_images"))
+        fits = own if fits is None else fits.unionByName(own)
+    return trends.explained_by_step(fits)
 
 
-@query(f"with s as ({STEPS}) select attr, min(pos % 7) h_min, round(avg(pos % 7), 6) h_mean, max(pos % 7) h_max from s group by 1")
+@query(f"with {PAIRS_SQL}, b as (select attr, prompt, min(h) h from pairs group by 1, 2) select attr, min(h)::int h_min, round(avg(h), 6) h_mean, max(h)::int h_max from b group by 1")
 def hamming_summary(spark, d):
-    return trends.hamming_summary(steps(spark, d).withColumn("h", F.col("pos") % 7))
+    return trends.hamming_summary(pairs.closest(events_bank(spark, d).images, E_ATTRS, 1))
 
 
 @query("""with p as (select distinct (user_id % 10)::int topic_id, user_id prompt from events where user_id % 10 < 8), t as (select distinct (user_id % 10)::int topic_id from events),
@@ -285,6 +301,9 @@ def gpu_index(spark, d):
     return n.select("n_nationkey", responses.gpu_index(F.concat(F.when(F.col("n_nationkey") % 2 == 0, "cuda:").otherwise("cpu"), "n_nationkey")).alias("gpu"))
 
 
-@query()
+@query(f"""with recursive {UNIT_SQL}, e as materialized (select a.vec_id x, b.vec_id y from v a, v b where a.vec_id <> b.vec_id and list_dot_product(a.u, b.u) >= 0.4),
+reach as (select vec_id, vec_id seen from v union select vec_id, y from reach join e on seen = x), c as (select vec_id, min(seen) component from reach group by 1),
+m as (select vec_id, u, component from v join c using (vec_id)), d as (select a.component, a.vec_id, round(sum(1 - list_dot_product(a.u, b.u)), 9) far, count(*) size from m a join m b on a.component = b.component group by 1, 2)
+select component, arg_min(vec_id, (far, vec_id)) medoid, max(size) size from d group by 1 order by 1 limit 20""")
 def component_medoids(spark, d):
     return corpus.component_medoids(table(spark, d, "embeddings"), 0.4, 20)

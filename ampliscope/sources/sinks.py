@@ -1,19 +1,71 @@
-"""Writers. Each writes a folder through Spark's committer, so a reader sees all of it or nothing."""
+"""Writers. Each writes a new folder through Spark's committer and puts it in place by renaming: a job that fails leaves the old folder as it was.
+
+Between the two renames there is a moment without the folder; tables that are read meanwhile are versions.KeyedTable."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def replaced(df: DataFrame, path: str, write: Callable[[str], None]) -> None:
+    """What write(folder) writes, at path, in place of what was there."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new, old, here = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}", path))
+    fs = here.getFileSystem(conf)
+    try:
+        write(new.toString())
+        if fs.exists(here) and not fs.rename(here, old) or not fs.rename(new, here):
+            raise OSError(f"{path} could not be put in place")
+    finally:
+        for gone in (new, old) if fs.exists(here) else (new,):
+            fs.delete(gone, True)
+
+
 def json_rows(df: DataFrame, path: str, *by: str) -> None:
     """JSON lines, partitioned by columns if given. Null fields are left out."""
-    w = df.write.mode("overwrite")
-    (w.partitionBy(*by) if by else w).json(path)
+    w = df.write
+    replaced(df, path, (w.partitionBy(*by) if by else w).json)
 
 
 def csv_rows(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:
-    df.write.mode("overwrite").csv(path, header=header, sep=sep)
+    replaced(df, path, lambda folder: df.write.csv(folder, header=header, sep=sep))
+
+
+def json_documents(df: DataFrame, path: str) -> None:
+    """A JSON file for each row, as the readers of run artifacts take them."""
+    replaced(df, path, df.write.option("maxRecordsPerFile", 1).json)
+
+
+def weight_documents(weights: DataFrame, r2: DataFrame) -> DataFrame:
+    """A row for each topic and step: attrs in order, per_prompt_W and per_prompt_r2. weights: topic_id, step_idx, prompt, k, attr, w; r2: topic_id, step_idx, prompt, r2."""
+    key = ["topic_id", "step_idx"]
+    attrs = weights.groupBy(*key).agg(F.transform(F.array_sort(F.collect_set(F.struct("k", "attr"))), lambda z: z["attr"]).alias("attrs"))
+    per = weights.groupBy(*key, "prompt").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "w"))), lambda z: z["w"]).alias("w"))
+    maps = per.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("prompt").cast("string"), "w")))).alias("per_prompt_W"))
+    fits = r2.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("prompt").cast("string"), "r2")))).alias("per_prompt_r2"))
+    return attrs.join(maps, key).join(fits, key, "left")
+
+
+def history_documents(r2: DataFrame) -> DataFrame:
+    """A row for each topic: the list of its steps, each a map from `step` and the prompts to numbers. r2: topic_id, step_idx, prompt, r2."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col("prompt").cast("string"), F.col("r2").cast("double"))))
+    step = F.create_map(F.lit("step"), F.col("step_idx").cast("double"))
+    steps = r2.groupBy("topic_id", "step_idx").agg(F.map_from_entries(entries).alias("m")).withColumn("m", F.map_concat(step, "m"))
+    ordered = F.array_sort(F.collect_list(F.struct("step_idx", F.map_entries("m").alias("m"))))
+    return steps.groupBy("topic_id").agg(F.transform(ordered, lambda z: F.map_from_entries(z["m"])).alias("history"))
+
+
+def final_table(results: DataFrame) -> DataFrame:
+    """The table of a run's attributes, scores rounded to four digits, the most amplified first (place)."""
+    four = {c: F.round(c, 4) for c in ("delta_rm", "delta_j", "amplification_score")}
+    w = Window.orderBy(F.desc("amplification_score"), "topic_id", "attribute")  # a run's attributes: some hundreds
+    rows = results.select("attribute", "delta_rm", "delta_j", "amplification_score", "step_found", "step_last_survived", "topic_id")
+    return rows.withColumn("place", F.row_number().over(w)).withColumns(four)
 
 
 def appended(df: DataFrame, path: str, *by: str) -> None:

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from ampliscope.operators import pools
@@ -67,6 +69,28 @@ def test_sinks(spark, tmp_path):
     assert sinks.pairs_document(pair).first()["by_prompt"]["p"][0]["reward_delta"] == 1.0
 
 
+def test_artifacts_are_read_back(spark, tmp_path):
+    rows = [(t, s, p, k, f"a{k}", t + s / 4 + k) for t in (1, 2) for s in (0, 1) for p in ("x", "y") for k in range(s + 1)]
+    w = spark.createDataFrame(rows, "topic_id int, step_idx int, prompt string, k int, attr string, w double")
+    r2 = w.where("k = 0").select("topic_id", "step_idx", "prompt", (F.col("w") / 10).alias("r2"))
+    sinks.json_documents(sinks.weight_documents(w, r2), f"{tmp_path}/w")
+    assert sorted(tuple(r) for r in formats.weights(spark, f"{tmp_path}/w").collect()) == sorted(rows)
+    sinks.json_documents(sinks.history_documents(r2), f"{tmp_path}/h")
+    assert {tuple(r) for r in formats.r2_history(spark, f"{tmp_path}/h").collect()} == {tuple(r) for r in r2.collect()}
+    top = spark.createDataFrame([("b", 0.123456, None, 1.0, 0, 2, 7), ("a", 0.5, 0.1, 2.00005, 1, 2, 7)], "attribute string, delta_rm double, delta_j double, amplification_score double, step_found int, step_last_survived int, topic_id int")
+    assert [(r["attribute"], r["delta_rm"], r["place"]) for r in sinks.final_table(top).orderBy("place").collect()] == [("a", 0.5, 1), ("b", 0.1235, 2)]
+
+
+def test_a_writer_that_fails_leaves_the_old_rows(spark, tmp_path):
+    df = spark.createDataFrame([(1,)], "x int")
+    sinks.json_rows(df, f"{tmp_path}/j")
+    with pytest.raises(Exception, match="lost"):
+        sinks.json_rows(df.select(F.raise_error(F.lit("lost")).alias("x")), f"{tmp_path}/j")
+    assert spark.read.json(f"{tmp_path}/j").count() == 1 and [p.name for p in tmp_path.iterdir()] == ["j"]
+    sinks.json_rows(df.union(df), f"{tmp_path}/j")
+    assert spark.read.json(f"{tmp_path}/j").count() == 2 and [p.name for p in tmp_path.iterdir()] == ["j"]
+
+
 def test_stream_detects_only_what_is_new(spark, tmp_path):
     src, out = tmp_path / "src", f"file://{tmp_path}/out"
     attrs = spark.createDataFrame([("a",), ("b",)], "attr string")
