@@ -1,8 +1,9 @@
 """WARC archives in Zstandard: written through Spark, read back frame by frame.
 
 An archive begins with a skippable frame that holds its dictionary; then comes one frame for each record. Spark's text
-writer puts the frames out; its line separator is an empty skippable frame, which Zstandard allows between frames, so
-the files are valid archives and are written to any store that Spark can write."""
+writer puts the frames out, ROW_BYTES a line; its line separator is an empty skippable frame, which Zstandard allows between frames, so
+the files are valid archives and are written to any store that Spark can write. Each line begins with the dictionary, so that a task's
+archive can be rolled after ARCHIVE_LINES lines: no archive grows with its partition."""
 
 from __future__ import annotations
 
@@ -21,6 +22,7 @@ from .common import adopt, prepare, shared_dir
 FRAME, DICTIONARY, SKIPPABLE = 0xFD2FB528, 0x184D2A5D, range(0x184D2A50, 0x184D2A60)
 SEPARATOR = struct.pack("<II", SKIPPABLE[0], 0)
 SAMPLE_BYTES, DICTIONARY_BYTES = 1 << 20, 1 << 14
+ROW_BYTES, ARCHIVE_LINES = 16 << 20, 8
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAME = "urn:ampliscope:page:"
 
@@ -163,25 +165,34 @@ def read(data) -> list:
             raise BadArchive("neither a frame nor a dictionary")
 
 
-def _write(batches):
-    def records():
-        for batch in batches:
-            for page_id, url, payload, last, revisit in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                yield record(page_id, url, payload, last, revisit)
+def _line(held: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["frame"])
 
-    held, size = [], 0
-    for frame in frames(records()):
-        held.append(frame)
-        size += len(frame)
-        if size > 4 << 20:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
 
+def _writer(row_bytes: int):
+    def write(batches):
+        def records():
+            for batch in batches:
+                for page_id, url, payload, last, revisit in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                    yield record(page_id, url, payload, last, revisit)
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html") -> None:
-    """Write a record for each row of pages to archives in the folder path, one archive for each partition.
+        found = frames(records())
+        head = next(found, b"")
+        held, size = [head], len(head)
+        for frame in found:
+            held.append(frame)
+            size += len(frame)
+            if size - len(head) >= row_bytes:
+                yield _line(held)
+                held, size = [head], len(head)
+        if len(held) > 1:
+            yield _line(held)
+
+    return write
+
+
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", row_bytes: int = ROW_BYTES) -> None:
+    """Write a record for each row of pages to archives in the folder path, of about ARCHIVE_LINES x row_bytes each.
 
     The payload is html in UTF-8 (null: empty). Of rows with equal payloads those with the largest id become responses, the
     others revisits of it; a null id is never the largest. Only (digest, id) pairs are gathered, summed up before the
@@ -192,8 +203,8 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     groups = rows.groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("last")).where("n > 1").select("digest", "last")
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     joined = rows.join(groups, "digest", "left").select("page_id", "url", "payload", "last", revisit.alias("revisit"))
-    out = joined.mapInArrow(_write, "frame binary").select(F.col("frame").cast("string").alias("value"))
-    out.write.option("lineSep", SEPARATOR.decode("latin-1")).text(path)
+    out = joined.mapInArrow(_writer(row_bytes), "frame binary").select(F.col("frame").cast("string").alias("value"))
+    out.write.options(lineSep=SEPARATOR.decode("latin-1"), maxRecordsPerFile=ARCHIVE_LINES).text(path)
 
 
 def _read(batches):

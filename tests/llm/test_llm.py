@@ -433,6 +433,18 @@ def test_warc(spark, sf_dir, duck):
     same(queries.op6_warc(spark, sf_dir), duck, queries.SQL["op6_warc"])
 
 
+def test_archives_are_rolled(spark, tmp_path):
+    """Many small archives from one partition, each with its dictionary in front; one record is above a mebibyte."""
+    data = [(i, f"https://h/{i}", f"page {i} " * 40 + "".join(map(str, np.random.default_rng(i).integers(0, 10, 1_300_000 if i == 7 else 3000)))) for i in range(60)]
+    warc.write_archives(spark.createDataFrame(data, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/a", row_bytes=2000)
+    files = sorted((tmp_path / "a").glob("part-*"))
+    assert len(files) > 3 and all(f.read_bytes()[:4] == b"\x5d\x2a\x4d\x18" for f in files)
+    alone = [r["page_id"] for f in files for r in warc.read(f.read_bytes())]
+    assert sorted(alone) == list(range(60))
+    got = {r["page_id"]: bytes(r["payload"]) for r in warc.read_archives(spark, f"file://{tmp_path}/a").collect()}
+    assert got == {i: h.encode() for i, _, h in data}
+
+
 def test_warc_odd_rows(spark):
     page = "page_id long, url string, html string"
     data = [(1, "http://a/%0A\n\r", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "\u00e9", "x\r\n\r\ny\u00e9"), (None, "u", "same"), (6, "u", "z" * 300_000)]
