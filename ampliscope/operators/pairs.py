@@ -199,6 +199,14 @@ def summary(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("attr").agg(F.count("*").alias("n_pairs"), F.countDistinct("prompt").alias("n_prompts"), F.avg("h").alias("mean_h"), F.avg(gap).alias("mean_gap"))
 
 
+def natural_summary(pairs: DataFrame, intervals: DataFrame, attrs: tuple[str, ...]) -> DataFrame:
+    """attr, n_pairs, n_prompts, mean_h, mean_gap, mean_weight, min_ci_low of natural(); an attribute without pairs has a row of 0 and nulls."""
+    named = pairs.sparkSession.createDataFrame([(a,) for a in attrs], "attr string")
+    rows = pairs.join(intervals.select("prompt", "attr", "ci_low"), ["prompt", "attr"], "left")
+    per = rows.groupBy("attr").agg(F.count("*").alias("n_pairs"), F.countDistinct("prompt").alias("n_prompts"), F.avg("h").alias("mean_h"), F.avg("gap").alias("mean_gap"), F.avg("weight").alias("mean_weight"), F.min("ci_low").alias("min_ci_low"))
+    return named.join(per, "attr", "left").fillna(0, ["n_pairs", "n_prompts"])
+
+
 def totals(images: DataFrame, attrs: tuple[str, ...], targets: tuple[str, ...] | None = None) -> DataFrame:
     """The summary of all pairs of `crossed`, from pairs of patterns."""
     n, rated = F.col("pos_n") * F.col("neg_n"), F.col("pos_rated") * F.col("neg_rated")

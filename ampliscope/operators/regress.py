@@ -24,6 +24,22 @@ def fully_labelled(rows: DataFrame, attrs: tuple[str, ...]) -> DataFrame:
     return wide.where(F.size("z") == len(attrs)).select("topic_id", "prompt", "image_id", "reward", F.array(*(F.col("z")[a] for a in attrs)).alias("g"))
 
 
+def whole_prompts(images: DataFrame, rows: DataFrame, attrs: tuple[str, ...]) -> DataFrame:
+    """Images with g of prompts whose every image has every label of attrs; one gap leaves the whole prompt out.
+
+    images: topic_id, prompt, image_id, reward; rows: the long bank of them."""
+    full = fully_labelled(rows, attrs)
+    gaps = images.join(full.select("prompt", "image_id"), ["prompt", "image_id"], "left_anti").select("prompt").distinct()
+    return full.join(gaps, "prompt", "left_anti")
+
+
+def centred_u(images: DataFrame, n: int = 2) -> DataFrame:
+    """prompt, image_id, e: what an empty pool leaves of u, its difference from the prompt's mean. Scores alone count, no label is asked for; prompts with one image are left out."""
+    w = Window.partitionBy("prompt")
+    rows = with_u(images, n).withColumn("_m", F.count(F.lit(1)).over(w)).where("_m >= 2")
+    return rows.select("prompt", "image_id", (F.col("u") - F.avg("u").over(w)).alias("e"))
+
+
 def grams(images: DataFrame, k: int) -> DataFrame:
     """prompt, m and the sums that a fit needs, as arrays: sums of g, of g u, of g g (upper triangle by rows), and of u, u u.
 

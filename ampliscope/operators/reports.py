@@ -16,6 +16,25 @@ def survey_total(rows: DataFrame, editable: float = 0.5) -> DataFrame:
     return rows.agg(F.count("*").alias("n_attrs"), F.sum("n_attempts").alias("n_attempts"), F.count_if(F.col("success_rate") >= editable).alias("n_editable"), (F.sum(F.col("mean_drop") * F.col("n_rewards")) / F.sum("n_rewards")).alias("weighted_drop"))
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """A survey with place: by success rate, the most attempts and then the name breaking ties. A row an attribute."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.desc("success_rate"), F.desc("n_attempts"), "attr")))
+
+
+def markdown(rows: DataFrame, *columns: str, digits: int = 4, most: int = 1000) -> str:
+    """A report of at most `most` rows as a table in Markdown, in the rows' order."""
+    columns = columns or tuple(rows.columns)
+
+    def cell(x) -> str:
+        return "" if x is None else f"{x:.{digits}f}" if isinstance(x, float) else str(x).replace("|", "\\|").replace("\n", " ")
+
+    found = rows.select(*columns).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    lines = [columns, ["---"] * len(columns), *([cell(x) for x in r] for r in found)]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines) + "\n"
+
+
 def samples(edits: DataFrame, n: int = 4) -> DataFrame:
     """attr, images: the ids of its first n successful edits."""
     w = Window.partitionBy("attr").orderBy("image_id")

@@ -21,6 +21,11 @@ def selected(attrs: DataFrame, wanted: list[str | int]) -> DataFrame:
     return first.select("pos", "attr", (F.row_number().over(Window.orderBy("wish", "pos")) - 1).alias("place"))
 
 
+def first_attrs(rows: DataFrame, n: int, pos: str = "k") -> DataFrame:
+    """The rows of the first n attributes by place."""
+    return rows.where(F.col(pos) < n)
+
+
 def containing(attrs: DataFrame, part: str, most: int | None = None) -> DataFrame:
     """pos, attr of the attributes with a part in their text, the first `most` by place."""
     rows = attrs.where(F.contains(F.lower("attr"), F.lit(part.lower())))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .corpus import tukey
+
 
 def residual_summary(residuals: DataFrame) -> DataFrame:
     """topic_id, mean_abs, max_abs, n. residuals: topic_id, e."""
@@ -27,6 +29,17 @@ def admitted_summary(scores: DataFrame) -> DataFrame:
     return scores.groupBy("step_idx").agg(F.avg(own).alias("mean"), F.max(own).alias("max"), F.min(own).alias("min"))
 
 
+def delta_means(pairs: DataFrame, by: list[str], outliers: bool = True) -> DataFrame:
+    """by.., delta_rm, delta_j, undesirable: mean deltas (null where none is known), rewards without their outliers on request.
+
+    pairs: by.., delta_rm, delta_j. An attribute is undesirable if its reward goes up and its judge's score does not."""
+    rm = pairs.where("delta_rm is not null").withColumn("_by", F.struct(*by))
+    kept = rm if outliers else tukey(rm, "_by", "delta_rm")
+    judged = pairs.groupBy(*by).agg(F.avg("delta_j").alias("delta_j"))
+    rows = judged.join(kept.groupBy(*by).agg(F.avg("delta_rm").alias("delta_rm")), by, "left")
+    return rows.select(*by, "delta_rm", "delta_j", F.coalesce((F.col("delta_rm") > 0) & (F.col("delta_j") <= 0), F.lit(False)).alias("undesirable"))
+
+
 def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(F.coalesce(F.col(column), F.lit("none")).alias("decision")).agg(F.count("*").alias("n"))
 

@@ -19,7 +19,7 @@ PAIRS = "by_attr MAP<STRING, MAP<STRING, ARRAY<STRUCT<pos_image_id STRING, neg_i
 META = "MAP<STRING, STRUCT<prompt STRING, category STRING>>"
 
 
-def documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def documents(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """A row per JSON file, with its path."""
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("path", F.col("_metadata.file_path"))
 

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import slug
+
 
 def replaced(df: DataFrame, path: str, write: Callable[[str], None]) -> None:
     """What write(folder) writes, at path, in place of what was there."""
@@ -68,6 +70,12 @@ def final_table(results: DataFrame) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).withColumns(four)
 
 
+def attr_index(attrs: DataFrame, path: str) -> None:
+    """A file of `slug<tab>attribute` lines in order of the slugs. attrs: attr."""
+    rows = attrs.select(slug("attr").alias("slug"), "attr").distinct().orderBy("slug", "attr")
+    csv_rows(rows.coalesce(1), path, "\t", header=False)  # a pool of attributes
+
+
 def appended(df: DataFrame, path: str, *by: str) -> None:
     """Metrics, call logs and edit logs: new files beside the old."""
     w = df.write.mode("append")

@@ -11,18 +11,30 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.pools import misses
 
 
+#: Folders that labels are dealt into by image; a micro-batch reads those of its own images.
+BUCKETS = 64
+
+
 def detect_stream(images: DataFrame, attrs: DataFrame, detect: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """Label a stream of images (image_id, ...) and append (image_id, attr, g) to the table at path.
 
-    Each micro-batch is one idempotent folder of its batch number, so a batch that runs again replaces itself."""
+    The attributes are listed once, when the stream starts. Each micro-batch is one idempotent folder of its batch number, so a batch
+    that runs again replaces itself; what is known already is looked up in the buckets that the batch's images fall into."""
     spark = images.sparkSession
     known_schema = "image_id string, attr string, g int"
+    listed = spark.createDataFrame([(r["attr"],) for r in attrs.select("attr").distinct().collect()], "attr string")  # a pool
+    bucket = F.pmod(F.xxhash64("image_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
     def batch(rows: DataFrame, number: int) -> None:
         own = rows.select(F.col("image_id").cast("string").alias("image_id"), *[c for c in rows.columns if c != "image_id"]).dropDuplicates(["image_id"])
-        known = spark.read.schema(known_schema + ", batch long").parquet(path).where(F.col("batch") != number) if number else spark.createDataFrame([], known_schema)
-        todo = misses(own, attrs, known).join(own, "image_id")
-        detect(todo).select("image_id", "attr", F.col("g").cast("int").alias("g")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number:
+            touched = [r["bucket"] for r in own.select(bucket).distinct().collect()]
+            known = spark.read.schema(known_schema + ", batch long, bucket int").parquet(path).where((F.col("batch") != number) & F.col("bucket").isin(touched))
+        else:
+            known = spark.createDataFrame([], known_schema)
+        todo = misses(own, listed, known).join(own, "image_id")
+        found = detect(todo).select("image_id", "attr", F.col("g").cast("int").alias("g"))
+        found.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
 
     return images.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
