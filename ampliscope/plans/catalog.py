@@ -331,13 +331,26 @@ def pair_summary(spark, d):
     return pairs.totals(events_bank(spark, d).images, E_ATTRS)
 
 
-@query()
+@query(f"""with recursive {E_WIDE}, r as (select prompt, list({{'i': image_id, 'v': reward}} order by reward, image_id) all_ from e where g0 = 0 and reward is not null group by 1),
+l as (select prompt, image_id, reward, row_number() over (partition by prompt order by reward, image_id) k from e where g0 = 1 and reward is not null),
+m as (select prompt, 0::bigint k, []::bigint[] used, null::bigint pos_id, null::bigint neg_id from r
+  union all select prompt, k, list_append(used, x), pos_id, x from (select m.prompt, l.k, used, l.image_id pos_id,
+    list_sort(list_transform(list_filter(all_, lambda z: not list_contains(used, z.i)), lambda z: {{'far': abs(z.v - l.reward), 'v': z.v, 'i': z.i}}))[1].i x
+    from m join l on m.prompt = l.prompt and l.k = m.k + 1 join r on r.prompt = m.prompt) where x is not null)
+select prompt, pos_id, neg_id from m where k > 0""")
 def match_by_reward(spark, d):
     images = events_bank(spark, d).images
     return pairs.matched_by_reward(images.where("g[0] = 1").select("prompt", "image_id", "reward"), images.where("g[0] = 0").select("prompt", "image_id", "reward"))
 
 
-@query()
+@query(f"""with recursive {PAIRS_SQL}, cap as (select attr, quantile_cont(pos_reward - neg_reward, 0.75) cap from pairs where pos_reward > neg_reward group by 1),
+c as (select attr, prompt, pos_id, pos_reward, neg_id, h::int h, pos_reward - neg_reward gap, 0.5::double * h / 2 + 0.5::double * (pos_reward - neg_reward) / cap score from pairs join cap using (attr) where pos_reward > neg_reward and h <= 2 and pos_reward - neg_reward <= cap),
+o as (select attr, prompt, pos_id, max(pos_reward) reward, list({{'n': neg_id, 'h': h, 'gap': gap}} order by score, neg_id) all_ from c group by 1, 2, 3),
+p as (select *, row_number() over (partition by attr, prompt order by reward desc, pos_id) k from o),
+m as (select distinct attr, prompt, 0::bigint k, []::bigint[] used, null::bigint pos_id, null::struct(n bigint, h integer, gap double) x from p
+  union all select attr, prompt, k, case when x is null then used else list_append(used, x.n) end, pos_id, x from (select m.attr, m.prompt, p.k, used, p.pos_id,
+    list_filter(all_, lambda z: not list_contains(used, z.n))[1] x from m join p on p.attr = m.attr and p.prompt = m.prompt and p.k = m.k + 1 where len(used) < 5))
+select attr, prompt, pos_id, x.n neg_id, x.h h, round(x.gap, 6) gap from m where x is not null""")
 def best_counterfactual(spark, d):
     prompts = sides.kept(sides.by_prompt(events_bank(spark, d).images, E_ATTRS))
     return sides.counterfactuals(prompts, E_ATTRS, sides.gap_caps(prompts, E_ATTRS), 2)

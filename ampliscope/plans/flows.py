@@ -174,7 +174,7 @@ def proposed_attributes(spark, d):
 @query()
 def run_samples(spark, d):
     """The fixed baselines of a run, from its configuration alone: two levels of samples that merge."""
-    return sketches.RunSamples(events_bank(spark, d).images, val=2, prompts=6, per_prompt=16).baselines().select("topic_id", "prompt", "image_id")
+    return sketches.RunSamples(events_bank(spark, d).images, prompts=6, per_prompt=16).baselines().select("topic_id", "prompt", "image_id")
 
 
 @query()

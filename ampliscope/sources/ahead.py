@@ -95,13 +95,24 @@ class ClusteredCache:
         many = keys.limit(MOST_ASKED + 1).count() > MOST_ASKED
         found = self.rows(None if many else self.files_with(keys)).join(keys, "cache_key").select("cache_key", "created_at", "pos")
         times = found.select("created_at").distinct()
-        index = self.index.select("file", "low", "high")
-        reached = index.join(F.broadcast(times) if not many else times, F.col("high") >= F.col("created_at")).groupBy("created_at").agg(F.min("file").alias("file")) if not many else None
-        starts = self.rows(None if many else sorted(r["file"] for r in reached.select("file").distinct().collect()))
-        first = starts.groupBy("created_at").agg(F.min("pos").alias("start")).join(times, "created_at")
+        first = self._first_rows(None if many else self._files_from(times)).join(times, "created_at")
         last = F.col("start") + F.when(F.col("pos") <= F.col("start") + chunk, chunk).otherwise(chunk - 1)
         wanted = found.join(first, "created_at").select(F.col("pos").alias("own"), F.explode(F.sequence("start", last)).alias("pos"))
-        wanted = wanted.groupBy("pos").agg(F.max((F.col("pos") != F.col("own"))).alias("ahead")).where("ahead").select("pos").unionByName(found.select("pos")).distinct()
-        files = None if many else sorted(r["f"] for r in wanted.select(F.floor(F.col("pos") / self.file_rows).cast("long").alias("f")).distinct().join(index, F.col("f") == F.col("file")).collect())
-        rows = self.rows(files).join(wanted, "pos").join(found.select("pos", F.lit(True).alias("hit")), "pos", "left")
+        wanted = wanted.where("pos <> own").select("pos").unionByName(found.select("pos")).distinct()
+        rows = self.rows(None if many else self._files_of(wanted)).join(wanted, "pos")
+        rows = rows.join(found.select("pos", F.lit(True).alias("hit")), "pos", "left")
         return rows.select("cache_key", "payload", "created_at", F.coalesce("hit", F.lit(False)).alias("hit"))
+
+    def _files_from(self, times: DataFrame) -> list[int]:
+        """For each of up to MOST_ASKED times the first file that reaches it: rows of that time begin there."""
+        reached = self.index.select("file", "high").join(F.broadcast(times), F.col("high") >= F.col("created_at"))
+        return sorted(r["file"] for r in reached.groupBy("created_at").agg(F.min("file").alias("file")).select("file").distinct().collect())
+
+    def _first_rows(self, files: list[int] | None) -> DataFrame:
+        """created_at, start: the first place of each time in the files."""
+        return self.rows(files).groupBy("created_at").agg(F.min("pos").alias("start"))
+
+    def _files_of(self, wanted: DataFrame) -> list[int]:
+        """The files that hold places, of those that there are."""
+        places = wanted.select(F.floor(F.col("pos") / self.file_rows).cast("long").alias("file")).distinct()
+        return sorted(r["file"] for r in places.join(self.index.select("file"), "file").collect())

@@ -18,7 +18,10 @@ from .sources.banks import Bank
 
 TASKS: dict[str, tuple[Callable, tuple[str, ...]]] = {}
 #: Options that need no value on the command line.
-DEFAULTS = {"topic": 0, "n": 2, "n_values": "1,2,4,8,16,32,64,128", "tau": 0.0, "steps": 3, "k": 4, "max_h": 2, "q": 0.75, "per_prompt": 5, "draws": 500, "clusters": 10, "val": 40, "least": 10, "most_tokens": 75, "attrs": None, "resume": None, "root": "", "mode": "reward", "editable": 0.5, "higher": True}
+DEFAULTS = {
+    "topic": 0, "attrs": None, "n": 2, "n_values": "1,2,4,8,16,32,64,128", "tau": 0.0, "steps": 3, "resume": None, "k": 4, "higher": True, "max_h": 2,
+    "q": 0.75, "per_prompt": 5, "draws": 500, "mode": "reward", "clusters": 10, "least": 10, "most_tokens": 75, "editable": 0.5,
+}
 
 
 def task(*options: str):
@@ -52,8 +55,9 @@ def search_run(spark, o):
     state = None
     if o.resume:
         rows = formats.documents(spark, o.resume, formats.STEP).orderBy("step_idx").collect()  # a row a step
-        last = rows[-1]
-        state = search.SearchState(tuple(last["acc_pool"]), tuple(last["humanness_rejected"] or ()), last["step_idx"] + 1, [(r["step_idx"], a, x, 0.0, True) for r in rows for a, x in (r["candidate_ahat"] or {}).items()], [(r["step_idx"], r["reg_var_explained"]) for r in rows])
+        last, scores = rows[-1], [(r["step_idx"], a, x, 0.0, True) for r in rows for a, x in (r["candidate_ahat"] or {}).items()]
+        explained = [(r["step_idx"], r["reg_var_explained"]) for r in rows]
+        state = search.SearchState(tuple(last["acc_pool"]), tuple(last["humanness_rejected"] or ()), last["step_idx"] + 1, scores, explained)
     done = search.run(own, own.attrs, cfg, state=state)
     steps = [(s, int(o.topic), list(done.pool), list(done.rejected), {a: x for at, a, x, _, kept in done.rows if at == s and kept}, r2, float(o.tau)) for s, r2 in done.explained]
     form = "step_idx int, topic_id int, acc_pool array<string>, humanness_rejected array<string>, candidate_ahat map<string,double>, reg_var_explained double, tau double"
