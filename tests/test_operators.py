@@ -447,3 +447,74 @@ def test_blocks_give_all_similar_pairs_and_silhouettes(spark, monkeypatch):
     whole = table.where("vec_id < 70")
     assert corpus.silhouettes(whole).first()[0] == pytest.approx(np.mean(scores), abs=1e-9)
     assert corpus.silhouettes(whole.where("vec_id < 0")).first()[0] is None and corpus.similar_pairs(whole.where("vec_id < 0"), 0.1).count() == 0
+
+
+def test_pruning_by_hand(spark):
+    """Leave-one-out scores and removals against fits with numpy, one label after the other."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for p in range(5):
+        g = rng.integers(0, 2, (30, 4))
+        g[:, 3] = g[:, 0]  # a copy: the first of the two goes
+        reward = g @ [1.0, 0.2, 0.0, 1.0] + rng.normal(size=30)
+        rows += [(p, 100 * p + i, float(r), [int(v) for v in x]) for i, (r, x) in enumerate(zip(reward, g))]
+    images = regress.with_u(spark.createDataFrame(rows, "prompt int, image_id int, reward double, g array<int>"))
+    data = {p: [(r[2], r[3]) for r in rows if r[0] == p] for p in range(5)}
+
+    def scores(pool):
+        out = dict.fromkeys(pool, 0.0)
+        for own in data.values():
+            rewards = np.array([r for r, _ in own])
+            u = np.array([(rewards <= r).mean() for r in rewards])
+            u = u - u.mean()
+            g = np.array([x for _, x in own], float)
+            g = g - g.mean(0)
+            for a in pool:
+                rest = ["abcd".index(b) for b in pool if b != a]
+                e = u - g[:, rest] @ np.linalg.lstsq(g[:, rest], u, rcond=None)[0] if rest else u
+                out[a] += 2 * (g[:, "abcd".index(a)] * e).mean() / len(data)
+        return out
+
+    pool, removed = list("abcd"), []
+    while len(pool) > 1:
+        now = scores(pool)
+        worst = min(pool, key=lambda a: (round(now[a], 12), pool.index(a)))
+        if now[worst] > 0.002:
+            break
+        removed.append((len(removed) + 1, worst, pytest.approx(now[worst], abs=1e-9)))
+        pool.remove(worst)
+    got, kept = regress.pruned(images, tuple("abcd"), 0.002)
+    assert len(removed) >= 2 and kept == pytest.approx(scores(pool), abs=1e-9)
+    assert [(r, x) for r, _, x in got] == [(r, x) for r, _, x in removed] and {a for _, a, _ in got} | set(kept) == set("abcd")
+
+
+def test_silhouettes_of_several_k_and_medoids_by_hand(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(c, 0.4, (20, 3)) for c in ([0, 0, 0], [4, 0, 0], [0, 4, 0])])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = {}
+    for k in (2, 3, 5):
+        model = KMeans(k=k, seed=42).fit(rows.select("vec_id", array_to_vector("embedding").alias("features")))
+        found = model.transform(rows.select("vec_id", array_to_vector("embedding").alias("features"))).orderBy("vec_id").collect()
+        c = np.array([r["prediction"] for r in found])
+        s = []
+        for i in range(len(x)):
+            own = (c == c[i]) & (np.arange(len(x)) != i)
+            if not own.any():
+                s.append(0.0)
+                continue
+            a, b = far[i, own].mean(), min(far[i, c == d].mean() for d in set(c) - {c[i]})
+            s.append((b - a) / max(a, b))
+        want[k] = np.mean(s)
+        centres = np.array(model.clusterCenters())
+        near = {int(min(np.flatnonzero(c == d), key=lambda i: (((x[i] - centres[d]) ** 2).sum(), i))) for d in range(k)}
+        assert {r["vec_id"] for r in corpus.kmeans_medoids(rows, k).collect()} == near
+    got = corpus.best_k(rows, [2, 3, 5, 60]).collect()
+    assert [(r["k"], r["silhouette"]) for r in got] == [(k, pytest.approx(v)) for k, v in sorted(want.items(), key=lambda z: -z[1])] and got[0]["k"] == 3
+    labels = corpus.kmeans_labels(rows, 3).collect()
+    assert sorted({r["cluster"] for r in labels}) == [0, 1, 2] and len(labels) == 60
+    assert {r["vec_id"] for r in corpus.kmeans_medoids(rows, 60).collect()} == set(range(60))
