@@ -7,13 +7,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import frozen
 
 #: Thresholds that a pass counts for one quantile, values that are sorted at last, numbers that a task handles at once.
 SPLIT, FEW, STRIP = 128, 10_000, 1 << 20
+#: Images of a prompt that is counted together with others, and of all these; rows of chosen pairs that a task holds.
+SMALL, POOL, ROWS = 512, 1 << 16, 10_000
+ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
 MODES = ("reward", "score", "score_up")
 
 
@@ -44,101 +48,162 @@ def _sides(row, attrs: tuple[str, ...]):
 
 
 class Gaps:
-    """The gaps of the winning pairs of one prompt and attribute: how many are at most x, and which lie between."""
-
-    def __init__(self, row, pos: np.ndarray, neg: np.ndarray, mode: str):
-        self.mode = mode
-        rewards = np.asarray(row.rewards, float)
-        self.p, below = rewards[pos], rewards[neg]
+    """The gaps of the winning pairs of some prompts for one attribute: how many are at most x, and which lie between.
+
+    p, start, stop: the rewards of images with the label, and where the opposites below begin and end in u; c: opposites before each place of u.
+    Opposites of equal reward are one place, unless gaps are of a second score (s, t)."""
+
+    def __init__(self, rewards: np.ndarray, scores: np.ndarray, first: np.ndarray, pos: np.ndarray, neg: np.ndarray, mode: str):
+        """first: where each image's prompt begins; pos, neg: which images have the label, and 0."""
+        self.mode, self.one, at = mode, not first.any(), np.arange(len(rewards))
+        new = np.ones(len(rewards), bool)
+        new[1:] = (rewards[1:] != rewards[:-1]) | (first[1:] != first[:-1])
+        equal = np.maximum.accumulate(np.where(new, at, 0))
+        here = np.flatnonzero(neg)
         if mode == "reward":
-            self.u, n = np.unique(below, return_counts=True)
-            self.c = np.concatenate([[0], np.cumsum(n)])
-            self.top = np.searchsorted(self.u, self.p)
+            here, n = np.unique(equal[here], return_counts=True)
         else:
-            scores = np.array([np.nan if s is None else s for s in row.scores], float)
-            self.r, self.s, self.t = below, scores[pos], scores[neg]
-
-    def _strips(self):
-        """All gaps, a bounded number at a time; only where gaps are not of the reward."""
-        for at in range(0, len(self.p), max(1, STRIP // len(self.r))):
-            part = slice(at, at + max(1, STRIP // len(self.r)))
-            gap = self.t[None, :] - self.s[part, None]
-            gap = np.abs(gap) if self.mode == "score" else gap
-            yield gap[(self.p[part, None] > self.r[None, :]) & (gap >= 0)]
+            n = np.ones(len(here), np.int64)
+            self.s, self.t = scores[pos], scores[here]
+        self.c = np.concatenate([[0], np.cumsum(n)])
+        self.p, self.u = rewards[pos], rewards[here]
+        self.start, self.stop = np.searchsorted(here, first[pos]), np.searchsorted(here, equal[pos])
+
+    def _strips(self, start: np.ndarray, stop: np.ndarray):
+        """(gaps, their numbers) of the places from start up to stop of each image, some STRIP at a time."""
+        n = np.maximum(stop - start, 0)
+        upto = np.cumsum(n)
+        low = 0
+        while low < len(n):
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + STRIP, side="right")))
+            m = n[low:high]
+            if total := int(m.sum()):
+                i = np.repeat(np.arange(low, high), m)
+                j = np.arange(total) + np.repeat(start[low:high] - (np.cumsum(m) - m), m)
+                if self.mode == "reward":
+                    yield self.p[i] - self.u[j], self.c[j + 1] - self.c[j]
+                else:
+                    gap = self.t[j] - self.s[i]
+                    gap = np.abs(gap) if self.mode == "score" else gap
+                    gap = gap[gap >= 0]
+                    yield gap, np.ones(len(gap), np.int64)
+            low = high
 
     def _first(self, x: np.ndarray) -> np.ndarray:
-        """For each x and positive the first opposite whose gap is at most x; gaps are compared as they are computed."""
+        """For each x and image of one prompt the first opposite whose gap is at most x; gaps are compared as they are computed."""
         p, u, last = self.p[None, :], self.u, len(self.u) - 1
-        lo = np.minimum(np.searchsorted(u, p - x[:, None]), self.top)
+        lo = np.minimum(np.searchsorted(u, p - x[:, None]), self.stop)
         while (down := (lo > 0) & (p - u[np.maximum(lo - 1, 0)] <= x[:, None])).any():
             lo = lo - down
-        while (up := (lo < self.top) & (p - u[np.minimum(lo, last)] > x[:, None])).any():
+        while (up := (lo < self.stop) & (p - u[np.minimum(lo, last)] > x[:, None])).any():
             lo = lo + up
         return lo
 
+    def _searched(self, n: int) -> bool:
+        """Whether n thresholds are found by search: one prompt, and fewer steps than gaps."""
+        return self.mode == "reward" and self.one and len(self.p) * n < int((self.stop - self.start).sum())
+
     def ends(self) -> tuple[int, float, float]:
         """How many there are, the least and the largest."""
         if self.mode != "reward":
-            parts = [g for g in self._strips() if len(g)]
-            return sum(map(len, parts)), min((g.min() for g in parts), default=0.0), max((g.max() for g in parts), default=0.0)
-        at = np.flatnonzero(self.top)
+            parts = [(len(g), g.min(), g.max()) for g, _ in self._strips(self.start, self.stop) if len(g)]
+            return sum(x[0] for x in parts), min((x[1] for x in parts), default=0.0), max((x[2] for x in parts), default=0.0)
+        at = np.flatnonzero(self.stop > self.start)
         if not len(at):
             return 0, 0.0, 0.0
-        return int(self.c[self.top].sum()), float((self.p[at] - self.u[self.top[at] - 1]).min()), float(self.p[-1] - self.u[0])
+        p, start, stop = self.p[at], self.start[at], self.stop[at]
+        return int((self.c[stop] - self.c[start]).sum()), float((p - self.u[stop - 1]).min()), float((p - self.u[start]).max())
 
     def at_most(self, x: np.ndarray) -> np.ndarray:
-        if self.mode != "reward":
-            return sum((np.searchsorted(np.sort(g), x, side="right") for g in self._strips()), np.zeros(len(x), np.int64))
-        size = max(1, STRIP // len(self.p))
-        return np.concatenate([(self.c[self.top] - self.c[self._first(x[k : k + size])]).sum(1) for k in range(0, len(x), size)])
+        if self._searched(len(x)):
+            size = max(1, STRIP // len(self.p))
+            return np.concatenate([(self.c[self.stop] - self.c[self._first(x[k : k + size])]).sum(1) for k in range(0, len(x), size)])
+        found = np.zeros(len(x) + 1, np.int64)
+        for gap, n in self._strips(self.start, self.stop):
+            found += np.bincount(np.searchsorted(x, gap), weights=n, minlength=len(x) + 1).astype(np.int64)
+        return np.cumsum(found[:-1])
 
     def between(self, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
         """The distinct gaps above low and up to high, with their numbers."""
-        if self.mode != "reward":
-            found = np.concatenate([g[(g > low) & (g <= high)] for g in self._strips()] or [np.zeros(0)])
-            return np.unique(found, return_counts=True)
-        start, end = self._first(np.array([high, low]))
-        n = np.maximum(end - start, 0)
-        which = np.repeat(np.arange(len(n)), n)
-        at = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        values, place = np.unique(self.p[which] - self.u[at], return_inverse=True)
-        return values, np.bincount(place, weights=(self.c[at + 1] - self.c[at]).astype(float), minlength=len(values)).astype(np.int64)
-
-
-def _each(attrs, mode, make):
-    """A mapInPandas function: the frames that make(gaps by attr) gives for the prompts of a batch."""
-
-    def run(frames):
-        for frame in frames:
-            out = [x for row in frame.itertuples() for attr, pos, neg, _ in _sides(row, attrs) for x in make(attr, Gaps(row, pos, neg, mode))]
-            yield pd.DataFrame(out, columns=make.columns)
-
-    return run
-
-
-def _named(columns):
-    def mark(f):
-        f.columns = columns
-        return f
-
-    return mark
+        if self._searched(2):
+            start, stop = self._first(np.array([high, low]))
+        else:
+            start, stop = self.start, self.stop
+        found = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for gap, n in self._strips(start, stop):
+            inside = (gap > low) & (gap <= high)
+            if inside.any():
+                for at, part in zip(found, _summed(gap[inside], n[inside])):
+                    at.append(part)
+        return _summed(*map(np.concatenate, found))
+
+
+def _summed(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values with the sums of their numbers."""
+    values, place = np.unique(values, return_inverse=True)
+    return values, np.bincount(place, weights=n, minlength=len(values)).astype(np.int64)
+
+
+def _pooled(batch, attrs: tuple[str, ...], mode: str):
+    """(attr, gaps) of the prompts of a batch: small ones together, up to POOL images, a larger one by itself."""
+    at = {c: batch.column(c) for c in ("rewards", "scores", "labels", "attrs")}
+    sizes = at["rewards"].value_lengths().to_numpy(zero_copy_only=False)
+    rewards = at["rewards"].flatten().to_numpy(zero_copy_only=False)
+    scores = at["scores"].flatten().to_numpy(zero_copy_only=False).astype(float)
+    labels = at["labels"].flatten().fill_null(-1).to_numpy(zero_copy_only=False).reshape(len(rewards), -1)
+    owners, named = at["attrs"].value_parent_indices().to_numpy(zero_copy_only=False), at["attrs"].flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    low = 0
+    while low < len(sizes):
+        done = int(ends[low - 1]) if low else 0
+        high = low + 1
+        if sizes[low] <= SMALL:
+            large = np.flatnonzero(sizes[low:] > SMALL)
+            high = max(high, min(int(np.searchsorted(ends, done + POOL, side="right")), low + int(large[0]) if len(large) else len(sizes)))
+        part = slice(done, int(ends[high - 1]))
+        first = np.repeat(ends[low:high] - sizes[low:high] - done, sizes[low:high])
+        for k, attr in enumerate(attrs):
+            own = np.zeros(high - low, bool)
+            has = owners[named == attr] - low
+            own[has[(has >= 0) & (has < high - low)]] = True
+            counts = np.repeat(own, sizes[low:high])
+            pos, neg = counts & (labels[part, k] == 1), counts & (labels[part, k] == 0)
+            if pos.any() and neg.any():
+                yield attr, Gaps(rewards[part], scores[part], first, pos, neg, mode)
+        low = high
+
+
+def _folded(prompts: DataFrame, attrs: tuple[str, ...], mode: str, add, rows, schema: str) -> DataFrame:
+    """What each task makes of all its prompts: add(state, attr, gaps) for each part, then the rows of the state, a dict."""
+    columns = [x.split() for x in schema.split(", ")]
+
+    def run(batches):
+        state: dict = {}
+        for batch in batches:
+            for attr, gaps in _pooled(batch, attrs, mode):
+                add(state, attr, gaps)
+        found = list(zip(*rows(state))) or [[]] * len(columns)
+        yield pa.RecordBatch.from_arrays([pa.array(x, ARROW[kind]) for x, (_, kind) in zip(found, columns)], [name for name, _ in columns])
+
+    return prompts.select("rewards", "scores", "labels", "attrs").mapInArrow(run, schema)
 
 
 def gap_caps(prompts: DataFrame, attrs: tuple[str, ...], q: float = 0.75, mode: str = "reward") -> DataFrame:
     """attr, cap, n: the interpolated q-quantile of the gap over all pairs where the label's image wins, and their number.
 
     prompts: by_prompt(), read once a pass. A quantile lies in a range of gaps that each pass cuts into SPLIT parts by counting, prompt by prompt, until
-    it holds FEW gaps, which are then sorted. The driver holds a few numbers an attribute."""
+    it holds FEW gaps, which are then sorted. A task adds up all its prompts and sends SPLIT counts, or its share of the FEW gaps, an attribute and rank."""
     if mode not in MODES:
         raise ValueError(f"mode {mode!r}")
     spark = prompts.sparkSession
 
-    @_named(["attr", "n", "low", "high"])
-    def ends(attr, gaps):
+    def ends(state, attr, gaps):
         n, low, high = gaps.ends()
-        return [(attr, n, low, high)] if n else []
+        if n:
+            m, least, most = state.get(attr, (0, low, high))
+            state[attr] = (m + n, min(least, low), max(most, high))
 
-    found = prompts.mapInPandas(_each(attrs, mode, ends), "attr string, n long, low double, high double")
+    found = _folded(prompts, attrs, mode, ends, lambda state: [(a, *x) for a, x in state.items()], "attr string, n long, low double, high double")
     state, total = {}, {}
     for r in found.groupBy("attr").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect():
         total[r["attr"]] = r["n"]
@@ -146,33 +211,40 @@ def gap_caps(prompts: DataFrame, attrs: tuple[str, ...], q: float = 0.75, mode:
         for rank in {int(np.floor(at)), int(np.ceil(at))}:
             state[r["attr"], rank] = (float(np.nextafter(r["low"], -np.inf)), r["high"], 0, r["n"])
     while todo := {k: np.unique(np.linspace(lo, hi, SPLIT + 1)[1:]) for k, (lo, hi, _, inside) in state.items() if inside > FEW and np.nextafter(lo, np.inf) < hi}:
-        by_attr = {}
-        for (attr, rank), x in todo.items():
-            by_attr.setdefault(attr, []).append((rank, x))
-
-        @_named(["attr", "rank", "at", "n"])
-        def counts(attr, gaps, by_attr=by_attr):
-            return [(attr, rank, i, int(n)) for rank, x in by_attr.get(attr, []) for i, n in enumerate(gaps.at_most(x)) if n]
-
-        sums = prompts.mapInPandas(_each(attrs, mode, counts), "attr string, rank long, at int, n long").groupBy("attr", "rank", "at").agg(F.sum("n").alias("n"))
-        upto = {k: np.zeros(len(x), np.int64) for k, x in todo.items()}
-        for r in sums.collect():
-            upto[r["attr"], r["rank"]][r["at"]] = r["n"]
+        ranges = {(k[0], *state[k][:2]): x for k, x in todo.items()}  # ranks that lie side by side mostly share one
+
+        def counts(state, attr, gaps, ranges=ranges):
+            for key, x in ranges.items():
+                if key[0] == attr:
+                    state[key] = state.get(key, 0) + gaps.at_most(x)
+
+        rows = lambda state: [(*key, i, int(n)) for key, found in state.items() for i, n in enumerate(found) if n]
+        sums = _folded(prompts, attrs, mode, counts, rows, "attr string, low double, high double, at long, n long")
+        upto = {key: np.zeros(len(x), np.int64) for key, x in ranges.items()}
+        for r in sums.groupBy("attr", "low", "high", "at").agg(F.sum("n").alias("n")).collect():
+            upto[r["attr"], r["low"], r["high"]][r["at"]] = r["n"]
         for k, x in todo.items():
-            at = int(np.argmax(upto[k] > k[1]))
-            low, below = (x[at - 1], upto[k][at - 1]) if at else (state[k][0], state[k][2])
-            state[k] = (float(low), float(x[at]), int(below), int(upto[k][at] - below))
-    left = {}
+            seen = upto[k[0], *state[k][:2]]
+            at = int(np.argmax(seen > k[1]))
+            low, below = (x[at - 1], seen[at - 1]) if at else (state[k][0], state[k][2])
+            state[k] = (float(low), float(x[at]), int(below), int(seen[at] - below))
+    left = {(attr, low, high): below for (attr, _), (low, high, below, _) in state.items()}
+
+    def values(state, attr, gaps):
+        for key in left:
+            if key[0] == attr:
+                old, new = state.get(key, (np.zeros(0), np.zeros(0, np.int64))), gaps.between(*key[1:])
+                state[key] = _summed(*map(np.concatenate, zip(old, new)))
+
+    rows = lambda state: [(*key, left[key], float(v), int(n)) for key, found in state.items() for v, n in zip(*found)]
+    few = _folded(prompts, attrs, mode, values, rows, "attr string, low double, high double, below long, gap double, n long").groupBy("attr", "low", "high", "below", "gap").agg(F.sum("n").alias("n"))
+    upto = {}
+    for r in few.orderBy("attr", "low", "high", "gap").collect():  # FEW gaps an attribute and rank
+        upto.setdefault((r["attr"], r["low"], r["high"]), []).append((r["gap"], r["n"]))
+    at = {}
     for (attr, rank), (low, high, below, _) in state.items():
-        left.setdefault(attr, []).append((rank, low, high, below))
-
-    @_named(["attr", "rank", "below", "gap", "n"])
-    def values(attr, gaps):
-        return [(attr, rank, below, float(v), int(n)) for rank, low, high, below in left.get(attr, []) for v, n in zip(*gaps.between(low, high))]
-
-    few = prompts.mapInPandas(_each(attrs, mode, values), "attr string, rank long, below long, gap double, n long").groupBy("attr", "rank", "below", "gap").agg(F.sum("n").alias("n"))
-    upto = few.withColumn("upto", F.col("below") + F.sum("n").over(Window.partitionBy("attr", "rank").orderBy("gap")))
-    at = {(r["attr"], r["rank"]): r["gap"] for r in upto.where("upto > rank").groupBy("attr", "rank").agg(F.min("gap").alias("gap")).collect()}
+        gap, n = zip(*upto[attr, low, high])
+        at[attr, rank] = gap[int(np.argmax(below + np.cumsum(n) > rank))]
     out = []
     for attr, n in sorted(total.items()):
         place = (n - 1) * q
@@ -188,6 +260,7 @@ def counterfactuals(prompts: DataFrame, attrs: tuple[str, ...], caps: DataFrame,
     cap; ties to the smaller ids. One image at a time is held against its prompt's opposites, and the prompt is left after per_prompt pairs."""
     cap = {r["attr"]: r["cap"] for r in caps.select("attr", "cap").collect()}  # a row an attribute
     ident = prompts.schema["ids"].dataType.elementType.simpleString()
+    columns = ["attr", "prompt", "pos_id", "neg_id", "h", "gap"]
 
     def run(frames):
         for frame in frames:
@@ -212,7 +285,10 @@ def counterfactuals(prompts: DataFrame, attrs: tuple[str, ...], caps: DataFrame,
                                 j = int(np.argmin(score))
                                 free[j], found = False, found + 1
                                 out.append((attr, row.prompt, ids[i], ids[neg[j]], int(h[j]), float(gap[j])))
-            yield pd.DataFrame(out, columns=["attr", "prompt", "pos_id", "neg_id", "h", "gap"])
+                if len(out) >= ROWS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+            yield pd.DataFrame(out, columns=columns)
 
     kind = prompts.schema["prompt"].dataType.simpleString()
     return prompts.mapInPandas(run, f"attr string, prompt {kind}, pos_id {ident}, neg_id {ident}, h int, gap double")

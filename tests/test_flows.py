@@ -468,3 +468,17 @@ def test_plans_hold_no_pairs(spark, crowd):  # noqa: F811
     with pytest.raises(ValueError):
         sides.gap_caps(prompts, ABC, mode="other")
     assert pairs.hamming is not None
+
+
+def test_gap_caps_send_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(sides, "FEW", 100)
+    rng = np.random.default_rng(5)
+    rows = [(p, i, float(rng.normal()), [int(rng.integers(0, 2))]) for p in range(600) for i in range(20)] + [(600, i, float(rng.normal()), [i % 2]) for i in range(1200)]
+    prompts = sides.by_prompt(spark.createDataFrame(rows, "prompt int, image_id int, reward double, g array<int>"), ("a",)).coalesce(2)
+    sent = []
+    for name in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(type(prompts), name, lambda self, *x, f=getattr(type(prompts), name): sent.append(f(self, *x)) or sent[-1])
+    r = sides.gap_caps(prompts, ("a",)).first()
+    gaps = [a[2] - b[2] for _, own in grouped(rows, lambda r: r[0]).items() for a in own if a[3] == [1] for b in own if b[3] == [0] and a[2] > b[2]]
+    assert r["n"] == len(gaps) and r["cap"] == pytest.approx(np.quantile(gaps, 0.75), abs=1e-12)
+    assert len(sent) > 2 and max(s.count() for s in sent) <= 2 * 2 * sides.SPLIT  # before: SPLIT rows a prompt
