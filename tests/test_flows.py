@@ -482,3 +482,15 @@ def test_gap_caps_send_few_rows(spark, monkeypatch):
     gaps = [a[2] - b[2] for _, own in grouped(rows, lambda r: r[0]).items() for a in own if a[3] == [1] for b in own if b[3] == [0] and a[2] > b[2]]
     assert r["n"] == len(gaps) and r["cap"] == pytest.approx(np.quantile(gaps, 0.75), abs=1e-12)
     assert len(sent) > 2 and max(s.count() for s in sent) <= 2 * 2 * sides.SPLIT  # before: SPLIT rows a prompt
+
+
+def test_counterfactuals_leave_in_bounded_frames(spark, monkeypatch):
+    rows = [(p, i, float(i), [i % 2]) for p in range(3000) for i in range(20)]
+    prompts = sides.by_prompt(spark.createDataFrame(rows, "prompt int, image_id int, reward double, g array<int>"), ("a",)).coalesce(1)
+    runs = []
+    kept = type(prompts).mapInPandas
+    monkeypatch.setattr(type(prompts), "mapInPandas", lambda self, run, schema: runs.append(run) or kept(self, run, schema))
+    caps = spark.createDataFrame([("a", 100.0)], "attr string, cap double")
+    assert sides.counterfactuals(prompts, ("a",), caps, 1).count() == 3000 * 5
+    sizes = [len(f) for f in runs[-1](iter([prompts.toPandas()]))]
+    assert sum(sizes) == 3000 * 5 and max(sizes) < 10_100  # before: all pairs of a batch at once
