@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,13 +39,54 @@ def curve(images: DataFrame, attrs: tuple[str, ...], n_values: list[int]) -> Dat
 
 
 def curve_mc(images: DataFrame, attrs: tuple[str, ...], n_values: list[int], trials: int = 100, seed: int = 0) -> DataFrame:
-    """The same by draws: images ordered by a hash of (prompt, image, trial, seed); the best of the first min(n, m) wins."""
-    rows = images.where("reward is not null").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    w = Window.partitionBy("prompt", "trial")
-    rows = rows.withColumns({"pos": F.row_number().over(w.orderBy(F.xxhash64("prompt", "image_id", "trial", F.lit(seed)), "image_id")), "m": F.count(F.lit(1)).over(w)})
-    drawn = rows.withColumn("n", F.explode(F.array(*map(F.lit, n_values)))).where("pos <= n")
-    won = drawn.groupBy("prompt", "trial", "n").agg(F.max_by("g", F.struct("reward", F.negative("pos"))).alias("g"))
-    wide = won.groupBy("n").agg(*(F.avg((F.coalesce(F.col("g")[i], F.lit(0)) == 1).cast("int")).alias(f"p{i}") for i in range(len(attrs))))
+    """The same by draws: images ordered by a hash of (prompt, image, trial, seed); the best of the first min(n, m) wins.
+
+    Images move once, to their prompt's task; trials are columns there, not rows. A task holds a batch and the images of one prompt that some
+    trial may still draw, and sends its sums."""
+    sizes = sorted(n for n in set(n_values) if n > 0)
+    has = F.array(*(F.coalesce(F.col("g")[i], F.lit(0)) == 1 for i in range(len(attrs))))
+    rows = images.where("reward is not null").select("prompt", "image_id", F.col("reward").cast("double").alias("reward"), has.alias("has"))
+    order = F.array(*(F.xxhash64("prompt", "image_id", F.lit(t), F.lit(seed)) for t in range(trials)))
+    rows = rows.repartition("prompt").sortWithinPartitions("prompt", "image_id").select("prompt", "reward", "has", order.alias("order"))
+
+    def run(batches):
+        total, prompts, name, mine = np.zeros((len(sizes), len(attrs)), np.int64), 0, None, None
+
+        def first(part):
+            return np.argsort(part[2], axis=0, kind="stable")[: sizes[-1]]
+
+        def won(part):
+            drawn = first(part)
+            for at, n in enumerate(sizes):
+                best = np.argmax(part[0][drawn[:n]], axis=0)  # of equal rewards the one drawn first
+                total[at] += part[1][drawn[best, np.arange(trials)]].sum(0)
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            prompt = batch.column("prompt").dictionary_encode(null_encoding="encode")
+            code = prompt.indices.to_numpy()
+            reward = batch.column("reward").to_numpy()
+            has, order = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1) for c in ("has", "order"))
+            ends = [*(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+            start = 0
+            for end in ends:
+                here, part = prompt.dictionary[int(code[start])].as_py(), (reward[start:end], has[start:end], order[start:end])
+                if mine is not None and here == name:
+                    part = tuple(np.concatenate(x) for x in zip(mine, part))
+                elif mine is not None:
+                    won(mine)
+                    prompts += 1
+                name, mine, start = here, part, end
+            kept = np.unique(first(mine))  # what no trial has among its first goes
+            mine = tuple(x[kept] for x in mine)
+        if mine is not None:
+            won(mine)
+            columns = [sizes, [(prompts + 1) * trials] * len(sizes), *total.T.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, [pa.int32()] + [pa.int64()] * (1 + len(attrs)))], ["n", "drawn", *(f"p{i}" for i in range(len(attrs)))])
+
+    sums = rows.mapInArrow(run, ", ".join(["n int, drawn long", *(f"p{i} long" for i in range(len(attrs)))]))
+    wide = sums.groupBy("n").agg(*((F.sum(f"p{i}") / F.sum("drawn")).alias(f"p{i}") for i in range(len(attrs))))
     named = F.explode(F.array(*(F.struct(F.lit(a).alias("attr"), F.col(f"p{i}").alias("prev")) for i, a in enumerate(attrs)))).alias("z")
     return wide.select("n", named).select("z.attr", "n", "z.prev")
 

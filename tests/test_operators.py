@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ampliscope.functions import cost, scalars
@@ -518,3 +519,23 @@ def test_silhouettes_of_several_k_and_medoids_by_hand(spark):
     labels = corpus.kmeans_labels(rows, 3).collect()
     assert sorted({r["cluster"] for r in labels}) == [0, 1, 2] and len(labels) == 60
     assert {r["vec_id"] for r in corpus.kmeans_medoids(rows, 60).collect()} == set(range(60))
+
+
+def test_draws_move_an_image_once(spark):
+    rng = np.random.default_rng(8)
+    rows = [(p, i, None if i == 5 else float("nan") if (p, i) == (1, 7) else float(rng.integers(0, 6)), [int(rng.integers(-1, 2)), None if i % 4 == 0 else 1]) for p, m in ((1, 90), (2, 3), (None, 11), (4, 1)) for i in range(m)]
+    images = spark.createDataFrame(rows, "prompt int, image_id int, reward double, g array<int>").repartition(3)
+    each = images.where("reward is not null").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    pos = F.row_number().over(Window.partitionBy("prompt", "trial").orderBy(F.xxhash64("prompt", "image_id", "trial", F.lit(3)), "image_id"))
+    drawn = each.withColumn("pos", pos).withColumn("n", F.explode(F.array(*map(F.lit, [1, 2, 8])))).where("pos <= n")
+    won = drawn.groupBy("prompt", "trial", "n").agg(F.max_by("g", F.struct("reward", F.negative("pos"))).alias("g"))
+    want = {(a, r["n"]): r[a] for r in won.groupBy("n").agg(*(F.avg((F.coalesce(F.col("g")[i], F.lit(0)) == 1).cast("int")).alias(a) for i, a in enumerate("xy"))).collect() for a in "xy"}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # a prompt spans batches
+    try:
+        found = bon.curve_mc(images, ("x", "y"), [8, 1, 2], 20, 3)
+        assert {(r["attr"], r["n"]): r["prev"] for r in found.collect()} == want and len(want) == 6
+        assert bon.curve_mc(images.where("prompt > 4"), ("x", "y"), [1], 20).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.split("MapInArrow")[1].count("explode") == 0  # before: a row an image and trial
