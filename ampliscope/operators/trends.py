@@ -107,6 +107,17 @@ def drift(results: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.join(new, ["target", "image_id", "attr"], "left").withColumn("now", F.coalesce("now", F.lit(-1)))
 
 
+def drift_by_image(images: DataFrame) -> DataFrame:
+    """The same from a row an image, without a join: image_id, before [(attr, g)] and edits [(target, has_file, after [(attr, g)])], each attr once."""
+    def found(attr):
+        return F.try_element_at(F.filter("edit.after", lambda x: x["attr"] == attr), F.lit(1))["g"]
+
+    rows = images.select("image_id", "before", F.explode("edits").alias("edit")).where(F.col("edit.has_file") & (found(F.col("edit.target")) == 0))
+    had = F.filter("before", lambda x: (x["g"] == 1) & (x["attr"] != F.col("edit.target")))
+    rows = rows.select("image_id", "edit", F.explode(had).alias("had"))
+    return rows.select("edit.target", "image_id", "had.attr", F.col("had.g").alias("was"), F.coalesce(found(F.col("had.attr")), F.lit(-1)).alias("now"))
+
+
 def drift_counts(drifts: DataFrame) -> DataFrame:
     """target, attr, n, n_lost, n_failed."""
     return drifts.groupBy("target", "attr").agg(F.count("*").alias("n"), F.count_if(F.col("now") == 0).alias("n_lost"), F.count_if(F.col("now") == -1).alias("n_failed"))

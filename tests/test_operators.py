@@ -539,3 +539,18 @@ def test_draws_move_an_image_once(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and plan.split("MapInArrow")[1].count("explode") == 0  # before: a row an image and trial
+
+
+def test_drift_by_image_moves_an_image_once(spark, sf_dir):
+    from ampliscope.plans import records
+
+    results, before, after = records._edits(spark, sf_dir)
+    found = trends.drift_by_image(records._edited_images(spark, sf_dir))
+    columns = ["target", "image_id", "attr", "was", "now"]
+    want = trends.drift(results, before, after).select(columns)
+    assert want.count() == found.count() > 1000 and want.exceptAll(found.select(columns)).count() == 0
+    rows = [(1, [("a", 1), ("b", 1), ("c", 1), ("d", None)], [("a", True, [("a", 0), ("b", 0), ("c", None)]), ("b", False, [("b", 0)]), ("c", None, [("c", 0)]), ("z", True, [])])]
+    images = spark.createDataFrame(rows, "image_id int, before array<struct<attr: string, g: int>>, edits array<struct<target: string, has_file: boolean, after: array<struct<attr: string, g: int>>>>")
+    assert {tuple(r) for r in trends.drift_by_image(images).select(columns).collect()} == {("a", 1, "b", 1, 0), ("a", 1, "c", 1, -1)}
+    plan = records.QUERIES["side_effect_drift"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(image_id") == plan.count("Exchange ") - 1 == 1 and "Join" not in plan  # and the few counts
