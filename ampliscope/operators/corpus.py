@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -156,50 +157,101 @@ def kmeans_labels(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "e
     return found.join(F.broadcast(order.select("prediction", "cluster")), "prediction").select(key, "cluster")
 
 
-def silhouettes(rows: DataFrame, cluster: str = "label", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """silhouette: the mean Euclidean silhouette over rows whose vectors are whole; 0 for a row alone in its cluster.
-
-    All distances are needed, so time grows with the square of the rows: for samples. A pair of blocks gives a row's sum of
-    distances to each cluster, never a row a pair. Keys must be distinct."""
-    ident, group = (rows.schema[c].dataType.simpleString() for c in (key, cluster))
-
-    def one_way(a, b, same):
-        left, right = np.array(a["v"].tolist()), np.array(b["v"].tolist())
-        names, at = np.unique(b["c"].to_numpy(), return_inverse=True)
-        members, mine = np.eye(len(names))[at], {k: i for i, k in enumerate(b["id"])} if same else {}
-        far = (right * right).sum(1)
-        for start in range(0, len(left), STRIP):
-            x = left[start : start + STRIP]
-            dist = np.sqrt(np.maximum((x * x).sum(1)[:, None] + far - 2 * x @ right.T, 0))
-            ids, own = a["id"].to_numpy()[start : start + STRIP], a["c"].to_numpy()[start : start + STRIP]
-            if same:
-                dist[np.arange(len(x)), [mine[k] for k in ids]] = 0
-            total, n = dist @ members, np.tile(members.sum(0), (len(x), 1))
-            if same:
-                n -= own[:, None] == names[None, :]
-            yield pd.DataFrame({"i": np.repeat(ids, len(names)), "c": np.repeat(own, len(names)), "d": np.tile(names, len(x)), "s": total.ravel(), "n": n.ravel()})
+def _packed(rows: DataFrame, clusters: list[str], key: str, vector: str) -> tuple[DataFrame, int]:
+    """d, b, v, c0, c1, ..: a row a block of about BLOCK whole vectors of one length d, end to end, with their clusters as text; a block a partition. And how many b there are."""
+    found = rows.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+    for c in clusters:
+        found = found.where(F.col(c).isNotNull())
+    blocks = -(-found.count() // BLOCK) or 1
+    v = F.col(vector) if rows.schema[vector].dataType.simpleString() == "array<float>" else F.transform(vector, lambda x: x.cast("double"))
+    kept = found.select(F.size(vector).alias("d"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("b"), v.alias("v"), *(F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(clusters)))
+    whole = kept.repartition(blocks, "b").groupBy("d", "b").agg(F.collect_list(F.struct("v", *(f"c{i}" for i in range(len(clusters))))).alias("z"))
+    return frozen(whole.select("d", "b", F.flatten("z.v").alias("v"), *(F.col(f"z.c{i}").alias(f"c{i}") for i in range(len(clusters))))), blocks
+
+
+#: Blocks that a task reads for each of its own, and sums that it holds.
+AGAINST, HELD = 32, 1 << 22
+SUMS = pa.schema([("d", pa.int32()), ("b", pa.int64()), ("labels", pa.int32()), ("name", pa.string()), ("n", pa.int64()), ("s", pa.list_(pa.float64()))])
+
+
+def _distance_sums(pairs, labelings: int):
+    """Of batches of pairs of blocks: for each first block and cluster the sums of its rows' distances to the members in the second blocks."""
+    held: dict = {}
+
+    def sent():
+        rows = [(*k, n, s) for k, (n, s) in held.items()]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(SUMS)], schema=SUMS)
+
+    for batch in pairs:
+        at = {c: batch.column(c) for c in batch.schema.names}
+        for r in range(len(batch)):
+            d, b = at["d"][r].as_py(), at["b"][r].as_py()
+            if d != at["od"][r].as_py():
+                continue
+            left, right = (at[c][r].values.to_numpy(zero_copy_only=False).astype(float).reshape(len(at[n][r].values), d) for c, n in (("v", "c0"), ("ov", "oc0")))
+            coded = [at[f"oc{g}"][r].values.dictionary_encode() for g in range(labelings)]
+            members = np.concatenate([np.eye(len(c.dictionary))[c.indices.to_numpy()] for c in coded], axis=1)
+            far, total = (right * right).sum(1), np.empty((members.shape[1], len(left)))
+            for start in range(0, len(left), STRIP):
+                x = left[start : start + STRIP]
+                dist = np.sqrt(np.maximum((x * x).sum(1)[:, None] + far - 2 * x @ right.T, 0))
+                if b == at["ob"][r].as_py():
+                    dist[np.arange(len(x)), start + np.arange(len(x))] = 0
+                total[:, start : start + STRIP] = (dist @ members).T
+            names = [(d, b, g, name) for g, c in enumerate(coded) for name in c.dictionary.to_pylist()]
+            for k, n, sums in zip(names, members.sum(0), total):
+                old = held.get(k, (0, 0.0))
+                held[k] = old[0] + int(n), old[1] + sums
+            if len(held) * BLOCK > HELD:
+                yield sent()
+    if held:
+        yield sent()
+
+
+def silhouettes_of(rows: DataFrame, clusters: list[str], key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """labels (the place in clusters), silhouette: the mean Euclidean silhouette over rows whose vectors are whole, for several clusterings at once.
+
+    All distances are needed, so time grows with the square of the rows: for samples. Blocks lie in the shared folder and each is read against
+    the others from there, so disk grows with the rows: a copy, and for every AGAINST blocks a number a row and cluster. For clusters
+    of which a task holds a number a row of a block: some thousands. 0 for a row alone in its cluster."""
+    many, (packed, blocks) = len(clusters), _packed(rows, clusters, key, vector)
+    others = packed.coalesce(-(-blocks // AGAINST)).toDF(*(f"o{c}" for c in packed.columns))
+    sums = packed.crossJoin(others).mapInArrow(lambda batches: _distance_sums(batches, many), "d int, b long, labels int, name string, n long, s array<double>")
+
+    def finished(key, blocks, sums):
+        out = []
+        for g, own in enumerate(blocks[f"c{i}"].iloc[0] for i in range(many)):
+            mine = sums[sums["labels"] == g]
+            a, b = np.full(len(own), np.nan), np.full(len(own), np.inf)
+            for name, part in mine.groupby("name"):
+                n, s, inside = int(part["n"].sum()), np.sum(np.stack(part["s"].tolist()), axis=0), np.asarray(own) == name
+                a[inside] = s[inside] / (n - 1) if n > 1 else -1
+                b[~inside] = np.minimum(b[~inside], s[~inside] / n)
+            far = np.maximum(a, b)
+            value = np.where((a < 0) | (b == np.inf) | (far <= 0), 0.0, (b - a) / np.where(far == 0, 1.0, far))
+            out.append((g, float(value.sum()), len(own)))
+        return pd.DataFrame(out, columns=["labels", "s", "n"])
+
+    own = packed.drop("v")
+    per = own.select(*(F.col(c).alias(c) for c in own.columns)).groupBy("d", "b").cogroup(sums.groupBy("d", "b")).applyInPandas(finished, "labels int, s double, n long")
+    return per.groupBy("labels").agg((F.sum("s") / F.sum("n")).alias("silhouette"))
 
-    def run(same, a, b):
-        if not len(a) or not len(b):
-            return pd.DataFrame({"i": a["id"][:0], "c": a["c"][:0], "d": a["c"][:0], "s": np.zeros(0), "n": np.zeros(0)})
-        return pd.concat([*one_way(a, b, same), *([] if same else one_way(b, a, False))])
 
-    x = _blocked(rows.where(F.col(cluster).isNotNull()), [F.col(key), F.col(cluster)], vector, ["id", "c"])
-    sums = _met(x, run, f"i {ident}, c {group}, d {group}, s double, n double").groupBy("i", "c", "d").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
-    per = sums.groupBy("i", "c").agg(F.max(F.when(F.col("c") == F.col("d"), F.col("m"))).alias("a"), F.min(F.when(F.col("c") != F.col("d"), F.col("m"))).alias("b"))
-    far = F.greatest("a", "b")
-    return per.agg(F.avg(F.coalesce((F.col("b") - F.col("a")) / F.when(far > 0, far), F.lit(0.0))).alias("silhouette"))
+def silhouettes(rows: DataFrame, cluster: str = "label", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """silhouette: that of one clustering; null without rows."""
+    return silhouettes_of(rows, [cluster], key, vector).agg(F.max("silhouette").alias("silhouette"))
 
 
 def best_k(rows: DataFrame, ks: list[int], key: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:
-    """k, silhouette for each k below the number of rows, best first; ties to the smaller k."""
-    n, found = rows.count(), []
+    """k, silhouette for each k below the number of rows, best first; ties to the smaller k. Distances are worked out once for all k."""
+    n = rows.count()
+    ks = [k for i, k in enumerate(ks) if max(ks[: i + 1]) < n]
     x = rows.select(key, array_to_vector(F.transform(vector, lambda v: v.cast("double"))).alias("features"), vector).persist()
-    for k in ks:
-        if k >= n:
-            break
-        model = KMeans(k=k, seed=seed).fit(x)
-        found.append((k, silhouettes(model.transform(x), "prediction", key, vector).first()[0]))
+    own = x
+    for i, k in enumerate(ks):
+        own = KMeans(k=k, seed=seed, predictionCol=f"_k{i}").fit(x).transform(own)
+    found = [(ks[r["labels"]], r["silhouette"]) for r in silhouettes_of(own, [f"_k{i}" for i in range(len(ks))], key, vector).collect()] if ks else []
     x.unpersist()
     return rows.sparkSession.createDataFrame(found, "k int, silhouette double").orderBy(F.desc("silhouette"), "k")
 

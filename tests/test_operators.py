@@ -554,3 +554,19 @@ def test_drift_by_image_moves_an_image_once(spark, sf_dir):
     assert {tuple(r) for r in trends.drift_by_image(images).select(columns).collect()} == {("a", 1, "b", 1, 0), ("a", 1, "c", 1, -1)}
     plan = records.QUERIES["side_effect_drift"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(image_id") == plan.count("Exchange ") - 1 == 1 and "Join" not in plan  # and the few counts
+
+
+def test_silhouettes_leave_blocks_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "BLOCK", 8)
+    rows = [(i, str(i % 3), [float(i % 3), float(i * i % 7)]) for i in range(40)] + [(i, "x" if i % 2 else "y", [float(i)]) for i in range(40, 50)]
+    plan = corpus.silhouettes(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>"))
+    scores = []
+    for i, c, v in rows:
+        to = {}
+        for j, o, w in rows:
+            if j != i and len(w) == len(v):
+                to.setdefault(o, []).append(float(np.linalg.norm(np.subtract(v, w))))
+        a, b = np.mean(to[c]), min(np.mean(x) for o, x in to.items() if o != c)
+        scores.append((b - a) / max(a, b))
+    assert plan.first()[0] == pytest.approx(np.mean(scores), abs=1e-9)
+    assert "explode" not in plan._jdf.queryExecution().optimizedPlan().toString()  # before: a copy of each row for every block
