@@ -1,7 +1,8 @@
 """Comparisons of a prompt's images with and without a label that never make their pairs.
 
 A prompt is one row of arrays, sorted by reward; what is asked of its pairs is counted or chosen within the row. The plan
-holds no pair but those that are returned. A row takes eight bytes an image, label and number: a prompt of some ten million images fits a task."""
+holds no pair but those that are returned. A row takes eight bytes an image, label and number: a prompt of some ten million images fits a task.
+Rows go to Python in chunks of images, so what a task holds there is its largest prompt, not a batch of large ones."""
 
 from __future__ import annotations
 
@@ -17,6 +18,8 @@ from .lineage import frozen
 SPLIT, FEW, STRIP = 128, 10_000, 1 << 20
 #: Images of a prompt that is counted together with others, and of all these; rows of chosen pairs that a task holds.
 SMALL, POOL, ROWS = 512, 1 << 16, 10_000
+#: Images of a prompt in a row that goes to Python: batches of Arrow count rows.
+CHUNK = 32
 ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
 MODES = ("reward", "score", "score_up")
 
@@ -36,13 +39,60 @@ def by_prompt(images: DataFrame, attrs: tuple[str, ...], only: DataFrame | None
     return rows.select("prompt", "attrs", F.col("z.image_id").alias("ids"), F.col("z.reward").alias("rewards"), F.col("z.score").alias("scores"), F.flatten("z.g").alias("labels"))
 
 
-def _sides(row, attrs: tuple[str, ...]):
-    """(attr, its place, indices with the label, indices with 0) of a prompt's row, and its label matrix."""
-    labels = np.asarray(row.labels, np.int8).reshape(len(row.rewards), -1)
-    own = set(row.attrs)
+def _chunks(prompts: DataFrame, mode: str, *more: str) -> DataFrame:
+    """The prompts in rows of up to CHUNK images, those of a prompt one behind the other; only its first has the attrs. more: further columns."""
+    width = F.expr("int(size(labels) div size(rewards))")
+    rows = prompts.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("rewards") - 1, F.lit(CHUNK))))
+    cut = {c: F.slice(c, F.col("at") + 1, CHUNK) for c in ("ids", "rewards", "scores")} | {"labels": F.slice("labels", F.col("at") * width + 1, width * CHUNK)}
+    columns = ("rewards", "labels", *(["scores"] if mode != "reward" else []), *more)
+    return rows.select(F.when(F.col("at") == 0, F.col("attrs")).alias("attrs"), *(cut.get(c, F.col(c)).alias(c) for c in columns))
+
+
+def _tables(batches):
+    """Tables of whole prompts: the chunks of a batch's last prompt wait for the next batch."""
+    held: list = []
+    for batch in batches:
+        starts = np.flatnonzero(batch.column("attrs").is_valid().to_numpy(zero_copy_only=False))
+        if len(starts):
+            cut = int(starts[-1])
+            if held or cut:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        elif batch.num_rows:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _rows(frames):
+    """The chunks of each prompt."""
+    held: list = []
+    for frame in frames:
+        for row in frame.itertuples(index=False):
+            if row.attrs is not None and held:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _joined(chunks: list, column: str) -> np.ndarray:
+    return np.concatenate([getattr(x, column) for x in chunks])
+
+
+def _sides(chunks: list, attrs: tuple[str, ...]):
+    """(attr, indices with the label, indices with 0) of a prompt, and its label matrix. An image with an unknown label is at no known distance and left out."""
+    labels = np.asarray(_joined(chunks, "labels"))
+    if labels.dtype.kind in "fO":  # with nulls
+        labels = np.asarray(labels, float)
+        labels = np.where(np.isnan(labels), np.iinfo(np.int8).min, labels)
+    labels = labels.astype(np.int8).reshape(sum(len(x.rewards) for x in chunks), -1)
+    known = (labels != np.iinfo(np.int8).min).all(1)
+    own = set(chunks[0].attrs)
     for k, attr in enumerate(attrs):
         if attr in own:
-            pos, neg = np.flatnonzero(labels[:, k] == 1), np.flatnonzero(labels[:, k] == 0)
+            pos, neg = np.flatnonzero(known & (labels[:, k] == 1)), np.flatnonzero(known & (labels[:, k] == 0))
             if len(pos) and len(neg):
                 yield attr, pos, neg, labels
 
@@ -53,7 +103,7 @@ class Gaps:
     p, start, stop: the rewards of images with the label, and where the opposites below begin and end in u; c: opposites before each place of u.
     Opposites of equal reward are one place, unless gaps are of a second score (s, t)."""
 
-    def __init__(self, rewards: np.ndarray, scores: np.ndarray, first: np.ndarray, pos: np.ndarray, neg: np.ndarray, mode: str):
+    def __init__(self, rewards: np.ndarray, scores: np.ndarray | None, first: np.ndarray, pos: np.ndarray, neg: np.ndarray, mode: str):
         """first: where each image's prompt begins; pos, neg: which images have the label, and 0."""
         self.mode, self.one, at = mode, not first.any(), np.arange(len(rewards))
         new = np.ones(len(rewards), bool)
@@ -144,14 +194,16 @@ def _summed(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, np.bincount(place, weights=n, minlength=len(values)).astype(np.int64)
 
 
-def _pooled(batch, attrs: tuple[str, ...], mode: str):
-    """(attr, gaps) of the prompts of a batch: small ones together, up to POOL images, a larger one by itself."""
-    at = {c: batch.column(c) for c in ("rewards", "scores", "labels", "attrs")}
-    sizes = at["rewards"].value_lengths().to_numpy(zero_copy_only=False)
+def _pooled(table, attrs: tuple[str, ...], mode: str):
+    """(attr, gaps) of the prompts of a table: small ones together, up to POOL images, a larger one by itself."""
+    at = {c: table.column(c).combine_chunks() for c in table.column_names}
+    starts = np.flatnonzero(at["attrs"].is_valid().to_numpy(zero_copy_only=False))
+    sizes = np.add.reduceat(at["rewards"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), starts)
     rewards = at["rewards"].flatten().to_numpy(zero_copy_only=False)
-    scores = at["scores"].flatten().to_numpy(zero_copy_only=False).astype(float)
+    scores = at["scores"].flatten().to_numpy(zero_copy_only=False).astype(float) if mode != "reward" else None
     labels = at["labels"].flatten().fill_null(-1).to_numpy(zero_copy_only=False).reshape(len(rewards), -1)
-    owners, named = at["attrs"].value_parent_indices().to_numpy(zero_copy_only=False), at["attrs"].flatten().to_numpy(zero_copy_only=False)
+    named = at["attrs"].flatten().to_numpy(zero_copy_only=False)
+    owners = np.repeat(np.arange(len(starts)), at["attrs"].drop_null().value_lengths().to_numpy(zero_copy_only=False))
     ends = np.cumsum(sizes)
     low = 0
     while low < len(sizes):
@@ -169,7 +221,7 @@ def _pooled(batch, attrs: tuple[str, ...], mode: str):
             counts = np.repeat(own, sizes[low:high])
             pos, neg = counts & (labels[part, k] == 1), counts & (labels[part, k] == 0)
             if pos.any() and neg.any():
-                yield attr, Gaps(rewards[part], scores[part], first, pos, neg, mode)
+                yield attr, Gaps(rewards[part], scores if scores is None else scores[part], first, pos, neg, mode)
         low = high
 
 
@@ -179,13 +231,13 @@ def _folded(prompts: DataFrame, attrs: tuple[str, ...], mode: str, add, rows, sc
 
     def run(batches):
         state: dict = {}
-        for batch in batches:
-            for attr, gaps in _pooled(batch, attrs, mode):
+        for table in _tables(batches):
+            for attr, gaps in _pooled(table, attrs, mode):
                 add(state, attr, gaps)
         found = list(zip(*rows(state))) or [[]] * len(columns)
         yield pa.RecordBatch.from_arrays([pa.array(x, ARROW[kind]) for x, (_, kind) in zip(found, columns)], [name for name, _ in columns])
 
-    return prompts.select("rewards", "scores", "labels", "attrs").mapInArrow(run, schema)
+    return _chunks(prompts, mode).mapInArrow(run, schema)
 
 
 def gap_caps(prompts: DataFrame, attrs: tuple[str, ...], q: float = 0.75, mode: str = "reward") -> DataFrame:
@@ -263,35 +315,34 @@ def counterfactuals(prompts: DataFrame, attrs: tuple[str, ...], caps: DataFrame,
     columns = ["attr", "prompt", "pos_id", "neg_id", "h", "gap"]
 
     def run(frames):
-        for frame in frames:
-            out = []
-            for row in frame.itertuples():
-                rewards, ids = np.asarray(row.rewards, float), np.asarray(row.ids)
-                scores = np.array([np.nan if s is None else s for s in row.scores], float)
-                for attr, pos, neg, labels in _sides(row, attrs):
-                    if attr in cap:
-                        neg = neg[np.argsort(ids[neg], kind="stable")]
-                        free, most = np.ones(len(neg), bool), cap[attr] if cap[attr] > 0 else 1.0
-                        strongest = sorted(pos.tolist(), key=lambda i: (-rewards[i], ids[i]))
-                        found = 0
-                        for i in strongest:
-                            if found == per_prompt:
-                                break
-                            gap = {"reward": rewards[i] - rewards[neg], "score": np.abs(scores[i] - scores[neg]), "score_up": scores[neg] - scores[i]}[mode]
-                            h = (labels[neg] != labels[i]).sum(1) - 1
-                            ok = free & (rewards[neg] < rewards[i]) & (gap >= 0) & (gap <= cap[attr]) & (h <= max_h)
-                            if ok.any():
-                                score = np.where(ok, 0.5 * h / max(1, max_h) + 0.5 * gap / most, np.inf)
-                                j = int(np.argmin(score))
-                                free[j], found = False, found + 1
-                                out.append((attr, row.prompt, ids[i], ids[neg[j]], int(h[j]), float(gap[j])))
-                if len(out) >= ROWS:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-            yield pd.DataFrame(out, columns=columns)
+        out = []
+        for chunks in _rows(frames):
+            rewards, ids, prompt = np.asarray(_joined(chunks, "rewards"), float), _joined(chunks, "ids"), chunks[0].prompt
+            scores = None if mode == "reward" else np.asarray(_joined(chunks, "scores"), float)
+            for attr, pos, neg, labels in _sides(chunks, attrs):
+                if attr in cap:
+                    neg = neg[np.argsort(ids[neg], kind="stable")]
+                    free, most = np.ones(len(neg), bool), cap[attr] if cap[attr] > 0 else 1.0
+                    strongest = sorted(pos.tolist(), key=lambda i: (-rewards[i], ids[i]))
+                    found = 0
+                    for i in strongest:
+                        if found == per_prompt:
+                            break
+                        gap = rewards[i] - rewards[neg] if mode == "reward" else np.abs(scores[i] - scores[neg]) if mode == "score" else scores[neg] - scores[i]
+                        h = (labels[neg] != labels[i]).sum(1) - 1
+                        ok = free & (rewards[neg] < rewards[i]) & (gap >= 0) & (gap <= cap[attr]) & (h <= max_h)
+                        if ok.any():
+                            score = np.where(ok, 0.5 * h / max(1, max_h) + 0.5 * gap / most, np.inf)
+                            j = int(np.argmin(score))
+                            free[j], found = False, found + 1
+                            out.append((attr, prompt, ids[i], ids[neg[j]], int(h[j]), float(gap[j])))
+            if len(out) >= ROWS:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
 
     kind = prompts.schema["prompt"].dataType.simpleString()
-    return prompts.mapInPandas(run, f"attr string, prompt {kind}, pos_id {ident}, neg_id {ident}, h int, gap double")
+    return _chunks(prompts, mode, "prompt", "ids").mapInPandas(run, f"attr string, prompt {kind}, pos_id {ident}, neg_id {ident}, h int, gap double")
 
 
 def kept(prompts: DataFrame) -> DataFrame:

@@ -494,3 +494,43 @@ def test_counterfactuals_leave_in_bounded_frames(spark, monkeypatch):
     assert sides.counterfactuals(prompts, ("a",), caps, 1).count() == 3000 * 5
     sizes = [len(f) for f in runs[-1](iter([prompts.toPandas()]))]
     assert sum(sizes) == 3000 * 5 and max(sizes) < 10_100  # before: all pairs of a batch at once
+
+
+def test_batches_hold_chunks_of_large_prompts(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(p, i, float(rng.integers(0, 300)), [int(x) for x in rng.integers(0, 2, 2)]) for p, n in enumerate([700, 1, 5, 900, 33, 32, 64]) for i in range(n)]
+    prompts = sides.kept(sides.by_prompt(spark.createDataFrame(rows, "prompt int, image_id int, reward double, g array<int>"), ("a", "b")).coalesce(1))
+    sent = []
+    for name in ("mapInPandas", "mapInArrow"):
+        monkeypatch.setattr(type(prompts), name, lambda self, *x, f=getattr(type(prompts), name): sent.append(self) or f(self, *x))
+    found = []
+    for size in (10_000, 7):  # rows of a batch: prompts go on in the next
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            caps = sides.gap_caps(prompts, ("a", "b"))
+            found.append((sorted(map(tuple, caps.collect())), sorted(map(tuple, sides.counterfactuals(prompts, ("a", "b"), caps, 1).collect()))))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] and max(s.select(F.max(F.size("rewards"))).first()[0] for s in sent) <= sides.CHUNK  # before: 900
+    own = grouped(rows, lambda r: r[0])
+    for k, attr in enumerate("ab"):
+        gaps = [a[2] - b[2] for z in own.values() for a in z if a[3][k] == 1 for b in z if b[3][k] == 0 and a[2] > b[2]]
+        cap = next(c for c in found[0][0] if c[0] == attr)
+        assert cap[1] == pytest.approx(np.quantile(gaps, 0.75), abs=1e-12) and cap[2] == len(gaps)
+        want = []
+        for p, z in own.items():
+            used = set()
+            for a in sorted((r for r in z if r[3][k] == 1), key=lambda r: (-r[2], r[1])):
+                c = [(0.5 * (a[3][1 - k] != b[3][1 - k]) + 0.5 * (a[2] - b[2]) / cap[1], b[1], b) for b in z if b[3][k] == 0 and b[1] not in used and 0 < a[2] - b[2] <= cap[1]]
+                if c and len(used) < 5:
+                    used.add(min(c)[1])
+                    want.append((attr, p, a[1], min(c)[1], int(a[3][1 - k] != min(c)[2][3][1 - k]), a[2] - min(c)[2][2]))
+        assert [r for r in found[0][1] if r[0] == attr] == sorted(want)
+
+
+def test_counterfactuals_leave_out_unknown_labels(spark):
+    rows = [(0, 0, 9.0, [1, 0]), (0, 1, 8.0, [0, None]), (0, 2, 7.0, [0, 0]), (0, 3, 9.5, [1, None])]
+    prompts = sides.by_prompt(spark.createDataFrame(rows, "prompt int, image_id int, reward double, g array<int>"), ("a", "b"))
+    caps = sides.gap_caps(prompts, ("a", "b"), 1.0)
+    assert {r["attr"]: r["n"] for r in caps.collect()} == {"a": 4}
+    assert [tuple(r) for r in sides.counterfactuals(prompts, ("a", "b"), caps, 2).collect()] == [("a", 0, 0, 2, 0, 2.0)]
